@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from lumenpage.llm.chat import OP10_SQL, op10_chat
 from lumenpage.llm.decontamination import op6_decontamination
+from lumenpage.llm.licenses import op9_licenses
 from lumenpage.llm.packing import op7_packing
 from lumenpage.llm.secrets import op3_secrets
+from lumenpage.llm.topk import OP2_SQL, op2_topk
 from lumenpage.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_topk": op2_topk,
     "op3_secrets": op3_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op9_licenses": op9_licenses,
+    "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op10_chat": OP10_SQL}
