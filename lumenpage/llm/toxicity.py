@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lumenpage.llm.common import PUNCT, steps, text_bytes, word_hashes
+from lumenpage.llm.common import PUNCT, shared_dir, steps, stored, text_bytes, word_hashes
 
 #: Bytes of the word heads that are features beside the words themselves.
 HEADS = (4, 5, 6)
@@ -81,9 +81,11 @@ def train(docs: DataFrame, labels: DataFrame, training_fold, *, max_positive: in
     positive = seen.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive).withColumn("positive", F.lit(1))
     unlabelled = docs.where(training_fold(F.col("doc_id"))).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(0))
     texts = docs.select("doc_id", "text").join(F.broadcast(positive.union(unlabelled)), "doc_id").select("positive", "text")
-    rows = texts.mapInArrow(_feature_rows, "positive int, features binary").toArrow()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["features"]]
-    return fit(sets, np.array(rows["positive"]), prior, max_features, epochs)
+    rows = stored(texts.mapInArrow(_feature_rows, "positive int, features binary"), shared_dir(docs.sparkSession), "features")
+    chosen = choose(rows, max_features)
+    sparse = rows.mapInArrow(_only(chosen), "positive int, features binary").toArrow()
+    places = [np.frombuffer(x.as_py(), np.int32) for x in sparse["features"]]
+    return fit(chosen, places, np.array(sparse["positive"]), prior, epochs)
 
 
 def _feature_rows(batches):
@@ -99,26 +101,46 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([batch["positive"], pa.array(sets, pa.binary())], ["positive", "features"])
 
 
-def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float, max_features: int, epochs: int) -> ToxicityModel:
-    """Choose features by how far their rate among positives exceeds that among unlabelled texts, then minimise the risk."""
-    positive = positive.astype(bool)
-    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    names, place = np.unique(flat, return_inverse=True)
-    in_p = np.bincount(place, positive[owner], len(names))
-    in_u = np.bincount(place, ~positive[owner], len(names))
-    rate_p, rate_u = in_p / n_p, in_u / n_u
-    mean = (in_p + in_u) / (n_p + n_u)
-    z = (rate_p - rate_u) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n_p + 1 / n_u))
-    chosen = np.flatnonzero((in_p >= max(5, 0.01 * n_p)) & (z > 4))  # fewer may be one text and its copies
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:max_features]])
-    where = np.full(len(names), -1)
-    where[chosen] = np.arange(len(chosen))
-    kept = where[place] >= 0
-    row, col = owner[kept], where[place[kept]]
-    weights, bias = _minimise(row, col, positive, len(chosen), prior, epochs)
-    return ToxicityModel(names[chosen], weights, bias, prior)
+def _count_batches(batches):
+    for batch in batches:
+        positive = batch["positive"].to_numpy().astype(bool)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch["features"]]
+        names, place = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+        mine = np.repeat(positive, [len(x) for x in sets])
+        in_p = np.bincount(place[mine], minlength=len(names))
+        in_all = np.bincount(place, minlength=len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(in_p), pa.array(in_all - in_p)], ["feature", "in_p", "in_u"])
+
+
+def _only(chosen: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            sets = [np.flatnonzero(np.isin(chosen, np.frombuffer(x.as_py(), np.uint64))).astype(np.int32).tobytes() for x in batch["features"]]
+            yield pa.RecordBatch.from_arrays([batch["positive"], pa.array(sets, pa.binary())], ["positive", "features"])
+
+    return run
+
+
+def choose(rows: DataFrame, max_features: int) -> np.ndarray:
+    """The features whose rate among positives most exceeds that among unlabelled texts (z over 4), in ascending order.
+
+    Features of fewer than 5 positives, or 1 %, may be those of one text and its copies.
+    """
+    n = {r[0]: r[1] for r in rows.groupBy("positive").count().collect()}
+    n_p, n_u = max(1, n.get(1, 0)), max(1, n.get(0, 0))
+    counts = rows.mapInArrow(_count_batches, "feature long, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    mean = (F.col("in_p") + F.col("in_u")) / (n_p + n_u)
+    z = (F.col("in_p") / n_p - F.col("in_u") / n_u) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * (1 / n_p + 1 / n_u))
+    best = counts.where(F.col("in_p") >= max(5, 0.01 * n_p)).select("feature", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "feature").limit(max_features)
+    return np.sort(np.array([r[0] for r in best.collect()], np.int64).view(np.uint64))
+
+
+def fit(chosen: np.ndarray, places: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 300) -> ToxicityModel:
+    """Minimise the risk; ``places`` has the chosen features of each text by their numbers."""
+    row = np.repeat(np.arange(len(places)), [len(x) for x in places])
+    col = np.concatenate([*places, np.zeros(0, np.int32)])
+    weights, bias = _minimise(row, col, positive.astype(bool), len(chosen), prior, epochs)
+    return ToxicityModel(chosen, weights, bias, prior)
 
 
 def _minimise(row: np.ndarray, col: np.ndarray, positive: np.ndarray, n_features: int, prior: float, epochs: int) -> tuple[np.ndarray, float]:
