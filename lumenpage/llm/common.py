@@ -41,6 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/lumenpage-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold few rows, as rows may be long texts or sets."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def groups(batches, key: str) -> Iterator[pa.Table]:
+    """The runs of equal keys in sorted batches, one table each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch[key].to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if held and held[-1][key][0] != part[key][0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and a lost executor costs nothing before it."""
     path = f"{folder}/{name}"

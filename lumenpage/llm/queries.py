@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenpage.llm.chat import OP10_SQL, op10_chat
 from lumenpage.llm.decontamination import op6_decontamination
+from lumenpage.llm.jaccard import op4_jaccard
 from lumenpage.llm.licenses import op9_licenses
 from lumenpage.llm.packing import op7_packing
 from lumenpage.llm.secrets import op3_secrets
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
     "op3_secrets": op3_secrets,
+    "op4_jaccard": op4_jaccard,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op9_licenses": op9_licenses,
