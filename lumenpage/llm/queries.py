@@ -7,6 +7,7 @@ from lumenpage.llm.decontamination import op6_decontamination
 from lumenpage.llm.jaccard import op4_jaccard
 from lumenpage.llm.licenses import op9_licenses
 from lumenpage.llm.packing import op7_packing
+from lumenpage.llm.repeats import op5_repeats
 from lumenpage.llm.secrets import op3_secrets
 from lumenpage.llm.topk import OP2_SQL, op2_topk
 from lumenpage.llm.toxicity import op1_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_secrets": op3_secrets,
     "op4_jaccard": op4_jaccard,
+    "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op9_licenses": op9_licenses,
