@@ -336,6 +336,23 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, lim
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest doc_id. Rows without a doc_id stay."""
+    folder = shared_dir(docs.sparkSession)
+    found = stored(jaccard_components(docs.select("doc_id", "text"), size=size, percent=percent), folder, "components")
+    dropped = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), folder, "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == dropped["id"], "left_anti")
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    # one row of each doc_id that has several; the others don't move
+    repeated = stored(again.select(F.col("doc_id").alias("id")), folder, "repeated")
+    single = kept.join(repeated, kept["doc_id"] == repeated["id"], "left_anti")
+    several = kept.join(repeated, kept["doc_id"] == repeated["id"], "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several)
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document, by 4-word shingles and a similarity of 0.85."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

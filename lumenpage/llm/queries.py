@@ -7,6 +7,7 @@ from lumenpage.llm.decontamination import op6_decontamination
 from lumenpage.llm.jaccard import op4_jaccard
 from lumenpage.llm.licenses import op9_licenses
 from lumenpage.llm.packing import op7_packing
+from lumenpage.llm.pii import op8_pii
 from lumenpage.llm.repeats import op5_repeats
 from lumenpage.llm.secrets import op3_secrets
 from lumenpage.llm.topk import OP2_SQL, op2_topk
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_chat": op10_chat,
 }

@@ -108,6 +108,30 @@ def redact(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, ledger: DataFrame, rules_version: str = RULES_VERSION, broadcast_rows: int = 200_000) -> DataFrame:
+    """``docs`` with the secrets of their blobs replaced in text, and n_chars of what is then there.
+
+    Blobs with findings are few; up to ``broadcast_rows`` they are broadcast, beyond that both sides are shuffled.
+    """
+    names = docs.columns
+    dirty = ledger.where((F.col("rules_version") == rules_version) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.lit(True).alias("_dirty"))
+    if dirty.count() <= broadcast_rows:
+        dirty = F.broadcast(dirty)
+    marked = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(dirty, "_blob", "left").select(*names, "_dirty")
+
+    def run(batches):
+        for batch in batches:
+            texts = [redact(t) if d else t for t, d in zip(batch["text"].to_pylist(), batch["_dirty"].to_pylist(), strict=True)]
+            cleaned = batch.select(names)
+            place = names.index("text")
+            yield cleaned.set_column(place, cleaned.schema.field(place), pa.array(texts, cleaned.schema.field(place).type))
+
+    cleaned = marked.mapInArrow(run, docs.schema)
+    if "n_chars" not in names:
+        return cleaned
+    return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+
+
 def digest(spans: list) -> str:
     """SHA-256 of kind:start:end joined by commas (for tests)."""
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
