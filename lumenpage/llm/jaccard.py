@@ -12,7 +12,8 @@ shingles; the distance is 1 - Jaccard similarity. Pivots create regions:
    last in the order, so regions of common passages stay empty.
 3. The smallest member of a region is its document pivot; regions of one pivot
    make a cell. Prefixes bound the similarity within a cell, and members with no
-   partner left are dropped before their whole sets are read.
+   partner left are dropped before their whole sets are read. What is left is
+   joined anew, by the components of who might be near whom.
 4. Within a cell, exact distances to the pivot come first; a set is compared
    with another only if they aren't connected yet, and their distances to the
    pivot differ by the threshold at most (triangle inequality again).
@@ -132,50 +133,92 @@ def _near(a: np.ndarray, b: np.ndarray, inter: np.ndarray, percent: int) -> np.n
     return 100 * inter >= percent * (a + b - inter)
 
 
+def _halves(batches):
+    """The upper halves of a window's order values: they keep the order, but for ties."""
+    for batch in batches:
+        short = [(np.frombuffer(x.as_py(), np.uint64) >> U64(32)).astype(np.uint32).tobytes() for x in batch["prefix"]]
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(short, pa.binary())], ["id", "prefix"])
+
+
+class Postings:
+    """Which of some sorted arrays hold the values that an array has."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in arrays])
+        self.flat = np.concatenate(arrays)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        owner = np.repeat(np.arange(len(arrays)), self.sizes)
+        order = np.argsort(self.flat, kind="stable")
+        edge = np.concatenate([[True], self.flat[order][1:] != self.flat[order][:-1]])
+        self.term = np.empty(len(self.flat), np.int64)
+        self.term[order] = np.cumsum(edge) - 1
+        self.first = np.flatnonzero(edge)
+        self.count = np.diff(np.append(self.first, len(self.flat)))
+        self.owners = owner[order]
+
+    def common(self, x: int) -> np.ndarray:
+        """For each array, how many values it has in common with array x."""
+        mine = self.term[self.at[x] : self.at[x + 1]]
+        n = self.count[mine]
+        place = np.repeat(self.first[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.owners[place], minlength=len(self.sizes))
+
+
+def hopeful_links(ids: np.ndarray, n: np.ndarray, windows: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect sets which might be near, by the halves of their windows.
+
+    Where the window of one ends before that of the other, what it holds and the
+    other doesn't is surely missing there, and the reverse holds up to its end;
+    this bounds what two sets have in common. Equal halves count as equal.
+    """
+    m = len(windows)
+    postings = Postings(windows)
+    keys = np.repeat(np.arange(m), postings.sizes).astype(np.uint64) << U64(32) | postings.flat.astype(np.uint64)
+    last = np.array([w[-1] for w in windows], np.uint64)
+    label, links = np.arange(m), []
+    for x in range(m - 1):
+        both = postings.common(x)
+        y = np.flatnonzero(both)
+        y = y[(y > x) & (label[y] != label[x])]
+        y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+        if not len(y):
+            continue
+        both = both[y]
+        # a is the one whose window ends first; of b only what lies before that end is known to lie in both or be missing
+        mine = last[x] <= last[y]
+        end, other = np.where(mine, last[x], last[y]), np.where(mine, y, x)
+        before = np.searchsorted(keys, other.astype(np.uint64) << U64(32) | end) - postings.at[other]
+        na, nb = np.where(mine, n[x], n[y]), np.where(mine, n[y], n[x])
+        size_a = np.where(mine, postings.sizes[x], postings.sizes[y])
+        most = np.minimum(na - np.maximum(size_a - both, 0), nb - np.maximum(before - both, 0))
+        most = np.where(last[x] == last[y], np.minimum(na, nb), most)
+        for k in y[_near(na, nb, most, percent)].tolist():
+            if label[k] != label[x]:
+                links.append((int(ids[x]), int(ids[k])))
+                label[label == label[k]] = label[x]
+    return links
+
+
 def _hopeful(percent: int):
-    """For each cell: its members that might have a partner in it, going by their windows."""
+    """For each cell: links between its members that might be near."""
 
     def run(batches):
         for cell in groups(batches, "cell"):
-            n = cell["n"].to_numpy()
-            keep = np.ones(len(n), bool)
-            if len(n) <= 64:
-                prefix = [np.frombuffer(x.as_py(), np.uint64) for x in cell["prefix"]]
-                keep[:] = False
-                for x in range(len(n)):
-                    for y in range(x + 1, len(n)):
-                        if keep[x] and keep[y] or 100 * min(n[x], n[y]) < percent * max(n[x], n[y]):
-                            continue
-                        a, b = (prefix[x], prefix[y]) if prefix[x][-1] <= prefix[y][-1] else (prefix[y], prefix[x])
-                        na, nb = (n[x], n[y]) if a is prefix[x] else (n[y], n[x])
-                        upto = np.searchsorted(b, a[-1], "right")
-                        place = np.searchsorted(b[:upto], a)
-                        both = int((b[np.minimum(place, max(upto - 1, 0))] == a).sum()) if upto else 0
-                        most = min(na - (len(a) - both), nb - (upto - both))
-                        if _near(na, nb, most, percent):
-                            keep[x] = keep[y] = True
-            kept = cell.select(["cell", "id"]).filter(pa.array(keep))
-            yield from kept.combine_chunks().to_batches()
+            links = hopeful_links(cell["id"].to_numpy(), cell["n"].to_numpy(), [np.frombuffer(x.as_py(), np.uint32) for x in cell["prefix"]], percent) if cell.num_rows > 1 else []
+            flat = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"a": flat[:, 0], "b": flat[:, 1]})
 
     return run
 
 
-def join_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is near among the sets; the first is the pivot. With ``cross`` (0 or 1 for each), all the same: both blocks are joined whole."""
+def join_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is near among the sets; the first is the pivot."""
     m = len(sets)
     n = np.array([len(s) for s in sets])
     if m == 2:
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(int(ids[0]), int(ids[1]))] if _near(n[0], n[1], inter, percent) else []
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), n)
-    order = np.argsort(flat, kind="stable")
-    edge = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
-    term = np.empty(len(flat), np.int64)
-    term[order] = np.cumsum(edge) - 1
-    first = np.append(np.flatnonzero(edge), len(flat))
-    owners = owner[order]
-    at = np.concatenate([[0], np.cumsum(n)])
+    postings = Postings(sets)
     label, done, links = np.arange(m), np.zeros(m, bool), []
     to_pivot: np.ndarray | None = None
     slack = 1 - percent / 100 + 1e-9
@@ -189,9 +232,7 @@ def join_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, cross: np.n
             break  # all that isn't compared yet is connected
         outside = open_[label[open_] != largest]
         x = 0 if not done[0] else int(outside[0])
-        mine = term[at[x] : at[x + 1]]
-        lists = [owners[first[t] : first[t + 1]] for t in mine]
-        inter = np.bincount(np.concatenate(lists), minlength=m)
+        inter = postings.common(x)
         distance = 1 - inter / (n[x] + n - inter)
         if x == 0:
             to_pivot = distance
@@ -251,23 +292,25 @@ def _sorted_cells(members: DataFrame, *key: str) -> DataFrame:
     return members.repartition(*key).sortWithinPartitions(*key)
 
 
-def _exact(members: DataFrame, sets: DataFrame, percent: int, folder: str, limit: int, level: int = 0) -> DataFrame:
-    """Links (a, b) within the cells of ``members`` (cell, id); ``sets`` has (id, n, members)."""
-    sized = members.join(sets.select("id", "n"), "id")
-    large = stored(sized.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("count")).where(F.col("total") > limit), folder, f"oversize-{level}")
-    rows = members.join(sets.select("id", "members"), "id").select("cell", "id", "members")
+def _exact(members: DataFrame, counts: DataFrame, whole, percent: int, folder: str, limit: int, level: int = 0) -> DataFrame:
+    """Links (a, b) within the cells of the stored ``members`` (cell, id).
+
+    ``counts`` has (id, n); ``whole`` adds the column members, the bytes of the set, to rows with an id.
+    """
+    sized = members.join(counts, "id").groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("count"))
+    large = stored(sized.where(F.col("total") > limit), folder, f"oversize-{level}")
     if large.isEmpty():
-        return _sorted_cells(rows, "cell").mapInArrow(_join_cells(percent), "a long, b long")
-    fitting = members.join(large, "cell", "left_anti")
-    links = _sorted_cells(fitting.join(sets.select("id", "members"), "id").select("cell", "id", "members"), "cell").mapInArrow(_join_cells(percent), "a long, b long")
-    big = members.join(large.select("cell", "count"), "cell")
+        return _sorted_cells(whole(members), "cell").mapInArrow(_join_cells(percent), "a long, b long")
+    fitting = stored(members.join(large, "cell", "left_anti"), folder, f"fitting-{level}")
+    links = _sorted_cells(whole(fitting), "cell").mapInArrow(_join_cells(percent), "a long, b long")
+    big = stored(whole(stored(members.join(large, "cell", "left_semi"), folder, f"big-ids-{level}")), folder, f"big-{level}")
     # pivots by the least hash of the id; the level changes the choice
     order = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(level)), "id")
-    chosen = big.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).join(sets.select("id", "members"), "id")
-    pivots = chosen.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("id", "members"))).alias("pivots"))
+    chosen = big.select("cell", "id").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
+    pivots = big.join(chosen, ["cell", "id"]).dropDuplicates(["cell", "id"]).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("id", "members"))).alias("pivots"))
     # a large cell is one key: its rows are salted, and its few pivots repeated
     salt = 64
-    salted = big.select("cell", "id", F.pmod(F.xxhash64("id"), F.lit(salt)).alias("salt")).join(sets.select("id", "members"), "id")
+    salted = big.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)))
     repeated = pivots.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salt - 1}L)")))
     cut = salted.join(repeated, ["cell", "salt"]).select("cell", "id", "members", "pivots").mapInArrow(_cut(percent), "cell long, part long, id long, a long, b long")
     cut = stored(cut, folder, f"cut-{level}")
@@ -278,26 +321,25 @@ def _exact(members: DataFrame, sets: DataFrame, percent: int, folder: str, limit
     again = stored(regions.join(good, "region", "left_semi").select(F.col("region").alias("cell"), "id"), folder, f"again-{level}")
     stuck = stored(regions.join(good, "region", "left_anti").select(F.col("region").alias("cell"), "id"), folder, f"stuck-{level}")
     if not again.isEmpty():
-        links = links.union(_exact(again, sets, percent, folder, limit, level + 1))
+        links = links.union(_exact(again, counts, whole, percent, folder, limit, level + 1))
     if not stuck.isEmpty():
-        links = links.union(_blocks(stuck, sets, percent, limit))
+        links = links.union(_blocks(stuck, counts, whole, percent, limit, folder, level))
     return links
 
 
-def _blocks(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+def _blocks(members: DataFrame, counts: DataFrame, whole, percent: int, limit: int, folder: str, level: int) -> DataFrame:
     """Join cells as pairs of blocks, each pair within the limit."""
-    sized = members.join(sets.select("id", "n"), "id")
+    sized = members.join(counts, "id")
     count = sized.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / limit)).alias("blocks"))
     placed = sized.join(count, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.xxhash64("cell", F.least(F.col("block"), other), F.greatest(F.col("block"), other)))
-    rows = placed.select(F.explode(F.array_distinct(pairs)).alias("cell"), "id").join(sets.select("id", "members"), "id").select("cell", "id", "members")
-    return _sorted_cells(rows, "cell").mapInArrow(_join_cells(percent), "a long, b long")
+    rows = stored(placed.select(F.explode(F.array_distinct(pairs)).alias("cell"), "id"), folder, f"blocks-{level}")
+    return _sorted_cells(whole(rows), "cell").mapInArrow(_join_cells(percent), "a long, b long")
 
 
-def _semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is among the stored distinct ids; these are broadcast if they are few, else both sides are shuffled."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, rows[column] == ids["id"], "left_semi")
+def _few(table: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it is small; else a join shuffles both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, limit: int = CELL) -> DataFrame:
@@ -309,26 +351,38 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, lim
     sets = stored(_sets(docs, size, percent, common), folder, "sets")
     named = sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = stored(named.groupBy("key").agg(F.min("doc_id").alias("id")), folder, "classes")
-    # one holder for each class: (key, id) is unique but for repeated rows
-    holders = named.join(classes, (named["key"] == classes["key"]) & (named["doc_id"] == classes["id"]), "left_semi").select(F.col("doc_id").alias("id"), "n", "prefix")
-    holders = stored(holders, folder, "holders")
+    # of rows with equal sets, one stands for all; what is left over is few, or else shuffled
+    copies = named.select("key", "doc_id").join(classes, "key").where("doc_id <> id").select(F.col("doc_id").alias("id"))
+    copies = stored(copies.distinct(), folder, "copies")
+    holders = named.select(F.col("doc_id").alias("id"), "n", "prefix").join(_few(copies), "id", "left_anti")
+    counts = holders.groupBy("id").agg(F.max("n").alias("n"))
     region = Window.partitionBy("s")
     windows = holders.select("id", "prefix").mapInArrow(_windows, "s long, id long")
     met = windows.withColumn("cell", F.min("id").over(region)).where("id <> cell").select("cell", "id").distinct()
     met = stored(met, folder, "met")
-    members = met.union(met.select("cell", F.col("cell").alias("id")).distinct())
-    windowed = members.join(holders, "id").select("cell", "id", "n", "prefix")
-    hopeful = stored(_sorted_cells(windowed, "cell").mapInArrow(_hopeful(percent), "cell long, id long").distinct(), folder, "hopeful")
-    wanted = stored(hopeful.select("id").distinct(), folder, "wanted")
-
-    def whole(batches):
+    members = met.union(met.select("cell", F.col("cell").alias("id")).distinct()).join(counts, "id")
+    # sizes of near sets differ by the threshold at most: who has no such neighbour in its cell is done
+    by_size = Window.partitionBy("cell").orderBy("n", "id")
+    beside = members.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    beside = beside.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more")))
+    beside = stored(beside.select("cell", "id", "n"), folder, "beside")
+    halves = holders.select("id", "prefix").join(_few(stored(beside.select("id").distinct(), folder, "beside-ids")), "id", "left_semi").mapInArrow(_halves, "id long, prefix binary")
+    hopeful = stored(_sorted_cells(beside.join(halves, "id"), "cell").mapInArrow(_hopeful(percent), "a long, b long").distinct(), folder, "hopeful")
+    # what might be near, over all cells, is joined as one cell, so that each whole set moves once
+    merged = components(hopeful, f"{folder}/cells")
+    merged = stored(merged.select(F.col("component").alias("cell"), "id").distinct(), folder, "merged")
+
+    def add_sets(batches):
         for batch in batches:
-            own = [s for s in shingle_sets(batch["text"], size)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["id", "n", "members"])
+            own = [s.tobytes() for s in shingle_sets(batch["text"], size)]
+            rows = pa.RecordBatch.from_arrays([batch["cell"], batch["id"], pa.array(own, pa.binary())], ["cell", "id", "members"])
+            yield rows.filter(pa.array([len(s) > 0 for s in own], pa.bool_()))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(_few(rows), "id").select("cell", "id", "text")
+        return texts.mapInArrow(add_sets, "cell long, id long, members binary")
 
-    texts = _semi(docs.select("doc_id", "text"), wanted, "doc_id")
-    whole_sets = stored(texts.mapInArrow(whole, "id long, n long, members binary"), folder, "whole").where("n > 0")
-    links = _exact(hopeful, whole_sets, percent, folder, limit)
+    links = _exact(merged, counts, whole, percent, folder, limit)
     linked = components(links, folder)
     known = classes.join(linked, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = sets.select("doc_id", "n", "key").join(known, "key", "left")
