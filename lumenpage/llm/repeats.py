@@ -111,7 +111,7 @@ def _anchor_rows(counted: bool, span: int):
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.empty(len(keys), bool)
     new[:1] = True
     new[1:] = keys[order][1:] != keys[order][:-1]
@@ -146,7 +146,7 @@ class SuffixArray:
         string = np.repeat(np.arange(len(strings)), self.sizes + 1)
         room = self.at[string] + self.sizes[string] - np.arange(n)
         starts = np.flatnonzero(room >= span)
-        self.order = starts[np.argsort(ranks[-1][starts], kind="stable")]
+        self.order = starts[np.argsort(ranks[-1][starts])]
         self.string, self.room = string, room
         # common prefixes of neighbours, by descending powers and then single symbols
         i, j = self.order[:-1], self.order[1:]
@@ -165,6 +165,26 @@ class SuffixArray:
 
     def maximal_repeats(self, span: int = SPAN):
         """(length, occurrences as (string, start)) of each common-prefix interval of ``span`` and more whose left bytes differ."""
+        for length, places in self.intervals(span):
+            yield length, [(int(s), int(p - self.at[s])) for s, p in zip(self.string[places], places, strict=True)]
+
+    def covered(self, span: int = SPAN) -> np.ndarray:
+        """Rows (string, start, size) of the stretches that maximal repeats cover; those that touch are one."""
+        reach = np.zeros(int(self.at[-1]) + 1, np.int64)
+        for length, places in self.intervals(span):
+            reach[places] = np.maximum(reach[places], length)
+        own = np.flatnonzero(reach)
+        depth = np.zeros(len(reach) + 1, np.int64)
+        np.add.at(depth, own, 1)
+        np.add.at(depth, own + reach[own], -1)
+        inside = np.cumsum(depth) > 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+        first, end = edge[::2], edge[1::2]
+        string = self.string[np.minimum(first, len(self.string) - 1)]
+        return np.stack([string, first - self.at[string], end - first], 1)
+
+    def intervals(self, span: int):
+        """(length, places in the whole text) of the maximal repeats."""
         long = self.common >= span
         edge = np.flatnonzero(np.diff(np.concatenate([[False], long, [False]]).astype(np.int8)))
         for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -182,8 +202,7 @@ class SuffixArray:
             while stack and stack[-1][0] > now:
                 length, begin = stack.pop()
                 if (left[begin : k + 1] != left[begin]).any():
-                    own = places[begin : k + 1]
-                    yield length, [(int(s), int(p - self.at[s])) for s, p in zip(self.string[own], own, strict=True)]
+                    yield length, places[begin : k + 1]
             if now and (not stack or stack[-1][0] < now):
                 stack.append((now, begin))
 
@@ -195,8 +214,7 @@ def _compare(span: int):
         table = pa.concat_tables(tables)
         strings = [x.as_py() for x in table["run"]]
         doc, cid, base = table["doc"], table["cid"].to_numpy(), table["start"].to_numpy()
-        found = [(s, start, length) for length, places in SuffixArray(strings, span).maximal_repeats(span) for s, start in places]
-        flat = np.array(found, np.int64).reshape(-1, 3)
+        flat = SuffixArray(strings, span).covered(span)
         return pa.RecordBatch.from_arrays([doc.take(pa.array(flat[:, 0])).combine_chunks(), pa.array(cid[flat[:, 0]]), pa.array(base[flat[:, 0]] + flat[:, 1]), pa.array(flat[:, 2])], ["doc", "cid", "start", "size"])
 
     def run(batches):
