@@ -33,8 +33,8 @@ from lumenpage.llm.common import U64, _BYTE, groups, mix, powers, shared_dir, sm
 SPAN, GRAM = 200, 32
 #: Bytes of runs under one hash that a task compares, and that one suffix array takes.
 HOT_BYTES, ARRAY_BYTES = 8 << 20, 1 << 20
-#: Rows up to which a table of spans may be broadcast to the texts.
-BROADCAST_ROWS = 400_000
+#: Spans (of some 32 bytes) up to which a table of them may be broadcast to the texts.
+BROADCAST_SPANS = 2_000_000
 _PLACE = U64((1 << 28) - 1)
 _SYMBOLS = 7
 
@@ -264,9 +264,9 @@ def _window_rows(span: int):
     return run
 
 
-def _with_texts(keyed: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-    """Join stored rows (doc, cid, ...), one for each text that has any, to the texts: by broadcast if they are few, else by a shuffle of both."""
-    few = table.count() <= BROADCAST_ROWS
+def _with_texts(keyed: DataFrame, table: DataFrame, spans: str, how: str = "inner") -> DataFrame:
+    """Join stored rows (doc, cid, array of spans), one for each text that has any, to the texts: by broadcast if all spans are few, else by a shuffle of both."""
+    few = (table.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_SPANS
     return keyed.join(F.broadcast(table) if few else table, ["doc", "cid"], how)
 
 
@@ -294,7 +294,7 @@ def repeated_spans(docs: DataFrame, *, span: int = SPAN, hot_bytes: int = HOT_BY
     wanted = lone.groupBy("doc", "cid").agg(F.collect_list(F.struct("h", "start", "size")).alias("runs"))
     wanted = stored(wanted, folder, "wanted")
     keyed = texts.withColumn("text", F.col("text").cast("binary"))
-    runs = stored(_with_texts(keyed, wanted).select("doc", "cid", "text", "runs").mapInArrow(_cut_runs, "h long, doc long, cid long, start long, run binary").distinct(), folder, "runs")
+    runs = stored(_with_texts(keyed, wanted, "runs").select("doc", "cid", "text", "runs").mapInArrow(_cut_runs, "h long, doc long, cid long, start long, run binary").distinct(), folder, "runs")
     cold = runs.join(hot, "h", "left_anti")
     found = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(span), "doc long, cid long, start long, size long")
     if not hot.isEmpty():
@@ -347,7 +347,7 @@ def without_repeats(docs: DataFrame, *, span: int = SPAN, hot_bytes: int = HOT_B
     merged = runs.groupBy("doc", "cid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     gathered = merged.groupBy("doc", "cid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     gathered = stored(gathered.select("doc", "cid", "spans.start", "spans.end").toDF("doc", "cid", "starts", "ends"), folder, "spans")
-    joined = _with_texts(keyed.withColumn("text", F.col("text").cast("binary")), gathered, "left")
+    joined = _with_texts(keyed.withColumn("text", F.col("text").cast("binary")), gathered, "starts", "left")
     return joined.select("doc_id", "text", "starts", "ends").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
