@@ -34,6 +34,8 @@ from lumenpage.llm.common import shared_dir, stored
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏЀ-џ‐-‧‰-⁞€]*")
 #: Longer texts go through the defining tokenizer alone.
 _FAST_CHARS = 1_000_000
+#: Shares of the fitted counts that are tried before rounding down.
+ROUNDINGS = (1.0, 0.75, 0.5, 0.25, 0.1, 0.05)
 
 
 def default_tokenizer() -> str:
@@ -169,11 +171,20 @@ def nnls(cells: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray
 
 
 def plan(histogram: dict[int, int], size: int = 1024) -> Plan:
-    """Place every piece of a histogram of lengths."""
-    out = Plan()
-    left = np.zeros(size + 1, np.int64)
+    """Place every piece of a histogram of lengths: of several roundings of the fitted counts, the one that needs fewest sequences."""
+    whole = np.zeros(size + 1, np.int64)
     for length, count in histogram.items():
-        left[length] = count
+        whole[length] = count
+    rest = whole.copy()
+    rest[size] = 0
+    cells = patterns(np.flatnonzero(rest), size)
+    fitted = nnls(cells, rest.astype(float))
+    return min((_placed(whole.copy(), cells, fitted * share, size) for share in ROUNDINGS), key=lambda p: p.sequences)
+
+
+def _placed(left: np.ndarray, cells: np.ndarray, fitted: np.ndarray, size: int) -> Plan:
+    """Patterns by their counts rounded down, then best-fit decreasing; ``left`` is the histogram."""
+    out = Plan()
     used = np.zeros(size + 1, np.int64)
 
     def put(length: int, count: int, sequence: int, offset: int) -> None:
@@ -184,9 +195,6 @@ def plan(histogram: dict[int, int], size: int = 1024) -> Plan:
     if left[size]:
         put(size, int(left[size]), 0, 0)
         out.sequences = int(used[size])
-    present = np.flatnonzero(left)
-    cells = patterns(present, size)
-    fitted = nnls(cells, left.astype(float))
     for k in np.argsort(-fitted, kind="stable"):
         count = int(fitted[k])
         lengths, times = np.unique(cells[k][cells[k] > 0], return_counts=True)
@@ -203,33 +211,28 @@ def plan(histogram: dict[int, int], size: int = 1024) -> Plan:
     # best-fit decreasing over the rest: sequences with the same room are one group of (first, count)
     room: list[list[list[int]]] = [[] for _ in range(size + 1)]
     for length in range(size - 1, 0, -1):
-        best = length
         while left[length]:
-            while best <= size and not room[best]:
-                best += 1
-            if best > size:
-                # several of this length may share a new sequence
-                each = size // length
-                count = int(left[length])
-                full, over = divmod(count, each)
-                for k in range(each):
-                    n = full + (k < over)
-                    if n:
-                        put(length, n, out.sequences, k * length)
-                if full and each * length < size:
-                    room[size - each * length].append([out.sequences, full])
-                if over:
-                    room[size - over * length].append([out.sequences + full, 1])
-                out.sequences += full + (over > 0)
-                break
-            group = room[best][-1]
-            n = min(group[1], int(left[length]))
-            put(length, n, group[0], size - best)
-            if best - length:
-                room[best - length].append([group[0], n])
-            group[0], group[1] = group[0] + n, group[1] - n
-            if not group[1]:
-                room[best].pop()
+            best = next((r for r in range(length, size) if room[r]), size)
+            each = best // length  # the fullest sequence takes all that it can, then the next
+            want = -(-int(left[length]) // each)
+            if best == size:
+                first, have = out.sequences, want
+                out.sequences += want
+            else:
+                first, have = room[best].pop()
+            full = min(have, int(left[length]) // each)
+            over = min(int(left[length]) - full * each, each - 1) if full < have else 0
+            for k in range(each):
+                n = full + (k < over)
+                if n:
+                    put(length, n, first, size - best + k * length)
+            taken = full + (over > 0)
+            if full and each * length < best:
+                room[best - each * length].append([first, full])
+            if over:
+                room[best - over * length].append([first + full, 1])
+            if taken < have:
+                room[best].append([first + taken, have - taken])
     return out
 
 
