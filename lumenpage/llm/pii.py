@@ -173,7 +173,7 @@ class Field:
 
 
 def fit(samples: list[Nodes], rounds: int = 400) -> Field:
-    """Logistic regression for the unary weights (accelerated gradient); smoothed log counts for links, relative to independence."""
+    """Logistic regression for the unary weights (accelerated gradient); smoothed log counts for links."""
     k = len(LABELS)
     x = np.concatenate([np.zeros((0, FEATURES)), *(s.features for s in samples)])
     y = np.concatenate([np.zeros(0, np.int64), *(s.labels for s in samples)])
@@ -186,18 +186,18 @@ def fit(samples: list[Nodes], rounds: int = 400) -> Field:
             p /= p.sum(1, keepdims=True)
             new = v - rate * (x.T @ (p - one) / len(x) + 1e-3 * v)
             v, w = new + t / (t + 3) * (new - w), new
-    share = np.log((np.bincount(y, minlength=k) + 1) / (len(y) + k))
 
     def potential(links: str, prior: np.ndarray) -> np.ndarray:
+        """Mean log chance of either label given the other."""
         seen = prior.copy()
         for s in samples:
             pairs = getattr(s, links)
             np.add.at(seen, (s.labels[pairs[:, 0]], s.labels[pairs[:, 1]]), 1)
-        seen = seen + seen.T
-        return np.clip(np.log(seen / seen.sum()) - share[:, None] - share[None, :], -4, 4)
+        given = np.log((seen + seen.T) / (seen + seen.T).sum(1, keepdims=True))
+        return np.clip((given + given.T) / 2, -4, 0)
 
-    # before any data, mentions of one thing agree nine times in ten
-    return Field(w, np.clip(potential("chain", np.ones((k, k))), -1, 1), potential("skip", np.eye(k) * 8 + 1))
+    # before any data, neighbours tell nothing, and mentions of one thing agree two times in three
+    return Field(w, potential("chain", np.ones((k, k))) / 4, potential("skip", np.eye(k) * 8 + 1))
 
 
 def spans(text: str | None, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
