@@ -75,7 +75,7 @@ class Template:
         """Few long words that together stand in over 20 % of the distinct shingles."""
         left = [set(s.split()) for s in self.shingles]
         most, chosen = len(left), set()
-        while most - len(left) <= (1 - CONTAINED) * most:
+        while len(left) >= CONTAINED * most - 1e-9:
             seen = Counter(w for s in left for w in s)
             word = max(seen, key=lambda w: (len(w) >= 7, seen[w], len(w), w))
             chosen.add(word)
