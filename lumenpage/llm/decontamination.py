@@ -18,6 +18,8 @@ under each item_id. Further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -144,23 +146,41 @@ def overlaps(index: SeedIndex, texts: pa.Array, min_words: int, min_share: float
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of ``docs`` (but any named overlaps) with overlaps, an array of verified overlaps.
-
-    The benchmark is measured first; beyond ``block_bytes`` it is indexed in
-    blocks, each of which passes over the documents with an index of its own.
-    """
-    names = [c for c in docs.columns if c != "overlaps"]
+def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[SeedIndex]:
+    """Indexes of the benchmark: it is measured first, and beyond ``block_bytes`` cut into blocks."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(names)
     for k in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = SeedIndex([(r[0], r[1]) for r in part.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()])
+        yield SeedIndex([(r[0], r[1]) for r in part.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of ``docs`` (but any named overlaps) with overlaps, an array of verified overlaps.
+
+    Each block of a large benchmark passes over the documents with an index of its own.
+    """
+    out = docs.select([c for c in docs.columns if c != "overlaps"])
+    for k, index in enumerate(indexes(benchmark, block_bytes)):
         out = _with_overlaps(out, index, min_words, min_share, first=k == 0)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a verified overlap, with all their columns as they are."""
+    for index in indexes(benchmark, block_bytes):
+        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(index), min_words, min_share), docs.schema)
+    return docs
+
+
+def _filter(shared, min_words: int, min_share: float):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not found for found in overlaps(shared.value, batch["text"], min_words, min_share)], pa.bool_()))
+
+    return run
+
+
 def _with_overlaps(docs: DataFrame, index: SeedIndex, min_words: int, min_share: float, first: bool) -> DataFrame:
     names = [c for c in docs.columns if c != "overlaps"]
     shared = docs.sparkSession.sparkContext.broadcast(index)

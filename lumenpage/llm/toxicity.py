@@ -183,6 +183,16 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
     return kept.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns as they are."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch["text"]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     """The fold that is never learnt from: crc32 of doc_id as text, modulo 4, is 2. A null id isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
