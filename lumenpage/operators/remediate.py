@@ -642,9 +642,9 @@ def drop_broken_references(w: Work) -> int:
             own = e.get(name).split()
             good = [x for x in own if x in ids]
             if len(good) < len(own):
-                e.attrs.pop(name)
-                if good:
-                    e.attrs[name] = " ".join(good)
+                e.attrs[name] = " ".join(good)
+                if not good:
+                    del e.attrs[name]
                 n += 1
     return n
 

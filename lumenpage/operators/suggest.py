@@ -125,7 +125,7 @@ def apply(source: str, suggestion: dict) -> tuple[str, bool]:
 
 def apply_all(pages: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Pages with their suggestions applied in order of id, and how many found their place."""
-    gathered = suggestions.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("id", "rule_id", "proposed_text", "original_html", "metadata"))).alias("_s"))
+    gathered = suggestions.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("id", "rule_id", "proposed_text", "original_html", F.map_entries("metadata").alias("metadata")))).alias("_s"))
     names = pages.columns
 
     def run(batches):
@@ -134,7 +134,7 @@ def apply_all(pages: DataFrame, suggestions: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 html, hit = r["html"], 0
                 for s in r["_s"] or ():
-                    html, ok = apply(html, s)
+                    html, ok = apply(html, s | {"metadata": {m["key"]: m["value"] for m in s["metadata"] or ()}})
                     hit += ok
                 out.append({n: r[n] for n in names} | {"html": html, "applied": hit, "not_applied": len(r["_s"] or ()) - hit})
             yield pa.RecordBatch.from_pylist(out, arrow)
