@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from lumenpage.operators import documents as D
 from lumenpage.operators.remediate import repaired, violations
 from lumenpage.operators.rules import RULES, findings
 from lumenpage.plans import dims, report
-from lumenpage.sources.elements import elements, page_table
+from lumenpage.sources.elements import elements, page_table, spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -30,7 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_table(table(spark, sf_dir, "pages"))
+    return page_table(spread(table(spark, sf_dir, "pages")))
+
+
+def scanned(own: DataFrame, course_rules: bool = False) -> DataFrame:
+    """Issues, kept for the several aggregates over them, as each would parse the pages again."""
+    return report.issues(own, course_rules).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 HOST = r"regexp_extract(url, '^https?://([^/]+)', 1)"
@@ -118,7 +124,7 @@ def link_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def criteria_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conformance by course and criterion, of one rule's issues."""
     own = pages(spark, sf_dir)
-    out = report.criteria_rollup(own, report.issues(own).where("rule_id = 'HDG001'"))
+    out = report.criteria_rollup(own, scanned(own).where("rule_id = 'HDG001'"))
     return out.select("course_id", "criterion_id", "issue_count", "pages_affected", "conformance")
 
 
@@ -126,15 +132,15 @@ def criteria_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conformance_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conformance report per course, as Markdown."""
     own = pages(spark, sf_dir)
-    return report.acr_markdown(report.acr(own, report.issues(own, course_rules=True)))
+    return report.acr_markdown(report.acr(own, scanned(own, course_rules=True)))
 
 
 @query()
 def repair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues before and after repairs, per course."""
     own = pages(spark, sf_dir)
-    before = report.issues(own)
-    new = repaired(own, before, with_title=True)
+    before = scanned(own)
+    new = repaired(own, before, with_title=True).persist(StorageLevel.MEMORY_AND_DISK)
     after = report.issues(new.select(own.columns))
     count = lambda df, name: df.groupBy("course_id", "page_id").agg(F.count("*").alias(name))
     rows = new.select("course_id", "page_id", "changed").join(count(before, "b"), ["course_id", "page_id"], "left").join(count(after, "a"), ["course_id", "page_id"], "left")
@@ -163,7 +169,7 @@ def sanitizer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def constructed_page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over pages made of part rows, whose findings follow from the columns."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     alt = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, ' alt=""').otherwise(F.concat(F.lit(' alt="photo of '), "p_name", F.lit('"')))
     html = F.concat(
         F.lit("<h2>"), "p_name", F.lit('</h2><p><img src="x.png"'), alt, F.lit('></p><a href="#">here</a><table><tr><td>1</td><td></td></tr></table><center>c</center>'),
@@ -389,7 +395,7 @@ def score_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pages(spark, sf_dir)
-    rollup = report.criteria_rollup(own, report.issues(own).where("rule_id = 'HDG001'"))
+    rollup = report.criteria_rollup(own, scanned(own).where("rule_id = 'HDG001'"))
     return report.conformance_summary(rollup).select("course_id", "conformance_pct", "overall_status")
 
 

@@ -275,6 +275,16 @@ def element_rows(source: str | None) -> list[dict]:
     return rows
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores if they come in fewer splits than there are cores.
+
+    Parsing is bound by CPU, so a small table in one file would keep one core
+    busy. Large tables have more splits than cores, and stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if not rows.isStreaming and rows.rdd.getNumPartitions() < cores else rows
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """The elements of pages (course_id, page_id, identifier, title, content_type, canvas_url, html); a null page has its root row alone."""
     schema: StructType = _parse_datatype_string(ELEMENTS)
