@@ -547,10 +547,14 @@ GROUPS: dict[str, Callable[[], list[Column]]] = {
 }
 
 
-def findings(elements: DataFrame) -> DataFrame:
-    """Rows of findings of all page rules: the page columns, rule, nid, seq, message, html."""
+def findings(elements: DataFrame, more: tuple[Callable[[], list[Column]], ...] = ()) -> DataFrame:
+    """Rows of findings of all page rules: the page columns, rule, nid, seq, message, html.
+
+    ``more`` adds rules of a user's own: functions that give columns of findings
+    or nulls, made with ``when`` or ``hit`` over the facts of an element.
+    """
     none = F.array().cast(FINDING)
-    parts = [F.filter(F.array(*rules()), lambda f: f.isNotNull()).cast(FINDING) for rules in GROUPS.values()]
+    parts = [F.filter(F.array(*rules()), lambda f: f.isNotNull()).cast(FINDING) for rules in (*GROUPS.values(), *more)]
     several = [F.coalesce(a.cast(FINDING), none) for a in _arrays()]
     of_element = F.when(C("nid") > 0, F.concat(*parts, *several))
     of_page = F.when(C("nid") == 0, F.concat(*(F.coalesce(p.cast(FINDING), none) for p in _page_rules())))

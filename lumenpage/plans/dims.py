@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenpage.operators.rules import RULES
+from lumenpage.operators.rules import RULES, Rule
 
 # Success criteria (id, name, level).
 CRITERIA = """
@@ -83,8 +83,9 @@ def rule_mapping() -> dict[str, str]:
     return {r.rule_id: r.wcag for r in RULES if r.rule_id not in UNMAPPED} | MAPPING_OTHER
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    rows = [(r.rule_id, k, r.severity, r.category, r.wcag, r.auto_fix, r.fix) for k, r in enumerate(RULES)]
+def rules(spark: SparkSession, more: tuple[Rule, ...] = ()) -> DataFrame:
+    """The rules in order, and after them those of a user's own."""
+    rows = [(r.rule_id, k, r.severity, r.category, r.wcag, r.auto_fix, r.fix) for k, r in enumerate([*RULES, *more])]
     return spark.createDataFrame(rows, "rule_id string, rule_ord int, severity string, category string, wcag_criterion string, can_auto_fix boolean, fix_description string")
 
 

@@ -6,10 +6,12 @@ tens of rows and are broadcast; aggregates of issues are per course.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenpage.operators.rules import findings
+from lumenpage.operators.rules import Rule, findings
 from lumenpage.plans import dims
 from lumenpage.sources.elements import elements
 
@@ -33,9 +35,9 @@ def help_findings(parsed: DataFrame) -> DataFrame:
     return flagged.select("course_id", "page_id", "identifier", "title", "content_type", "canvas_url", F.lit("HELP001").alias("rule"), F.lit(0).alias("nid"), F.lit(0).alias("seq"), message.alias("message"), F.lit(None).cast("string").alias("html"))
 
 
-def to_issues(found: DataFrame) -> DataFrame:
+def to_issues(found: DataFrame, more: tuple[Rule, ...] = ()) -> DataFrame:
     """Findings with what their rules say of them, in the issue schema. Ids are made of course, page, rule and place."""
-    rules = F.broadcast(dims.rules(found.sparkSession))
+    rules = F.broadcast(dims.rules(found.sparkSession, more))
     issue_id = F.sha2(F.concat_ws("|", F.coalesce("course_id", F.lit("")), "page_id", "rule_id", "nid", "seq", F.xxhash64("message")), 256)
     return found.withColumnRenamed("rule", "rule_id").join(rules, "rule_id").select(
         issue_id.alias("id"), "course_id", "rule_id", "severity", "category", "wcag_criterion", "message", "page_id", F.col("identifier").alias("page_identifier"), F.col("title").alias("page_title"),
@@ -44,13 +46,16 @@ def to_issues(found: DataFrame) -> DataFrame:
     )
 
 
-def issues(pages: DataFrame, course_rules: bool = False) -> DataFrame:
-    """Issues of all page rules; with ``course_rules``, of the rules that compare the pages of a course as well."""
+def issues(pages: DataFrame, course_rules: bool = False, more_rules: tuple[Rule, ...] = (), more: tuple[Callable[[], list[Column]], ...] = ()) -> DataFrame:
+    """Issues of all page rules; with ``course_rules``, of the rules that compare the pages of a course as well.
+
+    A user's own rules are described by ``more_rules`` and found by ``more``.
+    """
     parsed = elements(pages)
-    found = findings(parsed)
+    found = findings(parsed, more)
     if course_rules:
         found = found.unionByName(help_findings(parsed))
-    return to_issues(found)
+    return to_issues(found, more_rules)
 
 
 def configured(found: DataFrame, config: DataFrame) -> DataFrame:

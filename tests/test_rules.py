@@ -131,3 +131,12 @@ def test_trees():
 def test_smoke_fixture(spark):
     pages = spark.createDataFrame([("c", "p", None, None, None, None, "<h2>Overview</h2><p><img src='hero.png'></p>")], PAGES)
     assert findings(elements(pages)).where(F.col("rule") == "IMG001").count() == 1
+
+
+def test_own_rules_run_beside_the_others(spark):
+    from lumenpage.operators.rules import Rule, msg, tag, when
+    from lumenpage.plans import report
+
+    pages = spark.createDataFrame([("c", "p", "p", "T", "wiki_page", None, "<h2>a</h2><hr><hr>")], PAGES)
+    own = report.issues(pages, more_rules=(Rule("OWN001", "info", "structure", "1.3.1", False),), more=(lambda: [when("OWN001", tag("hr"), msg("A line"))],))
+    assert [(r["rule_id"], r["severity"], r["message"]) for r in own.collect()] == [("OWN001", "info", "A line")] * 2
