@@ -142,7 +142,7 @@ def scan(docs: DataFrame, named: dict[str, list[str]] | None = None) -> DataFram
     gate = set().union(*(t.gate() for t in known))
     # a text that no gate word stands in isn't cut into words at all
     gated = F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(sorted(gate))})(?![a-z0-9])")
-    words = F.filter(F.split(F.lower(F.translate("text", "İK", "  ")), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.translate("text", "\u0130\u212a", "  ")), "[^a-z0-9]+"), lambda w: w != "")
     found = []
     for size in sorted({t.window() for t in known}):
         own = [(n, t) for n, t in enumerate(known) if t.window() == size]

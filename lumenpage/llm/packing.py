@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lumenpage.llm.common import shared_dir, stored
 
 #: Characters for which both tokenizers' Unicode tables surely agree.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏЀ-џ‐-‧‰-⁞€]*")
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u0400-\\u045f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*")
 #: Longer texts go through the defining tokenizer alone.
 _FAST_CHARS = 1_000_000
 #: Shares of the fitted counts that are tried before rounding down.
