@@ -21,7 +21,9 @@ U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: A second table of random values, for hashes that are independent of those of the first.
+BYTE2 = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
@@ -93,6 +95,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0][:n], _POW[1][:n]
 
 
+def prefix_sums(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over the bytes, from which the hash of any stretch follows (see ``stretch``)."""
+    up, _ = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(table[raw] * up[: len(raw)], out=sums[1:])
+    return sums
+
+
+def stretch(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``begin`` to ``end``, wherever they stand."""
+    return (sums[end] - sums[begin]) * powers(len(sums))[1][begin]
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -137,17 +152,15 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE, head
     first[edge] = solid[edge]
     last[edge - 1] = solid[edge - 1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=sums[1:])
-    hashed = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    sums = prefix_sums(_LOWER[raw], BYTE)
+    hashed = mix(stretch(sums, begin, end) + (end - begin).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
     words = hashed, begin, end, np.searchsorted(begin, at)
     if not heads:
         return words
     cut = []
     for k in heads:
         long = end - begin > k
-        part = mix((sums[np.minimum(begin + k, n)] - sums[begin]) * down[begin] + U64(k * 2 + 1))
+        part = mix(stretch(sums, begin, np.minimum(begin + k, n)) + U64(k * 2 + 1))
         cut.append(np.where(long, part, U64(0)))
     return (*words, cut)
 

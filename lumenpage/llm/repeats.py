@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import U64, _BYTE, groups, mix, powers, shared_dir, small_batches, steps, stored, text_bytes
+from lumenpage.llm.common import BYTE, BYTE2, U64, groups, mix, powers, prefix_sums, shared_dir, small_batches, steps, stored, stretch, text_bytes
 
 SPAN, GRAM = 200, 32
 #: Bytes of runs under one hash that a task compares, and that one suffix array takes.
@@ -55,10 +55,8 @@ def anchors(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
     none = np.zeros(0, np.int64)
     if n < span:
         return none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none, none
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
-    value = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    sums, other = prefix_sums(raw, BYTE), prefix_sums(raw, BYTE2)
+    value = mix((sums[gram:] - sums[:-gram]) * powers(n + 1)[1][: n - gram + 1])
     low = _sliding_min((value & ~_PLACE) | np.arange(len(value), dtype=np.uint64), span - gram + 1)
     place = (low & _PLACE).astype(np.int64)  # of the minimizer of the window at each start
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(place)]
@@ -69,9 +67,8 @@ def anchors(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
     end[:-1] &= (place[1:] != place[:-1]) | ~valid[1:] | (row[1:] != row[:-1])
     a, z = np.flatnonzero(begin), np.flatnonzero(end) + span
     inner = (place[a] - a).astype(np.uint64) << U64(32) | (z - a).astype(np.uint64)
-    whole = (sums[z] - sums[a]) * down[a]
     owner = row[a]
-    return owner, value[place[a]], mix(whole ^ mix(inner)), mix(whole * U64(0xA24BAED4963EE407) + inner), a - at[:-1][owner], z - a
+    return owner, value[place[a]], mix(stretch(sums, a, z) ^ mix(inner)), mix(stretch(other, a, z) + inner), a - at[:-1][owner], z - a
 
 
 def _anchor_rows(counted: bool, span: int):
@@ -254,12 +251,10 @@ def _window_rows(span: int):
         for batch in batches:
             for raw, doc, cid, start in zip(batch["run"], batch["doc"].to_pylist(), batch["cid"].to_pylist(), batch["start"].to_pylist(), strict=True):
                 own = np.frombuffer(raw.as_buffer(), np.uint8)
-                up, down = powers(len(own) + 1)
-                sums = np.zeros(len(own) + 1, np.uint64)
-                np.cumsum(_BYTE[own] * up[: len(own)], out=sums[1:])
-                whole = (sums[span:] - sums[:-span]) * down[: len(own) - span + 1]
-                n = len(whole)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(whole).view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array([cid] * n, pa.int64()), pa.array(start + np.arange(n)), pa.array(np.full(n, span))], ["w", "doc", "cid", "start", "size"])
+                at = np.arange(len(own) - span + 1)
+                n = len(at)
+                w, w2 = (mix(stretch(prefix_sums(own, table), at, at + span)).view(np.int64) for table in (BYTE, BYTE2))
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(w2), pa.array([doc] * n, pa.int64()), pa.array([cid] * n, pa.int64()), pa.array(start + np.arange(n)), pa.array(np.full(n, span))], ["w", "w2", "doc", "cid", "start", "size"])
 
     return run
 
@@ -298,9 +293,9 @@ def repeated_spans(docs: DataFrame, *, span: int = SPAN, hot_bytes: int = HOT_BY
     cold = runs.join(hot, "h", "left_anti")
     found = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(span), "doc long, cid long, start long, size long")
     if not hot.isEmpty():
-        windows = runs.join(hot, "h", "left_semi").mapInArrow(_window_rows(span), "w long, doc long, cid long, start long, size long")
-        often = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-        found = found.union(windows.join(often, "w", "left_semi").select("doc", "cid", "start", "size"))
+        windows = runs.join(hot, "h", "left_semi").mapInArrow(_window_rows(span), "w long, w2 long, doc long, cid long, start long, size long")
+        often = windows.groupBy("w", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w", "w2")
+        found = found.union(windows.join(often, ["w", "w2"], "left_semi").select("doc", "cid", "start", "size"))
     return full.union(found)
 
 
