@@ -204,6 +204,30 @@ class SuffixArray:
                 stack.append((now, begin))
 
 
+def hulls(strings: list[bytes], span: int) -> list[tuple[int, int, int]]:
+    """(string, start, end) of those strings that hold a window that any of them holds again: from the byte before the first such window to the end of the last.
+
+    What lies outside can't be part of a repeat, so the suffix array is spared it.
+    """
+    sizes = np.array([len(x) for x in strings], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    owner = np.repeat(np.arange(len(strings)), np.maximum(sizes - span + 1, 0))
+    if not len(owner):
+        return []
+    begin = np.flatnonzero(np.repeat(at[1:], sizes) - np.arange(len(raw)) >= span)
+    hashed = mix(stretch(prefix_sums(raw, BYTE), begin, begin + span))
+    order = np.argsort(hashed)
+    same = hashed[order][1:] == hashed[order][:-1]
+    again = np.zeros(len(begin), bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    own, place = owner[again], begin[again]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(own)) - 1
+    return [(int(k), max(0, int(a - at[k]) - 1), int(z - at[k]) + span) for k, a, z in zip(own[first], place[first], place[last], strict=True)]
+
+
 def _compare(span: int):
     """Runs, sorted by hash, to rows (doc, cid, start, size) of repeats; several hashes share one suffix array."""
 
@@ -211,7 +235,10 @@ def _compare(span: int):
         table = pa.concat_tables(tables)
         strings = [x.as_py() for x in table["run"]]
         doc, cid, base = table["doc"], table["cid"].to_numpy(), table["start"].to_numpy()
-        flat = SuffixArray(strings, span).covered(span)
+        kept = hulls(strings, span)
+        flat = SuffixArray([strings[k][a:z] for k, a, z in kept], span).covered(span)
+        index = np.array(kept, np.int64).reshape(-1, 3)
+        flat = np.stack([index[flat[:, 0], 0], flat[:, 1] + index[flat[:, 0], 1], flat[:, 2]], 1)
         return pa.RecordBatch.from_arrays([doc.take(pa.array(flat[:, 0])).combine_chunks(), pa.array(cid[flat[:, 0]]), pa.array(base[flat[:, 0]] + flat[:, 1]), pa.array(flat[:, 2])], ["doc", "cid", "start", "size"])
 
     def run(batches):
