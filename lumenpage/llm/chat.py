@@ -92,6 +92,8 @@ def paths(nodes: DataFrame, folder: str) -> DataFrame:
     out = all_found[0]
     for part in all_found[1:]:
         out = out.union(part)
+    # one table, as semi-joins would be planned once for each part of a union
+    out = stored(out, folder, "paths")
     # a leaf below a cycle never meets a root
     root = ids.select("node").join(up.select("node"), "node", "left_anti")
     rooted = out.join(root, "node", "left_semi").select("leaf").distinct()
