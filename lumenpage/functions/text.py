@@ -180,10 +180,14 @@ def wcag_url(criterion: Column) -> Column:
 
 
 def scrubbed(text: Column) -> Column:
-    """Folders before archive names, e-mail addresses, and home folders replaced by markers, in this order."""
-    text = F.regexp_replace(text, r"(?iU)(\S*/)?([^/\s\"']+\.imscc)", "<imscc-dir>/$2")
-    text = F.regexp_replace(text, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "<email>")
-    return F.regexp_replace(text, r"(?iU)/Users/[^/\s]+|/home/[^/\s]+", "<home>")
+    """Folders before archive names, e-mail addresses, and home folders replaced by markers, in this order.
+
+    Each pattern runs only over texts that hold what it can't do without.
+    """
+    low = F.lower(text)
+    text = F.when(low.contains(".imscc"), F.regexp_replace(text, r"(?iU)(\S*/)?([^/\s\"']+\.imscc)", "<imscc-dir>/$2")).otherwise(text)
+    text = F.when(low.contains("@"), F.regexp_replace(text, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "<email>")).otherwise(text)
+    return F.when(low.contains("/users/") | low.contains("/home/"), F.regexp_replace(text, r"(?iU)/Users/[^/\s]+|/home/[^/\s]+", "<home>")).otherwise(text)
 
 
 def slug(text: Column) -> Column:
