@@ -3,12 +3,14 @@
 DataFrame functions only, all in one row: nothing is shuffled. Texts become
 words (runs of ASCII letters and digits, A-Z as a-z); shingles are five words.
 For each size class of templates a text is cut into windows that overlap by
-half, so an occurrence of a template lies whole in some window of its class,
-and its similarity to that window is 0.3 at least. Each band is the least of
-the window's shingle hashes under one seed; with ``BANDS`` bands of one row the
-chance to retrieve an occurrence with 80 % of its shingles is over 0.9998, and
-near 1 for a whole one. A retrieved template is reported if the window holds at
-least 80 % of its distinct shingles exactly.
+half, so an occurrence of a template lies whole in some window of its class.
+Each band is the least of the window's shingle hashes under one seed. A class
+has as many bands of one row as its least similarity asks for: an occurrence
+with just 80 % of its shingles, in a window of other words, is missed with a
+chance of ``MISS`` at most, and a whole one less often. Classes with a template
+of ``FEW`` shingles or fewer have no bands: all their templates are retrieved
+by every window, so nothing is missed. A retrieved template is reported if the
+window holds at least 80 % of its distinct shingles exactly.
 
 A gate spares most windows: from each template come words that together stand
 in over 20 % of its shingles, so no occurrence lacks all of them. Windows
@@ -22,6 +24,7 @@ aren't named licenses stay.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -29,7 +32,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORDS, CONTAINED, BANDS = 5, 0.8, 24
+WORDS, CONTAINED = 5, 0.8
+#: Chance to miss an occurrence by its bands, at most; distinct shingles up to which templates do without bands.
+MISS, FEW = 0.0002, 4
 
 # Notices and texts of public licenses.
 TEMPLATES = {
@@ -89,6 +94,12 @@ class Template:
             size += size // 4
         return size + size % 2
 
+    def bands(self) -> int:
+        """Bands that retrieve an occurrence with just enough shingles, in a window of other ones, but for a chance of MISS."""
+        n, most = len(self.shingles), self.window() - WORDS + 1
+        least = math.ceil(CONTAINED * n - 1e-9)
+        return math.ceil(math.log(MISS) / math.log(1 - least / (n + most - least)))
+
 
 def templates(named: dict[str, list[str]]) -> list[Template]:
     out = [Template(name, tuple(re.findall("[a-z0-9]+", text.lower()))) for name, texts in named.items() for text in texts]
@@ -101,13 +112,13 @@ def _hash(shingle: Column) -> Column:
     return F.xxhash64(shingle)
 
 
-def _bands(hashes: Column) -> Column:
+def _bands(hashes: Column, count: int) -> Column:
     """The least hash under each seed; the seed stands first, so bands don't mix."""
 
     def least(k: int) -> Column:
         return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k))))
 
-    return F.array(*(F.xxhash64(F.lit(k), least(k)) for k in range(BANDS)))
+    return F.array(*(F.xxhash64(F.lit(k), least(k)) for k in range(count)))
 
 
 def _windows(words: Column, size: int, gate: set[str]) -> Column:
@@ -124,11 +135,11 @@ def _windows(words: Column, size: int, gate: set[str]) -> Column:
     )
 
 
-def _matcher(literal: Column):
-    """For a window: the templates that share a band with it and are contained in it."""
+def _matcher(literal: Column, count: int):
+    """For a window: the templates that share a band with it (all, without bands) and are contained in it."""
 
     def matched(w: Column) -> Column:
-        retrieved = F.filter(literal, lambda t: F.arrays_overlap(t["bands"], w["bands"]))
+        retrieved = F.filter(literal, lambda t: F.arrays_overlap(t["bands"], w["bands"])) if count else literal
         share = lambda t: F.size(F.array_intersect(t["shingles"], w["shingles"])) / F.size(t["shingles"])
         exact = F.transform(retrieved, lambda t: F.struct(t["template"].alias("template"), share(t).alias("contained"), (-w["at"]).alias("back"), t["name"].alias("name")))
         return F.filter(exact, lambda m: m["contained"] >= CONTAINED)
@@ -146,17 +157,19 @@ def scan(docs: DataFrame, named: dict[str, list[str]] | None = None) -> DataFram
     found = []
     for size in sorted({t.window() for t in known}):
         own = [(n, t) for n, t in enumerate(known) if t.window() == size]
+        count = 0 if any(len(t.shingles) <= FEW for _, t in own) else max(t.bands() for _, t in own)
+        bands = lambda hashes: [_bands(hashes, count).alias("bands")] if count else []  # noqa: B023, E731
         literal = F.array(
             *(
-                F.struct(F.lit(t.name).alias("name"), F.lit(n).alias("template"), hashes.alias("shingles"), _bands(hashes).alias("bands"))
+                F.struct(F.lit(t.name).alias("name"), F.lit(n).alias("template"), hashes.alias("shingles"), *bands(hashes))
                 for n, t in own
                 for hashes in [F.array(*(_hash(F.lit(s)) for s in t.shingles))]
             )
         )
         windows = F.transform(
-            _windows(F.col("_words"), size, set().union(*(t.gate() for _, t in own))), lambda w: F.struct(w["at"].alias("at"), w["shingles"].alias("shingles"), _bands(w["shingles"]).alias("bands"))
+            _windows(F.col("_words"), size, set().union(*(t.gate() for _, t in own))), lambda w: F.struct(w["at"].alias("at"), w["shingles"].alias("shingles"), *bands(w["shingles"]))
         )
-        found.append(F.flatten(F.transform(windows, _matcher(literal))))
+        found.append(F.flatten(F.transform(windows, _matcher(literal, count))))
     kind = "array<struct<template:int,contained:double,back:int,name:string>>"
     every = F.concat(*(f.cast(kind) for f in found))
     # of each template the window with most of it, the first of these

@@ -280,6 +280,21 @@ def test_licenses_are_found_whole_and_nearly_whole(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_short_notices_are_found_in_any_context(spark):
+    rng = random.Random(12)
+    short = [(n, t) for n, t in enumerate(licenses.templates(licenses.TEMPLATES)) if len(t.words) <= 8]
+    rows = [(n, f"{prose(rng, rng.randrange(30))} {' '.join(t.words)}. {prose(rng, rng.randrange(30))}") for n, t in short for _ in range(400)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["text"] for r in found if r["doc_id"] not in [m["template"] for m in r["licenses"]]] == []
+
+
+def test_license_bands_suit_the_least_similarity_of_their_class():
+    for t in licenses.templates(licenses.TEMPLATES):
+        n, most = len(t.shingles), t.window() - 4
+        least = next(k for k in range(1, n + 1) if k >= 0.8 * n - 1e-9)
+        assert n <= licenses.FEW or (1 - least / (n + most - least)) ** t.bands() <= 0.0002
+
+
 def test_license_gates_lose_no_occurrence():
     for t in licenses.templates(licenses.TEMPLATES):
         without = [s for s in t.shingles if not t.gate() & set(s.split())]
