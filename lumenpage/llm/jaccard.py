@@ -24,14 +24,15 @@ shingles; the distance is 1 - Jaccard similarity. Pivots create regions:
 
 Links become components. A text of fewer words than a shingle is one shingle of
 all its words; without words (or null) it has an empty set and no links. Rows
-with the same doc_id are one document as far as links go; a null doc_id has no
-component and no links. Repeated rows give a row each; an empty table none.
+with the same doc_id are one document as far as links go, whatever their texts;
+a null doc_id has no component and no links. Repeated rows give a row each; an empty table none.
 Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,10 @@ def shingle_sets(texts: pa.Array, size: int):
                 yield np.zeros(0, np.uint64)
 
 
+def _key(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles of many texts, in ascending order; bounded by COMMON."""
 
@@ -106,11 +111,10 @@ def _sets(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataF
             n, key, prefix = [], [], []
             for own in shingle_sets(batch["text"], size):
                 n.append(len(own))
+                key.append(_key(own))
                 if not len(own):
-                    key.append(None)
                     prefix.append(None)
                     continue
-                key.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 often = np.zeros(len(own), bool)
                 if len(common):
                     often = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
@@ -342,19 +346,43 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
-def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, limit: int = CELL) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    folder = shared_dir(spark)
+def _classes(sets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """(key, doc_id, id) of each set: its smallest doc_id and an id of its own; and the doc_ids with several sets, if any.
+
+    The id is the doc_id. Where that has several sets, it is a hash of the key,
+    under the first seed by which all ids differ.
+    """
+    rows = sets.where("doc_id IS NOT NULL")
+    several = stored(rows.select("doc_id", "key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "several")
+    least = stored(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")), folder, "classes")
+    if several.isEmpty():
+        return least.withColumn("id", F.col("doc_id")), None
+    marked = least.join(_few(several.withColumn("mixed", F.lit(True))), "doc_id", "left")
+    for seed in itertools.count():
+        own = F.when(F.col("mixed"), F.xxhash64("key", F.lit(seed))).otherwise(F.col("doc_id"))
+        classes = stored(marked.select("key", "doc_id", own.alias("id")), folder, f"classes-{seed}")
+        if classes.groupBy("id").count().where("count > 1").isEmpty():
+            return classes, several
+
+
+def _linked(docs: DataFrame, size: int, percent: int, limit: int, folder: str, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The stored sets of all rows; per key the smallest doc_id of its component and whether the key is the first of that; doc_ids with several sets.
+
+    With ``by_id``, sets of one doc_id are linked too.
+    """
     common = common_shingles(docs, size)
     sets = stored(_sets(docs, size, percent, common), folder, "sets")
     named = sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(named.groupBy("key").agg(F.min("doc_id").alias("id")), folder, "classes")
+    classes, several = _classes(sets, folder)
     # of rows with equal sets, one stands for all; what is left over is few, or else shuffled
-    copies = named.select("key", "doc_id").join(classes, "key").where("doc_id <> id").select(F.col("doc_id").alias("id"))
-    copies = stored(copies.distinct(), folder, "copies")
-    holders = named.select(F.col("doc_id").alias("id"), "n", "prefix").join(_few(copies), "id", "left_anti")
+    copies = named.select("key", "doc_id").join(classes.select("key", F.col("doc_id").alias("least")), "key").where("doc_id <> least")
+    on = ["key", "doc_id"] if several else ["doc_id"]
+    copies = stored(copies.select(on).distinct(), folder, "copies")
+    holders = named.select("key", "doc_id", "n", "prefix").join(_few(copies), on, "left_anti")
+    if several:
+        holders = holders.join(_few(classes.where("id <> doc_id").select("key", "id")), "key", "left").withColumn("id", F.coalesce("id", "doc_id"))
+    else:
+        holders = holders.withColumn("id", F.col("doc_id"))
     counts = holders.groupBy("id").agg(F.max("n").alias("n"))
     region = Window.partitionBy("s")
     windows = holders.select("id", "prefix").mapInArrow(_windows, "s long, id long")
@@ -378,16 +406,49 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, lim
             rows = pa.RecordBatch.from_arrays([batch["cell"], batch["id"], pa.array(own, pa.binary())], ["cell", "id", "members"])
             yield rows.filter(pa.array([len(s) > 0 for s in own], pa.bool_()))
 
+    def keyed_sets(batches):
+        for batch in batches:
+            own = list(shingle_sets(batch["text"], size))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(_key, own), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "key", "members"])
+
     def whole(rows: DataFrame) -> DataFrame:
+        if several:
+            keyed = rows.join(classes, "id").select("cell", "id", "key", "doc_id")
+            texts = docs.select("doc_id", "text").join(_few(keyed.select("doc_id").distinct()), "doc_id", "left_semi")
+            return texts.mapInArrow(keyed_sets, "doc_id long, key binary, members binary").join(_few(keyed), ["doc_id", "key"]).select("cell", "id", "members")
         texts = docs.select(F.col("doc_id").alias("id"), "text").join(_few(rows), "id").select("cell", "id", "text")
         return texts.mapInArrow(add_sets, "cell long, id long, members binary")
 
     links = _exact(merged, counts, whole, percent, folder, limit)
+    if several and by_id:
+        own = named.join(_few(several), "doc_id", "left_semi").join(classes.select("key", "id"), "key").select("doc_id", "id").distinct()
+        own = stored(own, folder, "own")
+        links = links.union(own.join(_few(own.groupBy("doc_id").agg(F.min("id").alias("b"))), "doc_id").select("id", "b"))
     linked = components(links, folder)
-    known = classes.join(linked, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    out = sets.select("doc_id", "n", "key").join(known, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    known = classes.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if several:
+        known = stored(known, folder, "known")
+        least = known.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+        known = known.join(least, "component").select("key", F.col("least.doc_id").alias("component_id"), (F.col("key") == F.col("least.key")).alias("first"))
+    else:
+        known = known.select("key", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("first"))
+    return sets, known, several
+
+
+def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, limit: int = CELL) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = shared_dir(spark)
+    sets, known, several = _linked(docs, size, percent, limit, folder, by_id=True)
+    out = sets.select("doc_id", "n", "key").join(known.drop("first"), "key", "left")
+    component = F.coalesce("component_id", "doc_id")
+    if several:
+        # rows without words go where the others of their doc_id are
+        own = out.join(_few(several), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        out = out.join(_few(stored(own, folder, "own-components")), "doc_id", "left")
+        component = F.coalesce("component_id", "own", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFrame:

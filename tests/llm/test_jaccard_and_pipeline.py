@@ -72,6 +72,19 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted(str(r["doc_id"]) for r in jaccard.one_of_each(df).collect()) == ["3", "9", "None", "None"]
 
 
+@pytest.mark.parametrize(("seed", "limit"), [(4, 4_000_000), (5, 1500)])
+def test_rows_of_one_doc_id_with_different_texts_keep_all_their_links(spark, seed, limit):
+    rng = random.Random(seed)
+    texts = [t for _, t in fixture(seed)]
+    rows = [(k if rng.random() < 0.8 else rng.randrange(len(texts)), t) for k, t in enumerate(texts)]
+    first, second = ([f"{w}{k}" for k in range(40)] for w in "xy")
+    near = [*second[:39], "z"]
+    rows += [(1001, " ".join(first)), (1003, " ".join(first)), (1003, " ".join(second)), (1003, ""), (1005, " ".join(near)), (1007, "p q r s"), (1007, " ".join(near[1:]))]
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), limit=limit).collect())
+    assert got == brute(rows, 4, 85)
+    assert {r[2] for r in got if r[0] > 1000} == {1001}
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), shared_dir(spark)).collect())
