@@ -451,21 +451,43 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, lim
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
+def _with_keys(size: int):
+    def run(batches):
+        for batch in batches:
+            keys = pa.array(map(_key, shingle_sets(batch["text"], size)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_key"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id. Rows without a doc_id stay."""
-    folder = shared_dir(docs.sparkSession)
-    found = stored(jaccard_components(docs.select("doc_id", "text"), size=size, percent=percent), folder, "components")
-    dropped = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), folder, "dropped")
-    few = dropped.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == dropped["id"], "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    """``docs`` with one row of each component of near copies: of the smallest doc_id, there of the least key.
+
+    Texts are linked by what they hold alone, so rows of one doc_id that aren't
+    near copies all stay. Of rows with one doc_id and no words, one stays. Rows
+    without a doc_id stay.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = shared_dir(spark)
+    sets, known, _ = _linked(docs.select("doc_id", "text"), size, percent, CELL, folder, by_id=False)
+    found = sets.where("doc_id IS NOT NULL").select("doc_id", "key").join(known, "key", "left")
+    stays = F.col("key").isNull() | ((F.col("doc_id") == F.col("component_id")) & F.col("first"))
+    found = stored(found.select("doc_id", "key", stays.alias("stays")), folder, "components")
+    dropped = stored(found.where("NOT stays").select(F.col("doc_id").alias("id")).distinct(), folder, "dropped")
+    again = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")), folder, "repeated")
     if again.isEmpty():
-        return kept
-    # one row of each doc_id that has several; the others don't move
-    repeated = stored(again.select(F.col("doc_id").alias("id")), folder, "repeated")
-    single = kept.join(repeated, kept["doc_id"] == repeated["id"], "left_anti")
-    several = kept.join(repeated, kept["doc_id"] == repeated["id"], "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+        return docs.join(_few(dropped), docs["doc_id"] == dropped["id"], "left_anti")
+    # of doc_ids with several rows, one row of each set that stays; the others don't move
+    single = docs.join(_few(again), docs["doc_id"] == again["id"], "left_anti")
+    single = single.join(_few(dropped), single["doc_id"] == dropped["id"], "left_anti")
+    rows = docs.join(_few(again), docs["doc_id"] == again["id"], "left_semi")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = rows.mapInArrow(_with_keys(size), f"{schema}, _key binary").dropDuplicates(["doc_id", "_key"])
+    kept = found.where("stays").join(_few(again), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_own")).distinct()
+    kept = stored(kept, folder, "kept")
+    rows = rows.join(_few(kept), (F.col("doc_id") == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_own")), "left_semi").drop("_key")
+    return single.unionByName(rows)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

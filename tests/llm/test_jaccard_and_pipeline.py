@@ -85,6 +85,16 @@ def test_rows_of_one_doc_id_with_different_texts_keep_all_their_links(spark, see
     assert {r[2] for r in got if r[0] > 1000} == {1001}
 
 
+def test_only_near_copies_go_where_a_doc_id_has_several_texts(spark):
+    first, second, third = (" ".join(f"{w}{k}" for k in range(40)) for w in "xyz")
+    rows = [(1, first), (3, first), (3, second), (3, third), (3, third.upper()), (3, ""), (3, None), (5, f"{second} more"), (7, "p q r s t"), (7, "p q r s t"), (8, f"{third} more"), (9, "u v w x y"), (None, first)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = jaccard.one_of_each(df, size=5, percent=80)
+    assert kept.columns == df.columns
+    got = [(str(r["doc_id"]), (r["text"] or "").lower()) for r in kept.collect()]
+    assert sorted(got) == sorted([("1", first), ("3", second), ("3", third), ("3", ""), ("7", "p q r s t"), ("9", "u v w x y"), ("None", first)])
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), shared_dir(spark)).collect())
