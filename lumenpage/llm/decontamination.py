@@ -5,11 +5,20 @@ pattern of kept and ignored word positions; the hash of the kept words is a
 seed. Seeds of all masks that a document shares with a benchmark item propose
 alignments, and each is verified: along the diagonal, the best segment is the
 one with the highest sum of +1 for an equal and -4 for a different word, so a
-verified overlap is at least 80 % equal and tolerates substituted words.
+verified segment is at least 80 % equal and tolerates substituted words. What
+is left of the diagonal on both sides of it is searched again, for segments of
+five equal words (or the whole item) at least.
+
+The overlap of a document with an item is the sum of its segments on all
+diagonals, from the one with most equal words down; of the later ones counts
+only what takes words of neither text again. So words put in, left out or
+moved do not hide a copy. Segments that follow each other in both texts, with
+eight words at most between them in each, form a passage.
 
 A document is contaminated by an item if the overlap has at least
-``min_words`` equal words and covers ``min_share`` of the item. Items shorter
-than the widest mask are looked up by the hash of all their words.
+``min_words`` equal words and either covers ``min_share`` of the item or has a
+passage of ``min_run`` equal words. Items shorter than the widest mask are
+looked up by the hash of all their words.
 
 Null and empty texts hold no words and are never contaminated; neither are
 they useful items. Repeated documents are reported one by one, repeated items
@@ -32,6 +41,8 @@ MASKS = ("11111", "1101011", "1011101", "11000111")
 #: Bytes of benchmark text that are indexed, and broadcast, at a time.
 BLOCK_BYTES = 32 << 20
 _FILTER_BITS = 22
+#: Equal words that a segment needs, as many as a mask keeps; words that may stand between the segments of a passage.
+LEAST, GAP = 5, max(map(len, MASKS))
 
 HITS = "array<struct<item_id:bigint,matched:int,length:int,start:int,item_words:int>>"
 
@@ -109,40 +120,69 @@ def _best_segment(same: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
-def overlaps(index: SeedIndex, texts: pa.Array, min_words: int, min_share: float) -> list[list[dict]]:
+def _segments(same: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """The best segment, and those of what is left on both sides of it."""
+    open_ = [(0, len(same))]
+    while open_:
+        low, high = open_.pop()
+        if high - low < least:
+            continue
+        a, b = _best_segment(same[low:high])
+        if int(same[low + a : low + b].sum()) >= least:
+            yield low + a, low + b
+            open_ += [(low, low + a), (low + b, high)]
+
+
+def _overlap(words: np.ndarray, item: np.ndarray, segments: set[tuple[int, int, int]]) -> tuple[dict, int]:
+    """The sum of segments (start in the document, in the item, length), and the equal words of the longest passage."""
+    least = min(LEAST, len(item))
+    used, taken, parts = np.zeros(len(item), bool), np.zeros(len(words), bool), []
+    sized = sorted((-int((words[i : i + n] == item[p : p + n]).sum()), i, p, n) for i, p, n in segments)
+    for _, i, p, n in sized:
+        free = ~(used[p : p + n] | taken[i : i + n])
+        # of a segment that others overlap, the longest free run
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8))).reshape(-1, 2)
+        if not len(edges):
+            continue
+        a, b = edges[np.argmax(edges[:, 1] - edges[:, 0])].tolist()
+        same = words[i + a : i + b] == item[p + a : p + b]
+        if int(same.sum()) < (1 if parts else least):
+            continue
+        used[p + a : p + b] = taken[i + a : i + b] = True
+        parts.append((i + a, p + a, b - a, int(same.sum())))
+    run = most = 0
+    end = (-GAP - 1, -GAP - 1)
+    for i, p, n, equal in sorted(parts):
+        run = equal + (run if i - end[0] <= GAP and 0 <= p - end[1] <= GAP else 0)
+        most, end = max(most, run), (i + n, p + n)
+    hit = {"matched": sum(x[3] for x in parts), "length": sum(x[2] for x in parts), "start": parts[0][0] if parts else 0, "item_words": len(item)}
+    return hit, most
+
+
+def overlaps(index: SeedIndex, texts: pa.Array, min_words: int, min_share: float, min_run: int) -> list[list[dict]]:
     """The verified overlaps of each text."""
     raw, at = text_bytes(texts)
     out: list[list[dict]] = []
     for i, j in steps(at):
         words, _, _, first = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         row = np.repeat(np.arange(j - i), np.diff(first))
-        best: list[dict[int, dict]] = [{} for _ in range(j - i)]
+        found: list[dict[int, set]] = [{} for _ in range(j - i)]
         for k, diagonal in index.alignments(words, row) if len(words) else ():
-            item_id, item = index.items[k]
-            r = int(row[min(max(diagonal, 0), len(row) - 1)]) if diagonal >= 0 else int(row[0])
-            for owner in {r, int(row[min(diagonal + len(item) - 1, len(row) - 1)])}:  # a diagonal may begin before its document
+            item = index.items[k][1]
+            # a diagonal may begin before its document, and pass over several
+            for owner in range(int(row[max(diagonal, 0)]), int(row[min(diagonal + len(item), len(row)) - 1]) + 1):
                 low, high = max(diagonal, int(first[owner])), min(diagonal + len(item), int(first[owner + 1]))
-                if high <= low:
-                    continue
-                same = words[low:high] == item[low - diagonal : high - diagonal]
-                a, b = _best_segment(same)
-                matched = int(same[a:b].sum())
-                if matched >= min(min_words, len(item)) and matched >= min_share * len(item):
-                    hit = {"item_id": item_id, "matched": matched, "length": b - a, "start": low + a - int(first[owner]), "item_words": len(item)}
-                    old = best[owner].get(k)
-                    if not old or (matched, -hit["start"]) > (old["matched"], -old["start"]):
-                        best[owner][k] = hit
-            # documents between these two lie wholly within the diagonal
-            last = int(row[min(diagonal + len(item) - 1, len(row) - 1)])
-            for owner in range(r + 1, last):
-                low, high = int(first[owner]), int(first[owner + 1])
                 same = words[low:high] == item[low - diagonal : high - diagonal]
-                if len(same):
-                    a, b = _best_segment(same)
-                    matched = int(same[a:b].sum())
-                    if matched >= min(min_words, len(item)) and matched >= min_share * len(item):
-                        best[owner].setdefault(k, {"item_id": item_id, "matched": matched, "length": b - a, "start": a, "item_words": len(item)})
-        out += [sorted(x.values(), key=lambda h: (h["item_id"], h["start"])) for x in best]
+                for a, b in _segments(same, min(LEAST, len(item))):
+                    found[owner].setdefault(k, set()).add((low + a - int(first[owner]), low + a - diagonal, b - a))
+        for owner, segments in enumerate(found):
+            hits = []
+            for k, own in segments.items():
+                item_id, item = index.items[k]
+                hit, run = _overlap(words[first[owner] : first[owner + 1]], item, own)
+                if hit["matched"] >= min(min_words, len(item)) and (hit["matched"] >= min_share * len(item) or run >= min_run):
+                    hits.append({"item_id": item_id, **hit})
+            out.append(sorted(hits, key=lambda h: (h["item_id"], h["start"])))
     return out
 
 
@@ -155,40 +195,40 @@ def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Se
         yield SeedIndex([(r[0], r[1]) for r in part.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, min_run: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of ``docs`` (but any named overlaps) with overlaps, an array of verified overlaps.
 
     Each block of a large benchmark passes over the documents with an index of its own.
     """
     out = docs.select([c for c in docs.columns if c != "overlaps"])
     for k, index in enumerate(indexes(benchmark, block_bytes)):
-        out = _with_overlaps(out, index, min_words, min_share, first=k == 0)
+        out = _with_overlaps(out, index, min_words, min_share, min_run, first=k == 0)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, min_run: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without a verified overlap, with all their columns as they are."""
     for index in indexes(benchmark, block_bytes):
-        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(index), min_words, min_share), docs.schema)
+        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(index), min_words, min_share, min_run), docs.schema)
     return docs
 
 
-def _filter(shared, min_words: int, min_share: float):
+def _filter(shared, min_words: int, min_share: float, min_run: int):
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([not found for found in overlaps(shared.value, batch["text"], min_words, min_share)], pa.bool_()))
+            yield batch.filter(pa.array([not found for found in overlaps(shared.value, batch["text"], min_words, min_share, min_run)], pa.bool_()))
 
     return run
 
 
-def _with_overlaps(docs: DataFrame, index: SeedIndex, min_words: int, min_share: float, first: bool) -> DataFrame:
+def _with_overlaps(docs: DataFrame, index: SeedIndex, min_words: int, min_share: float, min_run: int, first: bool) -> DataFrame:
     names = [c for c in docs.columns if c != "overlaps"]
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int32()), ("length", pa.int32()), ("start", pa.int32()), ("item_words", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            found = overlaps(shared.value, batch["text"], min_words, min_share)
+            found = overlaps(shared.value, batch["text"], min_words, min_share, min_run)
             if not first:
                 found = [old + new for old, new in zip(batch["overlaps"].to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(found, kind)], [*names, "overlaps"])

@@ -171,6 +171,27 @@ def test_decontamination_tolerates_substitutions_and_spares_clean_texts(spark):
     assert decontamination.contamination(df, bench.limit(0)).where("size(overlaps) > 0").count() == 0
 
 
+def test_decontamination_finds_long_passages_and_copies_in_pieces(spark):
+    rng = random.Random(13)
+    long, short, cut = ([f"{w}{k}" for k in range(n)] for w, n in (("l", 1000), ("s", 14), ("c", 70)))
+    out = lambda n: [f"o{rng.randrange(9999)}" for _ in range(n)]
+    docs = {
+        0: out(30) + long[300:700] + out(30),
+        1: out(9) + short[:7] + out(2) + short[7:] + out(9),
+        2: cut[:30] + out(8) + cut[38:],  # eight words in a row replaced
+        3: [w for k in range(0, 400, 8) for w in [*long[k : k + 8], "put"]],  # a word put in after every eight
+        4: out(5) + cut[40:] + out(20) + cut[:40],
+        5: out(9) + long[:12] + out(9),  # short of a passage
+        6: (short[:6] + out(3)) * 5,  # the same words again and again
+        7: out(9) + long[:6] + out(30) + long[500:506] + out(30) + long[900:906],  # scattered
+    }
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([long, short, cut])], "item_id long, text string")
+    got = {r["doc_id"]: [(h["item_id"], h["matched"]) for h in r["overlaps"]] for r in decontamination.contamination(df, bench).collect()}
+    assert got == {0: [(0, 400)], 1: [(1, 14)], 2: [(2, 62)], 3: [(0, 400)], 4: [(2, 70)], 5: [], 6: [], 7: []}
+    assert sorted(r["doc_id"] for r in decontamination.clean(df, bench).collect()) == [5, 6, 7]
+
+
 # packing
 
 
