@@ -6,9 +6,11 @@ is written below ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +37,39 @@ _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``, deleted when the session's JVM ends.
+
+    Where the setting is absent, a local master gets a temporary folder of its
+    own; on a cluster executors share no such folder, so that is an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="lumenpage-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/lumenpage-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _local_dir()
+    made = f"{top.rstrip('/')}/lumenpage-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return made
+
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="lumenpage-")
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let Arrow batches hold few rows, as rows may be long texts or sets."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+def parts(batches, name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that column ``name`` has about ``most`` bytes in each; a longer value is alone.
+
+    What a task holds beside its batch then follows from ``most`` and its longest value, whatever the session's batches are.
+    """
+    for batch in batches:
+        if batch.num_rows:
+            _, at = text_bytes(batch[name])
+            for i, j in steps(at, most):
+                yield batch.slice(i, j - i)
 
 
 def groups(batches, key: str) -> Iterator[pa.Table]:
@@ -67,10 +90,14 @@ def groups(batches, key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and a lost executor costs nothing before it."""
+def stored(df: DataFrame, folder: str, name: str, small: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and a lost executor costs nothing before it.
+
+    ``small`` is for little that is made of much: its rows are first dealt to
+    as few files as their size asks for, however many tasks made them.
+    """
     path = f"{folder}/{name}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -137,12 +164,38 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE, head
     with the count of words at the end). Bytes are counted from ``raw``'s start.
     With ``heads``, a fifth entry has for each length k the hashes of the first
     k bytes of each word (0 for words that are not longer).
+
+    Long texts are worked on in stretches that end between words, so what is
+    held beside the words follows from ``STEP_BYTES`` and the longest word.
     """
+    found = [(a, _word_hashes(raw[a:z], np.concatenate([[0], at[(at > a) & (at < z)] - a, [z - a]]), space, heads)) for a, z in _between_words(raw, at, space)]
+    hashed = np.concatenate([np.zeros(0, np.uint64), *(x[0] for _, x in found)])
+    begin = np.concatenate([np.zeros(0, np.int64), *(x[1] + a for a, x in found)])
+    end = np.concatenate([np.zeros(0, np.int64), *(x[2] + a for a, x in found)])
+    words = hashed, begin, end, np.searchsorted(begin, at)
+    return (*words, [np.concatenate([np.zeros(0, np.uint64), *(x[3][k] for _, x in found)]) for k in range(len(heads))]) if heads else words
+
+
+def _between_words(raw: np.ndarray, at: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``STEP_BYTES`` that end at the end of a row or before white space."""
+    a, n = 0, len(raw)
+    while a < n:
+        z = a + STEP_BYTES
+        while z < n and not space[raw[z]]:
+            ahead = np.flatnonzero(space[raw[z : z + STEP_BYTES]])
+            z += int(ahead[0]) if len(ahead) else STEP_BYTES
+            row = int(at[np.searchsorted(at, a + STEP_BYTES)])
+            z = min(z, row)
+            if z == row:
+                break
+        z = min(z, n)
+        yield a, z
+        a = z
+
+
+def _word_hashes(raw: np.ndarray, at: np.ndarray, space: np.ndarray, heads: tuple[int, ...]) -> tuple:
+    """Hash, first byte, end and head hashes of the words of one stretch."""
     n = len(raw)
-    if not n:
-        none = np.zeros(0, np.int64)
-        words = none.astype(np.uint64), none, none, np.zeros(len(at), np.int64)
-        return (*words, [none.astype(np.uint64) for _ in heads]) if heads else words
     solid = ~space[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -154,15 +207,12 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE, head
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = prefix_sums(_LOWER[raw], BYTE)
     hashed = mix(stretch(sums, begin, end) + (end - begin).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
-    words = hashed, begin, end, np.searchsorted(begin, at)
-    if not heads:
-        return words
     cut = []
     for k in heads:
         long = end - begin > k
         part = mix(stretch(sums, begin, np.minimum(begin + k, n)) + U64(k * 2 + 1))
         cut.append(np.where(long, part, U64(0)))
-    return (*words, cut)
+    return hashed, begin, end, cut
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -2,12 +2,20 @@
 
 Texts become words (runs without ASCII white space, A-Z as a-z). A mask is a
 pattern of kept and ignored word positions; the hash of the kept words is a
-seed. Seeds of all masks that a document shares with a benchmark item propose
-alignments, and each is verified: along the diagonal, the best segment is the
-one with the highest sum of +1 for an equal and -4 for a different word, so a
-verified segment is at least 80 % equal and tolerates substituted words. What
-is left of the diagonal on both sides of it is searched again, for segments of
-five equal words (or the whole item) at least.
+seed. Seeds of the benchmark's items and of the documents are joined by their
+hash, and each hit proposes an alignment (a diagonal) of a document with an
+item. Items shorter than the widest mask have one seed more, of all their words.
+
+Before the join, a bit map of the benchmark's seeds thins out those of the
+documents. It has 64 bits for each seed, two of them set, and 32 MB at most,
+beyond which it lets more pass; it never holds back a hit. Neither the items
+nor their seeds are gathered on the driver.
+
+Hits are verified: along the diagonal, the best segment is the one with the
+highest sum of +1 for an equal and -4 for a different word, so a verified
+segment is at least 80 % equal and tolerates substituted words. What is left of
+the diagonal on both sides of it is searched again, for segments of five equal
+words (or the whole item) at least.
 
 The overlap of a document with an item is the sum of its segments on all
 diagonals, from the one with most equal words down; of the later ones counts
@@ -17,12 +25,15 @@ eight words at most between them in each, form a passage.
 
 A document is contaminated by an item if the overlap has at least
 ``min_words`` equal words and either covers ``min_share`` of the item or has a
-passage of ``min_run`` equal words. Items shorter than the widest mask are
-looked up by the hash of all their words.
+passage of ``min_run`` equal words.
 
 Null and empty texts hold no words and are never contaminated; neither are
 they useful items. Repeated documents are reported one by one, repeated items
-under each item_id. Further columns are ignored.
+under each item_id; ties stand by item_id and then start. An empty table of
+documents gives no rows, an empty benchmark no overlaps. Long texts are
+hashed whole, and verified whole where they have a hit; they take some 50 bytes
+a word. The columns of the documents stay, but for one named overlaps, which
+is replaced; the benchmark's further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import U64, mix, steps, text_bytes, word_hashes
+from lumenpage.llm.common import U64, mix, parts, shared_dir, steps, stored, text_bytes, word_hashes
 
 #: Kept (1) and ignored (0) positions; five words are kept by each.
 MASKS = ("11111", "1101011", "1011101", "11000111")
-#: Bytes of benchmark text that are indexed, and broadcast, at a time.
-BLOCK_BYTES = 32 << 20
-_FILTER_BITS = 22
+#: Bits of the bit map for each seed, and its bits at most.
+BITS_EACH, BITS_MOST = 64, 1 << 28
+#: Items that one row of candidates holds, more or less; bytes of a table that may be broadcast.
+ITEMS, BROADCAST_BYTES = 256, 32 << 20
 #: Equal words that a segment needs, as many as a mask keeps; words that may stand between the segments of a passage.
 LEAST, GAP = 5, max(map(len, MASKS))
 
@@ -59,52 +71,84 @@ def _seeds(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(total)
 
 
-class SeedIndex:
-    """Seeds of the benchmark items, in ascending order, with the places they come from."""
-
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
-        self.masks = masks
-        self.items: list[tuple[int, np.ndarray]] = []
-        seeds, places = [], []
-        self.short: dict[int, list[int]] = {}
-        for item_id, text in items:
-            raw, at = text_bytes(pa.array([text], pa.string()))
-            words = word_hashes(raw, at)[0]
-            if not len(words):
-                continue
-            k = len(self.items)
-            self.items.append((item_id, words))
-            if len(words) < max(map(len, masks)):
-                self.short.setdefault(len(words), []).append(k)
-            for m, mask in enumerate(masks):
-                found = _seeds(words, mask, m)
-                seeds.append(found)
-                places.append(np.stack([np.full(len(found), k), np.arange(len(found))], 1))
-        flat = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        where = np.concatenate([*places, np.zeros((0, 2), int)])
-        order = np.argsort(flat, kind="stable")
-        self.seeds, self.places = flat[order], where[order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[(self.seeds >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        self.short_hashes = {n: (np.array([_whole(self.items[k][1], n)[0] for k in ks]), ks) for n, ks in self.short.items()}
-
-    def alignments(self, words: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
-        """(item, first word minus place in the item) proposed by any seed; row: of each word."""
-        found: set[tuple[int, int]] = set()
-        for m, mask in enumerate(self.masks):
-            seeds = _seeds(words, mask, m)
-            near = np.flatnonzero(self.filter[(seeds >> U64(64 - _FILTER_BITS)).astype(np.int64)])
-            near = near[row[near] == row[near + len(mask) - 1]]
-            low = np.searchsorted(self.seeds, seeds[near], "left")
-            high = np.searchsorted(self.seeds, seeds[near], "right")
-            for at, a, b in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                found.update((int(k), at - int(p)) for k, p in self.places[a:b])
-        for n, (hashes, ks) in self.short_hashes.items():
-            whole = _whole(words, n)
-            for at in np.flatnonzero(np.isin(whole, hashes)).tolist():
-                if row[at] == row[at + n - 1]:
-                    found.update((k, at) for k, h in zip(ks, hashes, strict=True) if h == whole[at])
-        return found
+def _widest(masks: tuple[str, ...] = MASKS) -> int:
+    return max(map(len, masks))
+
+
+def _item_seeds(batches):
+    """(seed, item_id, item, place) of all masks, and of all words of a short item."""
+    for batch in batches:
+        seeds, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, raw in enumerate(batch["words"]):
+            words = np.frombuffer(raw.as_py(), np.uint64)
+            found = [_seeds(words, mask, m) for m, mask in enumerate(MASKS)]
+            if len(words) < _widest():
+                found.append(_whole(words, len(words)))
+            for f in found:
+                seeds.append(f)
+                owners.append(np.full(len(f), k))
+                places.append(np.arange(len(f)))
+        owner = pa.array(np.concatenate(owners))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds).view(np.int64)), batch["item_id"].take(owner), batch["item"].take(owner), pa.array(np.concatenate(places), pa.int32())], ["seed", "item_id", "item", "place"])
+
+
+def _with_words(batches):
+    """(item_id, item, words) of the items that have any."""
+    for batch in parts(batches, "text"):
+        words = []
+        for k in range(batch.num_rows):
+            raw, at = text_bytes(batch["text"].slice(k, 1))
+            words.append(word_hashes(raw, at)[0].tobytes())
+        rows = pa.RecordBatch.from_arrays([batch["item_id"], batch["item"], pa.array(words, pa.binary())], ["item_id", "item", "words"])
+        yield rows.filter(pa.array([len(w) > 0 for w in words], pa.bool_()))
+
+
+def _places(seed, bits: int):
+    """The two bits of a seed in the map; a numpy array of seeds or a column."""
+    if isinstance(seed, np.ndarray):
+        own = seed.view(np.int64)
+        return own & (bits - 1), (own >> 30) & (bits - 1)
+    return seed.bitwiseAND(F.lit(bits - 1)), F.shiftright(seed, 30).bitwiseAND(F.lit(bits - 1))
+
+
+def bit_map(seeds: DataFrame) -> np.ndarray:
+    """The bit map of some seeds, as 64-bit words; it is built by an aggregate, and its size is bounded."""
+    bits = 1 << 16
+    n = seeds.count()
+    while bits < min(BITS_MOST, BITS_EACH * n):
+        bits *= 2
+    place = seeds.select(F.explode(F.array(*_places(F.col("seed"), bits))).alias("bit"))
+    word = place.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits"))
+    rows = word.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def _hits(known, lengths: list[int]):
+    """(doc, cid, seed, at) of the seeds of documents that the bit map knows."""
+
+    def passed(seeds: np.ndarray) -> np.ndarray:
+        held = known.value
+        ok = np.ones(len(seeds), bool)
+        for place in _places(seeds, len(held) * 64):
+            ok &= (held[place >> 6] >> (place & 63)) & 1 == 1
+        return np.flatnonzero(ok)
+
+    def run(batches):
+        for batch in parts(batches, "text"):
+            raw, at = text_bytes(batch["text"])
+            for i, j in steps(at):
+                words, _, _, first = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                row = np.repeat(np.arange(j - i), np.diff(first))
+                for m, size in [*((m, len(mask)) for m, mask in enumerate(MASKS)), *((None, n) for n in lengths)]:
+                    seeds = _whole(words, size) if m is None else _seeds(words, MASKS[m], m)
+                    near = passed(seeds)
+                    near = near[row[near] == row[near + size - 1]]
+                    own = pa.array(row[near] + i)
+                    yield pa.RecordBatch.from_arrays([batch["doc"].take(own), batch["cid"].take(own), pa.array(seeds[near].view(np.int64)), pa.array((near - first[row[near]]).astype(np.int32))], ["doc", "cid", "seed", "at"])
+
+    return run
 
 
 def _whole(words: np.ndarray, n: int) -> np.ndarray:
@@ -159,82 +203,89 @@ def _overlap(words: np.ndarray, item: np.ndarray, segments: set[tuple[int, int,
     return hit, most
 
 
-def overlaps(index: SeedIndex, texts: pa.Array, min_words: int, min_share: float, min_run: int) -> list[list[dict]]:
-    """The verified overlaps of each text."""
-    raw, at = text_bytes(texts)
-    out: list[list[dict]] = []
-    for i, j in steps(at):
-        words, _, _, first = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-        row = np.repeat(np.arange(j - i), np.diff(first))
-        found: list[dict[int, set]] = [{} for _ in range(j - i)]
-        for k, diagonal in index.alignments(words, row) if len(words) else ():
-            item = index.items[k][1]
-            # a diagonal may begin before its document, and pass over several
-            for owner in range(int(row[max(diagonal, 0)]), int(row[min(diagonal + len(item), len(row)) - 1]) + 1):
-                low, high = max(diagonal, int(first[owner])), min(diagonal + len(item), int(first[owner + 1]))
-                same = words[low:high] == item[low - diagonal : high - diagonal]
-                for a, b in _segments(same, min(LEAST, len(item))):
-                    found[owner].setdefault(k, set()).add((low + a - int(first[owner]), low + a - diagonal, b - a))
-        for owner, segments in enumerate(found):
-            hits = []
-            for k, own in segments.items():
-                item_id, item = index.items[k]
-                hit, run = _overlap(words[first[owner] : first[owner + 1]], item, own)
-                if hit["matched"] >= min(min_words, len(item)) and (hit["matched"] >= min_share * len(item) or run >= min_run):
-                    hits.append({"item_id": item_id, **hit})
-            out.append(sorted(hits, key=lambda h: (h["item_id"], h["start"])))
-    return out
-
-
-def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[SeedIndex]:
-    """Indexes of the benchmark: it is measured first, and beyond ``block_bytes`` cut into blocks."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    for k in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield SeedIndex([(r[0], r[1]) for r in part.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, min_run: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of ``docs`` (but any named overlaps) with overlaps, an array of verified overlaps.
-
-    Each block of a large benchmark passes over the documents with an index of its own.
-    """
-    out = docs.select([c for c in docs.columns if c != "overlaps"])
-    for k, index in enumerate(indexes(benchmark, block_bytes)):
-        out = _with_overlaps(out, index, min_words, min_share, min_run, first=k == 0)
-    return out
+def verified(words: np.ndarray, items: list[dict], min_words: int, min_share: float, min_run: int) -> list[dict]:
+    """The overlaps of a document with its candidates (item_id, words, diagonals)."""
+    hits = []
+    for candidate in items:
+        item = np.frombuffer(candidate["words"], np.uint64)
+        segments = set()
+        for diagonal in candidate["diagonals"]:
+            low, high = max(diagonal, 0), min(diagonal + len(item), len(words))
+            same = words[low:high] == item[low - diagonal : high - diagonal]
+            segments.update((low + a, low + a - diagonal, b - a) for a, b in _segments(same, min(LEAST, len(item))))
+        hit, run = _overlap(words, item, segments)
+        if hit["matched"] >= min(min_words, len(item)) and (hit["matched"] >= min_share * len(item) or run >= min_run):
+            hits.append({"item_id": candidate["item_id"], **hit})
+    return hits
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, cid, text): equal keys have equal texts."""
+    return docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc"), F.xxhash64("text").alias("cid"), "text")
+
+
+def _small(table: DataFrame, size) -> DataFrame:
+    """A stored table, to be broadcast if its measured size allows; else the join shuffles both sides."""
+    return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else table
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, min_run: int = 13) -> DataFrame:
+    """Stored rows (doc, cid, overlaps) of the documents that have any."""
+    folder = shared_dir(docs.sparkSession)
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item"), "text").where("text IS NOT NULL").distinct()
+    items = stored(items.mapInArrow(_with_words, "item_id long, item long, words binary"), folder, "items", small=True)
+    seeds = stored(items.mapInArrow(_item_seeds, "seed long, item_id long, item long, place int"), folder, "seeds", small=True)
+    # lengths of short items, less than the widest mask has places
+    size = F.octet_length("words") / 8
+    lengths = sorted(int(r[0]) for r in items.where(size < _widest()).select(size.alias("n")).distinct().collect())
+    known = docs.sparkSession.sparkContext.broadcast(bit_map(seeds))
+    texts = _keyed(docs)
+    hits = texts.mapInArrow(_hits(known, lengths), "doc long, cid long, seed long, at int")
+    aligned = hits.join(seeds, "seed").groupBy("doc", "cid", "item_id", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    aligned = stored(aligned, folder, "aligned", small=True)
+    most = aligned.groupBy("doc", "cid").count().agg(F.max("count")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("a.item", "a.item_id"), F.lit(-(-most // ITEMS) or 1)).alias("bucket")
+    same_item = (F.col("a.item") == F.col("i.item")) & F.col("a.item_id").eqNullSafe(F.col("i.item_id"))
+    candidates = aligned.alias("a").join(items.alias("i"), same_item).select("doc", "cid", bucket, "a.item_id", "i.words", "diagonals")
+    packed = candidates.groupBy("doc", "cid", "bucket").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("items"))
+    packed = stored(packed, folder, "packed", small=True)
+    weight = F.aggregate("items", F.lit(64).cast("long"), lambda n, i: n + F.octet_length(i["words"]) + 4 * F.size(i["diagonals"]))
+
+    def verify(batches):
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int32()), ("length", pa.int32()), ("start", pa.int32()), ("item_words", pa.int32())]))
+        for batch in parts(batches, "text"):
+            found = []
+            for k, own in enumerate(batch["items"].to_pylist()):
+                raw, at = text_bytes(batch["text"].slice(k, 1))
+                found.append(verified(word_hashes(raw, at)[0], own, min_words, min_share, min_run))
+            rows = pa.RecordBatch.from_arrays([batch["doc"], batch["cid"], batch["bucket"], pa.array(found, kind)], ["doc", "cid", "bucket", "overlaps"])
+            yield rows.filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
+
+    joined = texts.join(_small(packed, weight), ["doc", "cid"]).select("doc", "cid", "bucket", "text", "items")
+    found = joined.mapInArrow(verify, f"doc long, cid long, bucket long, overlaps {HITS}").dropDuplicates(["doc", "cid", "bucket"])
+    order = lambda a, b: F.when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).when(a["start"] < b["start"], -1).otherwise(F.when(a["start"] > b["start"], 1).otherwise(0))
+    gathered = found.groupBy("doc", "cid").agg(F.flatten(F.collect_list("overlaps")).alias("overlaps"))
+    return stored(gathered.withColumn("overlaps", F.array_sort("overlaps", order)), folder, "overlaps", small=True)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, min_run: int = 13) -> DataFrame:
+    """The columns of ``docs`` (but any named overlaps) with overlaps, an array of verified overlaps."""
+    found = overlaps(docs, benchmark, min_words=min_words, min_share=min_share, min_run=min_run)
+    names = [c for c in docs.columns if c != "overlaps"]
+    found = _small(found, 16 + 24 * F.size("overlaps")).select(F.col("doc").alias("_doc"), F.col("cid").alias("_cid"), "overlaps")
+    own = docs.select(names)
+    return own.join(found, _same(own), "left").select(*names, F.coalesce("overlaps", F.array().cast(HITS)).alias("overlaps"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, min_run: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_share: float = 0.5, min_run: int = 13) -> DataFrame:
     """The rows of ``docs`` without a verified overlap, with all their columns as they are."""
-    for index in indexes(benchmark, block_bytes):
-        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(index), min_words, min_share, min_run), docs.schema)
-    return docs
-
+    found = overlaps(docs, benchmark, min_words=min_words, min_share=min_share, min_run=min_run)
+    found = _small(found.select(F.col("doc").alias("_doc"), F.col("cid").alias("_cid")), F.lit(16))
+    return docs.join(found, _same(docs), "left_anti")
 
-def _filter(shared, min_words: int, min_share: float, min_run: int):
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array([not found for found in overlaps(shared.value, batch["text"], min_words, min_share, min_run)], pa.bool_()))
 
-    return run
-
-
-def _with_overlaps(docs: DataFrame, index: SeedIndex, min_words: int, min_share: float, min_run: int, first: bool) -> DataFrame:
-    names = [c for c in docs.columns if c != "overlaps"]
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int32()), ("length", pa.int32()), ("start", pa.int32()), ("item_words", pa.int32())]))
-
-    def run(batches):
-        for batch in batches:
-            found = overlaps(shared.value, batch["text"], min_words, min_share, min_run)
-            if not first:
-                found = [old + new for old, new in zip(batch["overlaps"].to_pylist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(found, kind)], [*names, "overlaps"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema)
-    return docs.mapInArrow(run, f"{schema}, overlaps {HITS}")
+def _same(docs: DataFrame):
+    return (F.coalesce(docs["doc_id"], F.lit(-1)).cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_cid"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import U64, groups, mix, shared_dir, shingle_hashes, small_batches, steps, stored, text_bytes, word_hashes
+from lumenpage.llm.common import U64, groups, mix, parts, shared_dir, shingle_hashes, steps, stored, text_bytes, word_hashes
 from lumenpage.llm.components import components
 
 #: Shingles that may be known as common (8 bytes each, broadcast); this orders work only.
@@ -438,7 +438,6 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: int, folder: str, b
 def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, limit: int = CELL) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = shared_dir(spark)
     sets, known, several = _linked(docs, size, percent, limit, folder, by_id=True)
     out = sets.select("doc_id", "n", "key").join(known.drop("first"), "key", "left")
@@ -468,7 +467,6 @@ def one_of_each(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFra
     without a doc_id stay.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = shared_dir(spark)
     sets, known, _ = _linked(docs.select("doc_id", "text"), size, percent, CELL, folder, by_id=False)
     found = sets.where("doc_id IS NOT NULL").select("doc_id", "key").join(known, "key", "left")

@@ -10,8 +10,11 @@ a list of runs (length, ranks -> sequences, offset); pieces are ranked within
 their length, and find their sequence by rank.
 
 Null and empty texts are one piece of the end id alone. Repeated rows are
-packed as often as they stand there. An empty table gives no pieces. Further
-columns are ignored.
+packed as often as they stand there; pieces of one length are equal to the
+plan, and which of them goes where is decided by doc_id, piece and start. An
+empty table gives no pieces. Long texts are encoded whole, by the defining
+tokenizer beyond a million characters; their ids take 4 bytes each. Further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import shared_dir, stored
+from lumenpage.llm.common import parts, shared_dir, stored
 
 #: Characters for which both tokenizers' Unicode tables surely agree.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u0400-\\u045f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*")
@@ -83,7 +86,7 @@ def pieces(docs: DataFrame, *, size: int = 1024, end_id: int = 2, tokenizer: str
         tokenizer, ranks = default_tokenizer(), default_ranks()
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 got = array("I", encode(text.as_py(), tokenizer, ranks))
@@ -236,18 +239,20 @@ def _placed(left: np.ndarray, cells: np.ndarray, fitted: np.ndarray, size: int)
     return out
 
 
-def pack(split: DataFrame, size: int = 1024, buckets: int = 256) -> DataFrame:
+def pack(split: DataFrame, size: int = 1024, bucket_rows: int = 50_000) -> DataFrame:
     """Add sequence_id and offset to stored pieces.
 
-    Ranks within a length come from counts per (length, bucket of the row):
-    a table of at most ``size * buckets`` rows, however many pieces there are.
+    Ranks within a length come from counts per (length, bucket of the row). A
+    length has a bucket for each ``bucket_rows`` of its pieces, so no window
+    grows with the table, not even that of the full pieces.
     """
     names = [c for c in split.columns if c not in ("sequence_id", "offset")]
-    keyed = split.select(names).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     histogram: dict[int, int] = {}
     for length, n in split.groupBy("length").count().toLocalIterator():
         histogram[length] = n
+    buckets = F.try_element_at(F.array(*(F.lit(-(-histogram.get(k, 0) // bucket_rows) or 1) for k in range(1, size + 1))), F.col("length").cast("int"))
+    keyed = split.select(names).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets))
+    counts = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     made = plan(histogram, size)
     table = np.array(sorted(made.runs), np.int64).reshape(-1, 5)
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -269,5 +274,5 @@ def pack(split: DataFrame, size: int = 1024, buckets: int = 256) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    split = stored(pieces(docs), shared_dir(spark), "pieces")
+    split = stored(pieces(docs), shared_dir(spark), "pieces", small=True)
     return pack(split).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

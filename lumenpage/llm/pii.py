@@ -1,27 +1,42 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-Patterns give base spans. Candidates (runs of digits with their separators, and
-words around an @) are the nodes of a field over each document: neighbours in
-the text share a chain potential, and repeated or similar candidates (same
-digits, or one the end of the other; same address in any case) a skip
-potential. Loopy sum-product message passing lets distant mentions agree, so
-that a number written again without its prefix gets the label of its full form.
-Candidates that the field labels, and that no base span covers, are added; base
-spans always stay.
-
-The field is trained here: unary weights by multinomial logistic regression
-with the base patterns as labels, and both potentials from smoothed counts, on
-at most ``max_docs`` documents (those of the smallest hash of doc_id among all
-that hold a digit or an @). A repeated candidate is linked to the one before, so
-a text with n candidates has fewer than 3 n links.
-
-Null and empty texts have no spans. Repeated rows are scanned one by one; an
-empty table gives no rows. Further columns are ignored by the scan.
+Patterns give base spans. Candidates (words around an @, and numbers in the
+shapes of telephone numbers, addresses of hosts, cards, or plain digits) are the
+nodes of a field over each document. A node under a base span is observed; the
+labels of all others are free. Neighbours in the text share a chain potential,
+and repeated or similar candidates a skip potential, however far apart: the
+same address in any case, or the same name before the @; the same digits, or
+seven and more that end both. Loopy sum-product message passing runs until the
+messages stand still, so an observed mention pushes its label to the others of
+its kind: a number written again without its prefix gets the label of its full
+form. Free nodes that get a label are added as spans, unless a base span
+overlaps them; base spans always stay.
+
+Patterns take all digits and separators that follow each other for one match
+and drop it if it fails. Candidates are single numbers, so of two cards side by
+side the field labels each, as the patterns label such a number when it stands
+alone.
+
+The field is trained here by pseudo-likelihood: unary weights of the shapes, and
+both potentials, from the labels of observed nodes and of those that no pattern
+knows. Each node is seen twice, once with its shape held out, so that the
+potentials learn what linked mentions tell. Nodes that a pattern would match if
+they stood alone, or that are similar to an observed one, are of unknown label
+and teach nothing. The sample is documented: at most ``max_docs`` documents,
+those of the smallest hash of doc_id among all that hold a digit or an @.
+
+A mention is linked to the one before it in its family, so a text with n
+candidates has fewer than 3 n links, and the time and memory of a text of any
+length follow from its candidates. Null and empty texts have no spans. Repeated
+rows are scanned one by one; matches that begin at one place stand by kind. An
+empty table gives no rows, and a field that learnt from nothing adds nothing.
+Further columns are ignored by the scan, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -30,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import small_batches
+from lumenpage.llm.common import parts
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -41,11 +56,22 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _ANY = re.compile(r"[0-9@]")
-#: Runs of digits with separators, and words around an @.
-_CANDIDATE = re.compile(r"[^\s@,;:<>()\"']+@[^\s@,;:<>()\"']+|\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
+#: Words around an @; numbers by shape: with a +, of hosts, in groups of four, in three parts, plain.
+_CANDIDATE = re.compile(
+    r"""[^\s@,;:<>()\[\]|"']+@[^\s@,;:<>()\[\]|"']+"""
+    r"|\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"
+    r"|\+[0-9]{8,15}(?![0-9])"
+    r"|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"
+    r"|(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])"
+    r"|(?<![0-9])(?:[0-9]{1,2}[\x20.-])?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"
+    r"|(?<![0-9])[0-9]{5,}"
+)
 LABELS = ("other", *KINDS)
 FEATURES = 16
-ROUNDS, NEAR_CHARS = 12, 80
+#: Rounds of messages at most, what counts as standing still, and how near neighbours of the chain are.
+ROUNDS, STILL, NEAR_CHARS = 500, 1e-4, 80
+#: What a node's label is where it can't be known, and equal digits that make two numbers similar.
+UNKNOWN, SIMILAR = -1, 7
 
 
 def luhn(digits: str) -> bool:
@@ -96,108 +122,149 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Nodes:
-    """The candidates of a text: places, features, base labels, and links."""
+    """The candidates of a text: places, features, known labels (0: known to be none), which are observed, and links."""
 
     spans: list[tuple[int, int]]
     features: np.ndarray
     labels: np.ndarray
+    observed: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
 
 
+def _families(own: str) -> set[str]:
+    """Names that similar candidates share."""
+    if "@" in own:
+        address = own.lower().strip(".")
+        return {address, address.partition("@")[0] + "@"}
+    d = _digits(own)
+    return {d, "end" + d[-SIMILAR:]} if len(d) >= SIMILAR else {d}
+
+
+def _similar(a: str, b: str) -> bool:
+    """Equal addresses or names before the @; equal digits, or one number the end of the other."""
+    if "@" in a or "@" in b:
+        return "@" in a and "@" in b
+    a, b = _digits(a), _digits(b)
+    return a == b or min(len(a), len(b)) >= SIMILAR and (a.endswith(b) or b.endswith(a))
+
+
 def nodes(text: str, base: list[tuple[str, int, int]]) -> Nodes:
-    spans, rows, labels, keys = [], [], [], []
-    b = 0
-    by_end = sorted(base, key=lambda s: s[1])
-    for m in _CANDIDATE.finditer(text):
-        a, z = m.span()
-        while b < len(by_end) and by_end[b][2] <= a and by_end[b][1] <= a:
-            b += 1
-        inside = [s for s in by_end[b : b + 4] if s[1] < z and a < s[2]]
-        own, d = m[0], _digits(m[0])
-        spans.append((a, z))
-        labels.append(LABELS.index(inside[0][0]) if inside else 0)
-        rows.append(_features(own, d))
-        keys.append(own.lower().strip(".") if "@" in own else d)
-    n = len(spans)
-    chain = np.array([(k, k + 1) for k in range(n - 1) if spans[k + 1][0] - spans[k][1] <= NEAR_CHARS], np.int64).reshape(-1, 2)
+    own = list(_CANDIDATE.finditer(text))
+    n = len(own)
+    spans = [m.span() for m in own]
+    labels, observed = np.full(n, UNKNOWN), np.zeros(n, bool)
+    first = 0
+    by_start = sorted(base, key=lambda s: s[1])
+    reach = np.maximum.accumulate([s[2] for s in by_start]) if by_start else []
+    for k, (a, z) in enumerate(spans):
+        # base spans of several kinds may overlap one another, so the ends seen so far decide what may be passed
+        while first < len(by_start) and reach[first] <= a:
+            first += 1
+        over = next((s for s in itertools.takewhile(lambda s: s[1] < z, itertools.islice(by_start, first, None)) if s[2] > a), None)
+        if over:
+            labels[k], observed[k] = LABELS.index(over[0]), True
+        elif not base_spans(own[k][0]):
+            labels[k] = 0
     skip, last = [], {}
-    for k, key in enumerate(keys):
-        names = {key} if "@" in key else {key, "end" + key[-7:]}
-        near = {last[x] for x in names if x in last}
-        # numbers with the same end are similar if one is the end of the other
-        skip += [(j, k) for j in near if keys[j] == key or "@" not in key and (keys[j].endswith(key) or key.endswith(keys[j]))]
-        for x in names:
-            last[x] = k
-    return Nodes(spans, np.array(rows, np.float64).reshape(-1, FEATURES), np.array(labels, np.int64), chain, np.array(skip, np.int64).reshape(-1, 2))
+    for k, m in enumerate(own):
+        near = {last[x] for x in _families(m[0]) if x in last}
+        skip += [(j, k) for j in sorted(near) if _similar(own[j][0], m[0])]
+        last |= dict.fromkeys(_families(m[0]), k)
+    for j, k in skip:
+        # what is like an observed mention may be one, so that it is not one is unknown
+        for x, y in ((j, k), (k, j)):
+            if observed[x] and not observed[y]:
+                labels[y] = UNKNOWN
+    chain = [(k, k + 1) for k in range(n - 1) if spans[k + 1][0] - spans[k][1] <= NEAR_CHARS]
+    pairs = lambda found: np.array(found, np.int64).reshape(-1, 2)
+    return Nodes(spans, np.array([_features(m[0], _digits(m[0])) for m in own], np.float64).reshape(-1, FEATURES), labels, observed, pairs(chain), pairs(skip))
 
 
 def _features(own: str, d: str) -> list[float]:
-    n, parts = len(d), own.split(".")
+    n, dots = len(d), own.split(".")
     return [
         1, "@" in own, "@" in own and "." in own.rpartition("@")[2].strip("."), own[0] == "+", "(" in own, n < 9, 9 <= n <= 11, 12 <= n <= 15, 16 <= n <= 19, n > 19,
-        12 <= n <= 19 and luhn(d), len(parts) == 4, len(parts) == 4 and all(p.isdigit() and _small(p) for p in parts), " " in own, "-" in own, own.isdigit(),
+        "@" not in own and 12 <= n <= 19 and luhn(d), len(dots) == 4 and "@" not in own, len(dots) == 4 and all(p.isdigit() and _small(p) for p in dots), " " in own, "-" in own, own.isdigit(),
     ]
 
 
 @dataclass(frozen=True)
 class Field:
-    """Unary weights (features x labels) and the log potentials of chain and skip links."""
+    """Unary weights (features x labels) and the symmetric log potentials of chain and skip links."""
 
     weights: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
 
-    def label(self, own: Nodes) -> tuple[np.ndarray, np.ndarray]:
-        """The likeliest label of each node, and its belief."""
+    def beliefs(self, own: Nodes) -> tuple[np.ndarray, bool]:
+        """The chances of the labels of each node, and whether the messages came to a stand."""
         unary = own.features @ self.weights
+        unary[own.observed] = -50.0
+        unary[own.observed, own.labels[own.observed]] = 0.0
         links = np.concatenate([own.chain, own.skip])
+        still = True
         if len(links):
             table = np.concatenate([np.repeat(self.chain[None], len(own.chain), 0), np.repeat(self.skip[None], len(own.skip), 0)])
-            # both directions of each link
+            # both directions of each link; the tables are symmetric
             source, target = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
-            table = np.concatenate([table, table.transpose(0, 2, 1)])
+            table = np.concatenate([table, table])
             back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
             message = np.zeros((len(source), len(LABELS)))
+            still = False
             for _ in range(ROUNDS):
                 belief = unary.copy()
                 np.add.at(belief, target, message)
                 sent = (belief[source] - message[back])[:, :, None] + table
                 top = sent.max(1)
                 new = top + np.log(np.exp(sent - top[:, None, :]).sum(1))
-                message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+                new -= new.max(1, keepdims=True)
+                moved = np.abs(new - message).max()
+                if moved < STILL:
+                    still = True
+                    break
+                message = 0.25 * message + 0.75 * new
             np.add.at(unary, target, message)
         p = np.exp(unary - unary.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        return p.argmax(1), p.max(1)
+        return p / p.sum(1, keepdims=True), still
 
 
-def fit(samples: list[Nodes], rounds: int = 400) -> Field:
-    """Logistic regression for the unary weights (accelerated gradient); smoothed log counts for links."""
+def _neighbours(own: Nodes, links: np.ndarray) -> np.ndarray:
+    """For each node, how many of its linked nodes have each known label."""
+    out = np.zeros((len(own.labels), len(LABELS)))
+    for a, b in ((0, 1), (1, 0)):
+        known = own.labels[links[:, b]] != UNKNOWN
+        np.add.at(out, (links[known, a], own.labels[links[known, b]]), 1)
+    return out
+
+
+def fit(samples: list[Nodes], rounds: int = 600) -> Field:
+    """Maximum pseudo-likelihood, by accelerated gradient, with weights drawn to a prior: none, but that linked mentions agree."""
     k = len(LABELS)
-    x = np.concatenate([np.zeros((0, FEATURES)), *(s.features for s in samples)])
-    y = np.concatenate([np.zeros(0, np.int64), *(s.labels for s in samples)])
-    w = np.zeros((FEATURES, k))
+    prior = np.concatenate([np.zeros((FEATURES + k, k)), 2.0 * np.eye(k)])
+    prior[0, 0] = 1.0  # without evidence a candidate is none
+    rows, known = [np.zeros((0, FEATURES + 2 * k))], [np.zeros(0, np.int64)]
+    for s in samples:
+        use = s.labels != UNKNOWN
+        beside, like = _neighbours(s, s.chain), _neighbours(s, s.skip)
+        whole = np.concatenate([s.features, beside, like], 1)[use]
+        # with the shape held out, of those that have a mention to learn from
+        hidden = whole[like[use].sum(1) > 0].copy()
+        hidden[:, 1:FEATURES] = 0
+        rows += [whole, hidden]
+        known += [s.labels[use], s.labels[use][like[use].sum(1) > 0]]
+    x, y = np.concatenate(rows), np.concatenate(known)
+    w = prior
     if len(x):
         one, v = np.eye(k)[y], w
-        rate = 2.0 / max(1e-9, np.linalg.norm(x, 2) ** 2 / len(x))
+        rate = 1.0 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + 1e-3)
         for t in range(rounds):
             p = np.exp((z := x @ v) - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            new = v - rate * (x.T @ (p - one) / len(x) + 1e-3 * v)
+            new = v - rate * (x.T @ (p - one) / len(x) + 1e-3 * (v - prior))
             v, w = new + t / (t + 3) * (new - w), new
-
-    def potential(links: str, prior: np.ndarray) -> np.ndarray:
-        """Mean log chance of either label given the other."""
-        seen = prior.copy()
-        for s in samples:
-            pairs = getattr(s, links)
-            np.add.at(seen, (s.labels[pairs[:, 0]], s.labels[pairs[:, 1]]), 1)
-        given = np.log((seen + seen.T) / (seen + seen.T).sum(1, keepdims=True))
-        return np.clip((given + given.T) / 2, -4, 0)
-
-    # before any data, neighbours tell nothing, and mentions of one thing agree two times in three
-    return Field(w, potential("chain", np.ones((k, k))) / 4, potential("skip", np.eye(k) * 8 + 1))
+    even = lambda m: (m + m.T) / 2
+    return Field(w[:FEATURES], even(w[FEATURES : FEATURES + k]), even(w[FEATURES + k :]))
 
 
 def spans(text: str | None, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -206,10 +273,11 @@ def spans(text: str | None, field: Field) -> tuple[list[tuple[str, int, int]], l
     if not text or not _ANY.search(text):
         return base, base
     own = nodes(text, base)
-    if not len(own.spans) or not (own.labels == 0).any():
+    if own.observed.all():
         return base, base
-    label, belief = field.label(own)
-    added = [(LABELS[label[k]], *own.spans[k]) for k in np.flatnonzero((own.labels == 0) & (label > 0) & (belief > 0.5)).tolist()]
+    belief, _ = field.beliefs(own)
+    label = belief.argmax(1)
+    added = [(LABELS[label[k]], *own.spans[k]) for k in np.flatnonzero(~own.observed & (label > 0) & (belief.max(1) > 0.5)).tolist()]
     return base, sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -217,19 +285,16 @@ def train(docs: DataFrame, max_docs: int = 3000) -> Field:
     """Fit on the candidates of a bounded sample of documents."""
     some = docs.where(F.col("text").rlike("[0-9@]"))
     ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(max_docs)
-    names = ["features", "labels", "chain", "skip"]
+    kinds = {"features": np.float64, "labels": np.int64, "observed": np.bool_, "chain": np.int64, "skip": np.int64}
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             found = [nodes(t, base_spans(t)) for t in batch["text"].to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(getattr(s, c)).tobytes() for s in found], pa.binary()) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(getattr(s, c)).astype(kind).tobytes() for s in found], pa.binary()) for c, kind in kinds.items()], list(kinds))
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, ", ".join(f"{c} binary" for c in names)).toArrow().to_pylist()
-    samples = [
-        Nodes([], np.frombuffer(r["features"]).reshape(-1, FEATURES), np.frombuffer(r["labels"], np.int64), np.frombuffer(r["chain"], np.int64).reshape(-1, 2), np.frombuffer(r["skip"], np.int64).reshape(-1, 2))
-        for r in rows
-    ]
-    return fit(samples)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, ", ".join(f"{c} binary" for c in kinds)).toArrow().to_pylist()
+    read = [{c: np.frombuffer(r[c], kind) for c, kind in kinds.items()} for r in rows]
+    return fit([Nodes([], r["features"].reshape(-1, FEATURES), r["labels"], r["observed"], r["chain"].reshape(-1, 2), r["skip"].reshape(-1, 2)) for r in read])
 
 
 def _joined(found: list[tuple[str, int, int]]) -> str:
@@ -241,7 +306,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             base, every = [], []
             for text in batch["text"]:
                 own = spans(text.as_py(), field)
@@ -259,7 +324,6 @@ def digest(found: list[tuple[str, int, int]]) -> str:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
-    small_batches(spark, 2048)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs, train(docs))
     text = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -5,18 +5,29 @@ hash of a 32-byte gram in them) at the same place, so each minimizer is an
 anchor that owns a run of window starts, and equal windows only meet under one
 anchor hash:
 
-1. Anchors are counted by (hash, content of the whole owned run), combined
-   before they move. A run that occurs twice is repeated in full.
-2. Runs that are alone, while others share their anchor hash, are compared: the
-   runs of one hash meet in one task, which builds an enhanced suffix array over
-   them. A stack scan of its common-prefix intervals of 200 bytes and more tests
-   whether the bytes to the left differ (or a run begins there); such intervals
-   are maximal repeats, and all their occurrences are given.
-3. A hash with too many runs for one task is counted by hashes of its windows.
+1. One pass gives the anchors: their hash, a 128-bit BLAKE2 digest of the bytes
+   of the whole run, and the place. Hashes that occur once end here.
+2. Equal runs (by digest) are one string to a suffix array, as their suffixes
+   tie. Where all runs of a hash are equal, the interval of the whole run is the
+   maximal repeat, and all members are its occurrences.
+3. The different runs of one hash meet in one task, which builds an enhanced
+   suffix array over their bytes. A stack scan of its common-prefix intervals of
+   200 bytes and more tests whether the bytes to the left differ (or a run
+   begins there); such intervals are maximal repeats, and all their occurrences
+   are given, each for every member of its run.
+4. A hash with more than ``HOT_RUNS`` different runs would load one task. Its
+   suffixes are dealt by the digest of their first 200 bytes instead: each such
+   bucket of two and more is the root of the intervals below it, and is given
+   with all its occurrences. The covered bytes are the same.
+
+A repeat that is longer than a run is given run after run, with overlaps.
+Collisions of the 64-bit hashes cost time, never results.
 
 Null texts are empty; texts under 200 bytes repeat nothing. Repeated rows are
-occurrences of one another. A null doc_id is kept. Other columns are ignored.
-An empty table gives no rows.
+occurrences of one another, and ties stand by place. A null doc_id is kept.
+Other columns are ignored, whatever their names. An empty table gives no rows.
+Long texts are worked on in stretches of 1 MB; what is held beside a text
+follows from its repeats.
 """
 
 from __future__ import annotations
@@ -28,15 +39,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import BYTE, BYTE2, U64, groups, mix, powers, prefix_sums, shared_dir, small_batches, steps, stored, stretch, text_bytes
+from lumenpage.llm.common import BYTE, STEP_BYTES, U64, groups, mix, parts, powers, prefix_sums, shared_dir, steps, stored, stretch, text_bytes
 
 SPAN, GRAM = 200, 32
-#: Bytes of runs under one hash that a task compares, and that one suffix array takes.
-HOT_BYTES, ARRAY_BYTES = 8 << 20, 1 << 20
+#: Different runs under one hash that a task compares, and bytes of runs that one suffix array takes.
+HOT_RUNS, ARRAY_BYTES = 1500, 1 << 20
 #: Spans (of some 32 bytes) up to which a table of them may be broadcast to the texts.
-BROADCAST_SPANS = 2_000_000
+BROADCAST_SPANS = 500_000
+#: Places within a stretch of text share a word with the upper bits of a hash.
 _PLACE = U64((1 << 28) - 1)
 _SYMBOLS = 7
+#: What identifies a run by its bytes.
+RUN = ["h", "d1", "d2"]
+
+
+def digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of some stretches, as rows of two longs."""
+    view = memoryview(raw)
+    found = b"".join([hashlib.blake2b(view[a:z], digest_size=16).digest() for a, z in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def _sliding_min(e: np.ndarray, width: int) -> np.ndarray:
@@ -50,12 +71,12 @@ def _sliding_min(e: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM):
-    """(row, hash, run hash, second run hash, first start, bytes) of each anchor; starts count within the row."""
+    """(row, hash, digest of the run, first start, bytes) of each anchor; starts count within the row. ``raw`` is a few MB at most."""
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none, none
-    sums, other = prefix_sums(raw, BYTE), prefix_sums(raw, BYTE2)
+        return none, none.astype(np.uint64), none.reshape(-1, 2), none, none
+    sums = prefix_sums(raw, BYTE)
     value = mix((sums[gram:] - sums[:-gram]) * powers(n + 1)[1][: n - gram + 1])
     low = _sliding_min((value & ~_PLACE) | np.arange(len(value), dtype=np.uint64), span - gram + 1)
     place = (low & _PLACE).astype(np.int64)  # of the minimizer of the window at each start
@@ -66,43 +87,34 @@ def anchors(raw: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
     end = valid.copy()
     end[:-1] &= (place[1:] != place[:-1]) | ~valid[1:] | (row[1:] != row[:-1])
     a, z = np.flatnonzero(begin), np.flatnonzero(end) + span
-    inner = (place[a] - a).astype(np.uint64) << U64(32) | (z - a).astype(np.uint64)
     owner = row[a]
-    return owner, value[place[a]], mix(stretch(sums, a, z) ^ mix(inner)), mix(stretch(other, a, z) + inner), a - at[:-1][owner], z - a
+    return owner, value[place[a]], digests(raw.tobytes(), a, z), a - at[:-1][owner], z - a
+
+
+def stretches(raw: np.ndarray, at: np.ndarray, span: int, most: int = STEP_BYTES):
+    """(first row, offset in it, bytes, row bounds): some rows, or a stretch of a long one; stretches of one row share span - 1 bytes, so that each has all windows that start in it."""
+    for i, j in steps(at, most):
+        a, z = int(at[i]), int(at[j])
+        if j - i > 1 or z - a <= 2 * most:
+            yield i, 0, raw[a:z], at[i : j + 1] - a
+            continue
+        for b in range(a, z - span + 1, most):
+            own = raw[b : min(z, b + most + span - 1)]
+            yield i, b - a, own, np.array([0, len(own)])
 
 
-def _anchor_rows(counted: bool, span: int):
-    """Rows (h, sig, sig2, n) combined over about 16 MB, or (h, sig, sig2, doc, cid, start, size) of each anchor."""
+def _anchor_rows(span: int):
+    """Rows (h, d1, d2, doc, cid, start, size) of each anchor."""
 
     def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
-
-        def combined():
-            flat = np.concatenate(held)
-            order = np.lexsort((flat[:, 2], flat[:, 1], flat[:, 0]))
-            flat = flat[order]
-            new = np.concatenate([[True], (flat[1:] != flat[:-1]).any(1)])
-            at = np.flatnonzero(new)
-            return pa.RecordBatch.from_pydict({"h": flat[at, 0], "sig": flat[at, 1], "sig2": flat[at, 2], "n": np.diff(np.append(at, len(flat)))})
-
-        for batch in batches:
-            raw, at = text_bytes(batch["text"])
-            for i, j in steps(at):
-                own = at[i : j + 1] - at[i]
-                row, h, sig, sig2, start, length = anchors(raw[at[i] : at[j]], own, span)
-                h, sig, sig2 = h.view(np.int64), sig.view(np.int64), sig2.view(np.int64)
-                if counted:
-                    held.append(np.stack([h, sig, sig2], 1))
-                    size += len(h)
-                    if size > 200_000:
-                        yield combined()
-                        held, size = [], 0
-                else:
-                    place = pa.array(row + i)
-                    yield pa.RecordBatch.from_pydict({"h": h, "sig": sig, "sig2": sig2, "doc": batch["doc"].take(place), "cid": batch["cid"].take(place), "start": start.astype(np.int64), "size": length.astype(np.int64)})
-        if held:
-            yield combined()
+        for batch in parts(batches, "text"):
+            for i, offset, raw, at in stretches(*text_bytes(batch["text"]), span):
+                row, h, digest, start, size = anchors(raw, at, span)
+                place = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), batch["doc"].take(place), batch["cid"].take(place), pa.array(start + offset), pa.array(size.astype(np.int32))],
+                    [*RUN, "doc", "cid", "start", "size"],
+                )
 
     return run
 
@@ -165,20 +177,14 @@ class SuffixArray:
         for length, places in self.intervals(span):
             yield length, [(int(s), int(p - self.at[s])) for s, p in zip(self.string[places], places, strict=True)]
 
-    def covered(self, span: int = SPAN) -> np.ndarray:
-        """Rows (string, start, size) of the stretches that maximal repeats cover; those that touch are one."""
-        reach = np.zeros(int(self.at[-1]) + 1, np.int64)
+    def groups(self, span: int = SPAN) -> tuple[np.ndarray, list[bytes]]:
+        """Rows (number of the repeat, length, string, start) of all occurrences, and a digest of each repeat's bytes."""
+        rows, names = [np.zeros((0, 4), np.int64)], []
         for length, places in self.intervals(span):
-            reach[places] = np.maximum(reach[places], length)
-        own = np.flatnonzero(reach)
-        depth = np.zeros(len(reach) + 1, np.int64)
-        np.add.at(depth, own, 1)
-        np.add.at(depth, own + reach[own], -1)
-        inside = np.cumsum(depth) > 0
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-        first, end = edge[::2], edge[1::2]
-        string = self.string[np.minimum(first, len(self.string) - 1)]
-        return np.stack([string, first - self.at[string], end - first], 1)
+            string = self.string[places]
+            rows.append(np.stack([np.full(len(places), len(names)), np.full(len(places), length), string, places - self.at[string]], 1))
+            names.append(hashlib.blake2b(self.symbols[places[0] : places[0] + length].astype(np.uint8).tobytes(), digest_size=16).digest())
+        return np.concatenate(rows), names
 
     def intervals(self, span: int):
         """(length, places in the whole text) of the maximal repeats."""
@@ -229,17 +235,23 @@ def hulls(strings: list[bytes], span: int) -> list[tuple[int, int, int]]:
 
 
 def _compare(span: int):
-    """Runs, sorted by hash, to rows (doc, cid, start, size) of repeats; several hashes share one suffix array."""
+    """Runs, sorted by hash, to the maximal repeats among them: a row for each repeat and run; several hashes share one suffix array."""
 
     def repeats(tables: list[pa.Table]):
         table = pa.concat_tables(tables)
+        # equal rows of the table gave their runs more than once
+        keys = np.stack([table[c].to_numpy() for c in RUN], 1)
+        table = table.take(pa.array(np.sort(np.unique(keys, axis=0, return_index=True)[1])))
         strings = [x.as_py() for x in table["run"]]
-        doc, cid, base = table["doc"], table["cid"].to_numpy(), table["start"].to_numpy()
         kept = hulls(strings, span)
-        flat = SuffixArray([strings[k][a:z] for k, a, z in kept], span).covered(span)
+        flat, names = SuffixArray([strings[k][a:z] for k, a, z in kept], span).groups(span)
         index = np.array(kept, np.int64).reshape(-1, 3)
-        flat = np.stack([index[flat[:, 0], 0], flat[:, 1] + index[flat[:, 0], 1], flat[:, 2]], 1)
-        return pa.RecordBatch.from_arrays([doc.take(pa.array(flat[:, 0])).combine_chunks(), pa.array(cid[flat[:, 0]]), pa.array(base[flat[:, 0]] + flat[:, 1]), pa.array(flat[:, 2])], ["doc", "cid", "start", "size"])
+        own, offset = index[flat[:, 2], 0], flat[:, 3] + index[flat[:, 2], 1]
+        rows = table.select([*RUN, "n", "doc", "cid", "start"]).take(pa.array(own)).combine_chunks()
+        made = {"repeat": pa.array(names, pa.binary()).take(pa.array(flat[:, 0])), "length": pa.array(flat[:, 1]), "offset": pa.array(offset)}
+        for name, column in made.items():
+            rows = rows.append_column(name, column)
+        yield from rows.to_batches()
 
     def run(batches):
         held: list[pa.Table] = []
@@ -248,40 +260,40 @@ def _compare(span: int):
             held.append(group)
             total += int(sum(len(x.as_buffer()) for x in group["run"]))
             if total > ARRAY_BYTES:
-                yield repeats(held)
+                yield from repeats(held)
                 held, total = [], 0
         if held:
-            yield repeats(held)
+            yield from repeats(held)
 
     return run
 
 
 def _cut_runs(batches):
     """The bytes of each wanted run of a text."""
-    for batch in batches:
-        out = {"h": [], "doc": [], "cid": [], "start": [], "run": []}
+    for batch in parts(batches, "text"):
+        out = {c: [] for c in (*RUN, "n", "doc", "cid", "start", "run")}
         for text, doc, cid, wanted in zip(batch["text"], batch["doc"].to_pylist(), batch["cid"].to_pylist(), batch["runs"].to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             for w in wanted:
-                out["h"].append(w["h"])
+                for c in (*RUN, "n", "start"):
+                    out[c].append(w[c])
                 out["doc"].append(doc)
                 out["cid"].append(cid)
-                out["start"].append(w["start"])
                 out["run"].append(raw[w["start"] : w["start"] + w["size"]])
-        yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int64()) for c in ("h", "doc", "cid", "start")), pa.array(out["run"], pa.binary())], ["h", "doc", "cid", "start", "run"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "run" else pa.int64()) for c, v in out.items()], list(out))
 
 
-def _window_rows(span: int):
-    """Two hashes of each window of the runs of a hot hash."""
+def _prefixes(span: int):
+    """Rows (digest of the first bytes, run, offset) of all suffixes of ``span`` bytes and more of the runs of a hot hash."""
 
     def run(batches):
-        for batch in batches:
-            for raw, doc, cid, start in zip(batch["run"], batch["doc"].to_pylist(), batch["cid"].to_pylist(), batch["start"].to_pylist(), strict=True):
-                own = np.frombuffer(raw.as_buffer(), np.uint8)
+        for batch in parts(batches, "run"):
+            for k, raw in enumerate(batch["run"]):
+                own = raw.as_buffer().to_pybytes()
                 at = np.arange(len(own) - span + 1)
-                n = len(at)
-                w, w2 = (mix(stretch(prefix_sums(own, table), at, at + span)).view(np.int64) for table in (BYTE, BYTE2))
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(w2), pa.array([doc] * n, pa.int64()), pa.array([cid] * n, pa.int64()), pa.array(start + np.arange(n)), pa.array(np.full(n, span))], ["w", "w2", "doc", "cid", "start", "size"])
+                digest = digests(own, at, at + span)
+                same = batch.slice(k, 1).select([*RUN, "n", "doc", "cid", "start"]).to_pydict()
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), *(pa.array(np.full(len(at), v[0])) for v in same.values()), pa.array(at)], ["w1", "w2", *same, "offset"])
 
     return run
 
@@ -292,38 +304,62 @@ def _with_texts(keyed: DataFrame, table: DataFrame, spans: str, how: str = "inne
     return keyed.join(F.broadcast(table) if few else table, ["doc", "cid"], how)
 
 
-def repeated_spans(docs: DataFrame, *, span: int = SPAN, hot_bytes: int = HOT_BYTES, folder: str | None = None) -> DataFrame:
-    """Rows (doc, cid, start, size): stretches of texts all of whose ``span``-byte windows occur elsewhere as well.
+def _repeats(docs: DataFrame, span: int, hot_runs: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The repeats that different runs have in common, and the members of the runs that occur again.
 
-    ``docs`` has doc (long), cid (a 64-bit hash of the text) and text.
+    Repeats are rows (repeat, length, h, d1, d2, n, doc, cid, start, offset): of
+    each run one member, where it starts, and the place of the repeat in it.
+    Members are rows (h, d1, d2, doc, cid, start, size, n); n counts equal runs.
     """
-    folder = folder or shared_dir(docs.sparkSession)
     texts = docs.select("doc", "cid", "text").where(F.octet_length("text") >= span)
-    counted = texts.select("text").mapInArrow(_anchor_rows(True, span), "h long, sig long, sig2 long, n long")
-    by_hash = Window.partitionBy("h")
-    sums = counted.repartition("h").groupBy("h", "sig", "sig2").agg(F.sum("n").alias("n"))
-    shared = sums.withColumn("runs", F.count("*").over(by_hash)).withColumn("alone", F.min("n").over(by_hash) == 1)
-    hits = shared.where("n > 1 OR runs > 1").select("h", "sig", "sig2", "n", (F.col("alone") & (F.col("runs") > 1)).alias("mixed"))
-    hits = stored(hits, folder, "hits")
-    marked = texts.mapInArrow(_anchor_rows(False, span), "h long, sig long, sig2 long, doc long, cid long, start long, size long")
-    marked = stored(marked.join(hits, ["h", "sig", "sig2"]), folder, "marked")
-    full = marked.where("n > 1").select("doc", "cid", "start", "size")
-    # of a run that occurs several times, one occurrence meets the lone runs
+    found = stored(texts.mapInArrow(_anchor_rows(span), "h long, d1 long, d2 long, doc long, cid long, start long, size int"), folder, "anchors")
+    shared = found.groupBy("h").agg(F.count("*").alias("total"), (F.min("d1") < F.max("d1")).alias("mixed")).where("total > 1").select("h", "total", "mixed")
+    marked = stored(found.join(shared, "h"), folder, "marked")
+    # where all runs of a hash are equal, there is nothing to compare
+    equal = marked.where("NOT mixed").select(*RUN, "doc", "cid", "start", "size", F.col("total").alias("n"))
+    mixed = marked.where("mixed").drop("total", "mixed")
     one = F.min(F.struct("doc", "cid", "start", "size")).alias("one")
-    lone = marked.where("mixed").groupBy("h", "sig", "sig2").agg(one).select("h", "one.*")
-    hot = lone.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > hot_bytes).select("h")
-    hot = stored(hot, folder, "hot")
-    wanted = lone.groupBy("doc", "cid").agg(F.collect_list(F.struct("h", "start", "size")).alias("runs"))
+    runs = stored(mixed.groupBy(*RUN).agg(F.count("*").alias("n"), one).select(*RUN, "n", "one.*"), folder, "runs")
+    hot = stored(runs.groupBy("h").count().where(F.col("count") > hot_runs).select("h"), folder, "hot")
+    wanted = runs.groupBy("doc", "cid").agg(F.collect_list(F.struct(*RUN, "n", "start", "size")).alias("runs"))
     wanted = stored(wanted, folder, "wanted")
     keyed = texts.withColumn("text", F.col("text").cast("binary"))
-    runs = stored(_with_texts(keyed, wanted, "runs").select("doc", "cid", "text", "runs").mapInArrow(_cut_runs, "h long, doc long, cid long, start long, run binary").distinct(), folder, "runs")
-    cold = runs.join(hot, "h", "left_anti")
-    found = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(span), "doc long, cid long, start long, size long")
+    cut = _with_texts(keyed, wanted, "runs").select("doc", "cid", "text", "runs").mapInArrow(_cut_runs, "h long, d1 long, d2 long, n long, doc long, cid long, start long, run binary")
+    cut = stored(cut, folder, "cut")
+    key = "h long, d1 long, d2 long, n long, doc long, cid long, start long"
+    names = ["repeat", "length", *RUN, "n", "doc", "cid", "start", "offset"]
+    cold = cut if hot.isEmpty() else cut.join(hot, "h", "left_anti")
+    repeats = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(span), f"{key}, repeat binary, length long, offset long").select(names)
     if not hot.isEmpty():
-        windows = runs.join(hot, "h", "left_semi").mapInArrow(_window_rows(span), "w long, w2 long, doc long, cid long, start long, size long")
-        often = windows.groupBy("w", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w", "w2")
-        found = found.union(windows.join(often, ["w", "w2"], "left_semi").select("doc", "cid", "start", "size"))
-    return full.union(found)
+        prefixes = stored(cut.join(hot, "h", "left_semi").dropDuplicates(RUN).mapInArrow(_prefixes(span), f"w1 long, w2 long, {key}, offset long"), folder, "prefixes")
+        often = prefixes.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
+        name = F.concat(F.to_binary(F.lpad(F.hex("w1"), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex("w2"), 16, "0"), F.lit("hex")))
+        repeats = repeats.union(prefixes.join(often, ["w1", "w2"], "left_semi").select(name.alias("repeat"), F.lit(span).cast("long").alias("length"), *names[2:]))
+    members = equal.unionByName(mixed.join(runs.select(*RUN, "n"), RUN))
+    return stored(repeats, folder, "repeats"), members
+
+
+def repeat_groups(docs: DataFrame, *, span: int = SPAN, hot_runs: int = HOT_RUNS, folder: str | None = None) -> DataFrame:
+    """Rows (repeat, length, doc, cid, start): all occurrences of every maximal repeat; ``repeat`` identifies its bytes.
+
+    ``docs`` has doc (long), cid (a 64-bit hash of the text) and text.
+    """
+    repeats, members = _repeats(docs, span, hot_runs, folder or shared_dir(docs.sparkSession))
+    whole = F.concat(*(F.to_binary(F.lpad(F.hex(c), 16, "0"), F.lit("hex")) for c in ("d1", "d2")))
+    equal = members.where("n > 1").select(whole.alias("repeat"), F.col("size").cast("long").alias("length"), "doc", "cid", "start")
+    among = repeats.select("repeat", "length", *RUN, "offset").join(members.select(*RUN, "doc", "cid", "start"), RUN)
+    return equal.union(among.select("repeat", "length", "doc", "cid", (F.col("start") + F.col("offset")).alias("start")))
+
+
+def repeated_spans(docs: DataFrame, *, span: int = SPAN, hot_runs: int = HOT_RUNS, folder: str | None = None) -> DataFrame:
+    """Rows (doc, cid, start, size): the stretches of texts that the repeat groups cover.
+
+    Runs that occur again are covered whole, so of the repeats among different
+    runs only those in runs of one member add anything.
+    """
+    repeats, members = _repeats(docs, span, hot_runs, folder or shared_dir(docs.sparkSession))
+    equal = members.where("n > 1").select("doc", "cid", "start", F.col("size").cast("long").alias("size"))
+    return equal.union(repeats.where("n = 1").select("doc", "cid", (F.col("start") + F.col("offset")).alias("start"), F.col("length").alias("size")))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -337,7 +373,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in parts(batches, "text"):
         size, removed, runs, kept = [], [], [], []
         for text, starts, ends in zip(batch["text"], batch["starts"].to_pylist(), batch["ends"].to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -354,13 +390,12 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def without_repeats(docs: DataFrame, *, span: int = SPAN, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, *, span: int = SPAN, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64(text).alias("cid"))
-    spans = repeated_spans(keyed, span=span, hot_bytes=hot_bytes, folder=folder)
+    spans = repeated_spans(keyed, span=span, hot_runs=hot_runs, folder=folder)
     # stretches of a text that touch are one, before they are gathered
     order = Window.partitionBy("doc", "cid").orderBy("start", "end")
     ends = spans.select("doc", "cid", "start", (F.col("start") + F.col("size")).alias("end"))

@@ -1,8 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; every other training text counts
-as unlabelled. A linear numpy classifier over the presence of words and word
-heads minimises the class-prior-corrected risk
+Confirmed toxic documents are the positives. The unlabelled texts are those of
+the labelled rows of the training fold, with their labels hidden, so that both
+samples come from the same rows and their mixture is that of the class prior.
+A linear numpy classifier over the presence of words and word heads minimises
+the class-prior-corrected risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
@@ -10,9 +12,12 @@ with the logistic loss l. Where the second term falls below zero, the step
 goes against it, as in the published algorithm.
 
 Null and empty texts have no features and get the score of the bias alone.
-Repeated rows are scored one by one. Without any confirmed toxic document the
-score is 0 everywhere. Labels, lang, source and doc_id never enter a score;
-further columns of the input are ignored.
+Repeated rows are scored one by one, equal texts get equal scores. An empty
+table gives no rows. Without any confirmed toxic document every score is 0.
+Texts of any length are scored whole; what is held beside a text follows from
+its words (about 50 bytes each). Labels, lang, source and doc_id never enter a
+score; further columns are kept, but for score and predicted, which are
+replaced. Labels that are null, or of an id without a text, teach nothing.
 """
 
 from __future__ import annotations
@@ -21,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lumenpage.llm.common import PUNCT, shared_dir, steps, stored, text_bytes, word_hashes
+from lumenpage.llm.common import PUNCT, parts, steps, text_bytes, word_hashes
 
 #: Bytes of the word heads that are features beside the words themselves.
 HEADS = (4, 5, 6)
@@ -42,6 +47,8 @@ class ToxicityModel:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         raw, at = text_bytes(texts)
+        if not self.prior:
+            return np.zeros(len(at) - 1)
         out = np.full(len(at) - 1, self.bias)
         if len(self.features):
             for i, j in steps(at):
@@ -65,31 +72,34 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, training_fold, *, max_positive: int = 6000, max_unlabelled: int = 12000, max_features: int = 8192, epochs: int = 300, seed: int = 7) -> ToxicityModel:
-    """Fit on at most ``max_positive`` confirmed toxic documents and ``max_unlabelled`` other texts of the training fold.
+    """Fit on at most ``max_positive`` confirmed toxic rows, and ``max_unlabelled`` labelled rows with their labels hidden, of the training fold.
 
-    ``training_fold`` maps a doc_id column to a boolean column. Both samples are
-    those of the smallest hash of doc_id, so they are the same at each call.
-    The prior is the share of toxic rows among all labelled training rows.
+    ``training_fold`` maps a doc_id column to a boolean column. Both samples of
+    labelled rows are those of the smallest hash of doc_id, so they are the same
+    at each call. The prior is the share of toxic rows among all labelled
+    training rows (with half a row added to either class).
     """
     seen = labels.where(training_fold(F.col("doc_id")) & F.col("toxic").isNotNull())
     total, toxic = seen.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not toxic:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -30.0, 0.0)
-    prior = min(0.5, toxic / total)
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0)
     order = F.xxhash64("doc_id", F.lit(seed))
     # a document that is confirmed toxic by any row is a positive; both id lists are bounded, so they may be broadcast
     positive = seen.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive).withColumn("positive", F.lit(1))
-    unlabelled = docs.where(training_fold(F.col("doc_id"))).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(0))
+    unlabelled = seen.select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(0))
     texts = docs.select("doc_id", "text").join(F.broadcast(positive.union(unlabelled)), "doc_id").select("positive", "text")
-    rows = stored(texts.mapInArrow(_feature_rows, "positive int, features binary"), shared_dir(docs.sparkSession), "features")
-    chosen = choose(rows, max_features)
-    sparse = rows.mapInArrow(_only(chosen), "positive int, features binary").toArrow()
+    rows = texts.mapInArrow(_feature_rows, "positive int, features binary").persist(StorageLevel.DISK_ONLY)
+    try:
+        chosen = choose(rows, max_features)
+        sparse = rows.mapInArrow(_only(chosen), "positive int, features binary").toArrow()
+    finally:
+        rows.unpersist()
     places = [np.frombuffer(x.as_py(), np.int32) for x in sparse["features"]]
-    return fit(chosen, places, np.array(sparse["positive"]), prior, epochs)
+    return fit(chosen, places, np.array(sparse["positive"]), (toxic + 0.5) / (total + 1), epochs)
 
 
 def _feature_rows(batches):
-    for batch in batches:
+    for batch in parts(batches, "text"):
         raw, at = text_bytes(batch["text"])
         sets = []
         for i, j in steps(at):
@@ -169,28 +179,25 @@ def _minimise(row: np.ndarray, col: np.ndarray, positive: np.ndarray, n_features
     return theta[:-1], float(theta[-1])
 
 
+def _score(model: ToxicityModel):
+    """The score of a text; only the texts go to Python, and only numbers come back."""
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(model.scores(texts))
+
+    return scored(F.col("text"))
+
+
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """The columns of ``docs`` (but any of these two names) with score and predicted (1 if score >= threshold)."""
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    kept = docs.select(names)
-
-    def run(batches):
-        for batch in batches:
-            s = model.scores(batch["text"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
-
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return kept.mapInArrow(run, schema)
+    return docs.select(*names, _score(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns as they are."""
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch["text"]) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(_score(model) < threshold)
 
 
 def held_out(doc_id):
