@@ -15,10 +15,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on (a longer text is its own step).
 STEP_BYTES = 1 << 20
 
+#: Bits of a bit map for each hash, and its bits at most.
+BITS_EACH, BITS_MOST = 64, 1 << 28
+
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -101,6 +105,34 @@ def stored(df: DataFrame, folder: str, name: str, small: bool = False) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bit_map(hashes: DataFrame, name: str) -> np.ndarray:
+    """A bit map of the 64-bit hashes in a stored column, as 64-bit words.
+
+    It has ``BITS_EACH`` bits for each row, two of them set, and ``BITS_MOST``
+    (32 MB) at most, beyond which it lets more pass; it never holds back a hash
+    that it was made of. It is built by an aggregate, so what reaches the driver
+    is bounded by its size.
+    """
+    bits, n = 1 << 16, hashes.count()
+    while bits < min(BITS_MOST, BITS_EACH * n):
+        bits *= 2
+    own = F.col(name)
+    places = F.array(own.bitwiseAND(F.lit(bits - 1)), F.shiftright(own, 30).bitwiseAND(F.lit(bits - 1)))
+    words = hashes.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits"))
+    rows = words.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def in_bit_map(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of some hashes a bit map lets pass."""
+    last, ok = len(held) * 64 - 1, np.ones(len(hashes), bool)
+    for place in (hashes & last, (hashes >> 30) & last):
+        ok &= (held[place >> 6] >> (place & 63)) & 1 == 1
+    return ok
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64)."""
     x = x ^ (x >> U64(30))
@@ -136,12 +168,14 @@ def stretch(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, and the n + 1 offsets of its rows; nulls are empty."""
+    """All bytes of a string or binary column, and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+        col = col.cast(pa.large_string())
+    col = col.cast(pa.large_binary())
     if col.null_count:
-        col = col.fill_null("")
-    col = col.cast(pa.large_string())
+        col = col.fill_null(b"")
     _, offsets, data = col.buffers()
     at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

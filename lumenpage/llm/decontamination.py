@@ -45,12 +45,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import U64, mix, parts, shared_dir, steps, stored, text_bytes, word_hashes
+from lumenpage.llm.common import U64, bit_map, in_bit_map, mix, parts, shared_dir, steps, stored, text_bytes, word_hashes
 
 #: Kept (1) and ignored (0) positions; five words are kept by each.
 MASKS = ("11111", "1101011", "1011101", "11000111")
-#: Bits of the bit map for each seed, and its bits at most.
-BITS_EACH, BITS_MOST = 64, 1 << 28
 #: Items that one row of candidates holds, more or less; bytes of a table that may be broadcast.
 ITEMS, BROADCAST_BYTES = 256, 32 << 20
 #: Equal words that a segment needs, as many as a mask keeps; words that may stand between the segments of a passage.
@@ -103,38 +101,9 @@ def _with_words(batches):
         yield rows.filter(pa.array([len(w) > 0 for w in words], pa.bool_()))
 
 
-def _places(seed, bits: int):
-    """The two bits of a seed in the map; a numpy array of seeds or a column."""
-    if isinstance(seed, np.ndarray):
-        own = seed.view(np.int64)
-        return own & (bits - 1), (own >> 30) & (bits - 1)
-    return seed.bitwiseAND(F.lit(bits - 1)), F.shiftright(seed, 30).bitwiseAND(F.lit(bits - 1))
-
-
-def bit_map(seeds: DataFrame) -> np.ndarray:
-    """The bit map of some seeds, as 64-bit words; it is built by an aggregate, and its size is bounded."""
-    bits = 1 << 16
-    n = seeds.count()
-    while bits < min(BITS_MOST, BITS_EACH * n):
-        bits *= 2
-    place = seeds.select(F.explode(F.array(*_places(F.col("seed"), bits))).alias("bit"))
-    word = place.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits"))
-    rows = word.toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out
-
-
 def _hits(known, lengths: list[int]):
     """(doc, cid, seed, at) of the seeds of documents that the bit map knows."""
 
-    def passed(seeds: np.ndarray) -> np.ndarray:
-        held = known.value
-        ok = np.ones(len(seeds), bool)
-        for place in _places(seeds, len(held) * 64):
-            ok &= (held[place >> 6] >> (place & 63)) & 1 == 1
-        return np.flatnonzero(ok)
-
     def run(batches):
         for batch in parts(batches, "text"):
             raw, at = text_bytes(batch["text"])
@@ -143,7 +112,7 @@ def _hits(known, lengths: list[int]):
                 row = np.repeat(np.arange(j - i), np.diff(first))
                 for m, size in [*((m, len(mask)) for m, mask in enumerate(MASKS)), *((None, n) for n in lengths)]:
                     seeds = _whole(words, size) if m is None else _seeds(words, MASKS[m], m)
-                    near = passed(seeds)
+                    near = np.flatnonzero(in_bit_map(known.value, seeds.view(np.int64)))
                     near = near[row[near] == row[near + size - 1]]
                     own = pa.array(row[near] + i)
                     yield pa.RecordBatch.from_arrays([batch["doc"].take(own), batch["cid"].take(own), pa.array(seeds[near].view(np.int64)), pa.array((near - first[row[near]]).astype(np.int32))], ["doc", "cid", "seed", "at"])
@@ -238,7 +207,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 10, min_
     # lengths of short items, less than the widest mask has places
     size = F.octet_length("words") / 8
     lengths = sorted(int(r[0]) for r in items.where(size < _widest()).select(size.alias("n")).distinct().collect())
-    known = docs.sparkSession.sparkContext.broadcast(bit_map(seeds))
+    known = docs.sparkSession.sparkContext.broadcast(bit_map(seeds, "seed"))
     texts = _keyed(docs)
     hits = texts.mapInArrow(_hits(known, lengths), "doc long, cid long, seed long, at int")
     aligned = hits.join(seeds, "seed").groupBy("doc", "cid", "item_id", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))

@@ -1,45 +1,59 @@
 """N-gram Jaccard join as a join in a metric space.
 
 Texts become words (runs without ASCII white space, A-Z as a-z) and sets of
-shingles; the distance is 1 - Jaccard similarity. Pivots create regions:
+shingles; the distance is 1 - Jaccard similarity. Pivots create regions, the
+triangle inequality says how far a region must look over its border, and
+regions are joined recursively:
 
 1. Equal sets are one class (distance 0) and take part once.
-2. Every shingle is a pivot. By a total order of shingles, a set lies in the
-   region of its first shingle, and as its distance to a near set is bounded,
-   the triangle inequality bounds how far down its order the first common
-   shingle can stand: n - ceil(t * n) places. The window of a set is all regions
-   up to there; near sets meet in one region at least. Common shingles come
-   last in the order, so regions of common passages stay empty.
-3. The smallest member of a region is its document pivot; regions of one pivot
-   make a cell. Prefixes bound the similarity within a cell, and members with no
-   partner left are dropped before their whole sets are read. What is left is
-   joined anew, by the components of who might be near whom.
-4. Within a cell, exact distances to the pivot come first; a set is compared
-   with another only if they aren't connected yet, and their distances to the
-   pivot differ by the threshold at most (triangle inequality again).
-5. A cell too large for one task is cut by more pivots into Voronoi regions:
-   each member goes to its nearest pivot, and to every pivot whose distance is
-   within twice the threshold of that. This repeats; what doesn't shrink (one blob of
-   near copies) is joined as pairs of bounded blocks.
-
-Links become components. A text of fewer words than a shingle is one shingle of
-all its words; without words (or null) it has an empty set and no links. Rows
-with the same doc_id are one document as far as links go, whatever their texts;
-a null doc_id has no component and no links. Repeated rows give a row each; an empty table none.
-Other columns are ignored.
+2. The first pivots are the shingles themselves, as sets of one: their distance
+   to a set is below 1 if it holds them. A set is nearest to all of its shingles
+   alike, so a total order decides, common shingles last. As the distance of
+   near sets is bounded, the triangle inequality bounds how far down its order
+   the first common shingle can stand: n - ceil(t * n) places. A set is
+   replicated to all regions up to there; near sets meet in one at least.
+   Regions are named by their smallest member and those of one name are a cell.
+   They are found by an aggregate and a join, so that a shingle that very many
+   sets share is combined before it moves, and its rows can be split.
+3. Members without a neighbour of a fitting size are dropped. In a cell of up to
+   ``MEMBERS`` sets, the windows bound the similarity of any two, and who has no
+   partner left is dropped before whole sets are read; of a larger cell all
+   members stay. What is left is joined by the components of who might be near
+   whom, so that each whole set moves once.
+4. Within a cell, document pivots (each the farthest from those before it) cut
+   Voronoi regions: a member goes to its nearest pivot, and to every pivot whose
+   distance is within twice the threshold of that, as near sets can't lie
+   farther apart. Members near a pivot are linked to it. A region whose members
+   are connected is done; the others are cut again. Where pivots no longer part
+   the members, those that aren't connected are compared one by one, by what the
+   distances to the pivots leave possible.
+5. A cell of more than ``MEMBERS`` sets, or ``CELL`` shingles, is cut in the same
+   way by Spark, its rows salted, so a group of near copies of any size is
+   compared to its pivots by many tasks; what is left of it goes on as above. What
+   doesn't shrink is joined as pairs of blocks, of the members that aren't
+   connected with all.
+
+The result is exact at every step. Links become components. A text of fewer
+words than a shingle is one shingle of all its words; without words (or null) it
+has an empty set and no links. Rows with the same doc_id are one document as far
+as links go, whatever their texts; a null doc_id has no component and no links.
+Repeated rows give a row each; an empty table none. Ties of size or distance
+stand by id. A text of any length is one set, sorted in memory at 16 bytes a
+word. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import U64, groups, mix, parts, shared_dir, shingle_hashes, steps, stored, text_bytes, word_hashes
+from lumenpage.llm.common import U64, bit_map, groups, in_bit_map, mix, parts, shared_dir, shingle_hashes, steps, stored, text_bytes, word_hashes
 from lumenpage.llm.components import components
 
 #: Shingles that may be known as common (8 bytes each, broadcast); this orders work only.
@@ -48,8 +62,8 @@ COMMON = 1 << 17
 COMMON_LEAST = 4
 #: Rows of ids up to which a semi-join may broadcast them.
 BROADCAST_IDS = 500_000
-#: Shingles that a cell may hold in one task, and pivots that cut a larger one.
-CELL, PIVOTS = 4_000_000, 8
+#: Sets and shingles that a cell may hold in one task, pivots that cut one, and members up to which all pairs are compared.
+MEMBERS, CELL, PIVOTS, LEAF = 1000, 4_000_000, 8, 6
 _TOP = U64(1 << 63)
 
 
@@ -88,7 +102,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
             return pa.RecordBatch.from_pydict({"s": own[often].view(np.int64), "n": n[often]})
 
         total = 0
-        for batch in batches:
+        for batch in parts(batches, "text"):
             for own in shingle_sets(batch["text"], size):
                 held.append(own)
                 total += len(own)
@@ -107,7 +121,7 @@ def _sets(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataF
     """(doc_id, n, key, prefix): prefix holds the window of the set by the total order, as bytes of uint64."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             n, key, prefix = [], [], []
             for own in shingle_sets(batch["text"], size):
                 n.append(len(own))
@@ -125,12 +139,20 @@ def _sets(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix binary")
 
 
-def _windows(batches):
-    """(s, id) for each place of a window."""
-    for batch in batches:
-        raw = [x.as_py() for x in batch["prefix"]]
-        ids = np.repeat(batch["id"].to_numpy(), [len(x) // 8 for x in raw])
-        yield pa.RecordBatch.from_pydict({"s": np.frombuffer(b"".join(raw), np.int64), "id": ids})
+def _windows(known=None):
+    """(s, id) for each place of a window; with a bit map, of those that it knows."""
+
+    def run(batches):
+        for batch in parts(batches, "prefix"):
+            raw = [x.as_py() for x in batch["prefix"]]
+            ids = np.repeat(batch["id"].to_numpy(), [len(x) // 8 for x in raw])
+            places = np.frombuffer(b"".join(raw), np.int64)
+            if known is not None:
+                held = in_bit_map(known.value, places)
+                places, ids = places[held], ids[held]
+            yield pa.RecordBatch.from_pydict({"s": places, "id": ids})
+
+    return run
 
 
 def _near(a: np.ndarray, b: np.ndarray, inter: np.ndarray, percent: int) -> np.ndarray:
@@ -139,7 +161,7 @@ def _near(a: np.ndarray, b: np.ndarray, inter: np.ndarray, percent: int) -> np.n
 
 def _halves(batches):
     """The upper halves of a window's order values: they keep the order, but for ties."""
-    for batch in batches:
+    for batch in parts(batches, "prefix"):
         short = [(np.frombuffer(x.as_py(), np.uint64) >> U64(32)).astype(np.uint32).tobytes() for x in batch["prefix"]]
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array(short, pa.binary())], ["id", "prefix"])
 
@@ -215,48 +237,80 @@ def _hopeful(percent: int):
     return run
 
 
-def join_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is near among the sets; the first is the pivot."""
+def join_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is near among the sets; ``settled`` ones are connected already."""
     m = len(sets)
-    n = np.array([len(s) for s in sets])
+    n = np.array([len(x) for x in sets])
     if m == 2:
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(int(ids[0]), int(ids[1]))] if _near(n[0], n[1], inter, percent) else []
     postings = Postings(sets)
-    label, done, links = np.arange(m), np.zeros(m, bool), []
-    to_pivot: np.ndarray | None = None
+    label, links = np.arange(m), []
+    if settled is not None and settled.any():
+        label[settled] = np.flatnonzero(settled)[0]
     slack = 1 - percent / 100 + 1e-9
-    while True:
-        open_ = np.flatnonzero(~done)
-        if not len(open_):
-            break
-        sizes = np.bincount(label[open_], minlength=m)
-        largest = int(np.argmax(sizes))
-        if sizes[largest] == len(open_):
-            break  # all that isn't compared yet is connected
-        outside = open_[label[open_] != largest]
-        x = 0 if not done[0] else int(outside[0])
-        inter = postings.common(x)
-        distance = 1 - inter / (n[x] + n - inter)
-        if x == 0:
-            to_pivot = distance
-        near = _near(n[x], n, inter, percent) & (label != label[x]) & (np.abs(to_pivot - to_pivot[x]) <= slack)
-        for y in np.flatnonzero(near).tolist():
+
+    def compared(x: int, region: np.ndarray) -> np.ndarray:
+        """Distances of a region to set x; what is near is linked."""
+        inter = postings.common(x)[region]
+        for y in region[_near(n[x], n[region], inter, percent) & (label[region] != label[x])].tolist():
             if label[y] != label[x]:
                 links.append((int(ids[x]), int(ids[y])))
                 label[label == label[y]] = label[x]
-        done[x] = True
+        return 1 - inter / (n[x] + n[region] - inter)
+
+    def one_by_one(region: np.ndarray, far: np.ndarray) -> None:
+        """Compare what isn't connected, smaller groups first; ``far`` has the distances to some pivots."""
+        waiting = np.ones(len(region), bool)
+        while True:
+            own, sizes = np.unique(label[region[waiting]], return_counts=True)
+            if len(own) < 2:
+                # what waits is one group; the rest was compared with everything
+                return
+            k = int(np.flatnonzero(waiting & (label[region] == own[np.argmin(sizes)]))[0])
+            waiting[k] = False
+            open_ = (label[region] != label[region[k]]) & (np.abs(far - far[k]).max(1, initial=0) <= slack)
+            if open_.any():
+                compared(int(region[k]), region[open_])
+
+    stack = [np.arange(m)]
+    while stack:
+        region = stack.pop()
+        if (label[region] == label[region[0]]).all():
+            continue
+        if len(region) <= LEAF:
+            one_by_one(region, np.zeros((len(region), 0)))
+            continue
+        # each pivot is the farthest from those before it
+        pivot, far = 0, []
+        while len(far) < PIVOTS:
+            far.append(compared(int(region[pivot]), region))
+            nearest = np.min(far, axis=0)
+            pivot = int(np.argmax(nearest))
+            if nearest[pivot] <= 0:
+                break
+        far = np.stack(far, 1)
+        within = far <= far.min(1, keepdims=True) + 2 * slack
+        cut = [region[own] for own in within.T]
+        cut = [own for own in cut if (label[own] != label[own[0]]).any()]
+        if sum(map(len, cut)) <= 2 * len(region) and all(len(own) < len(region) for own in cut):
+            stack += cut
+        else:
+            one_by_one(region, far)
     return links
 
 
 def _join_cells(percent: int, key: str = "cell"):
+    """Links of the cells, whose rows have id, members and settled."""
+
     def run(batches):
         for cell in groups(batches, key):
             ids = cell["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
+            order = np.unique(ids, return_index=True)[1]
             column = cell["members"].combine_chunks() if cell["members"].num_chunks > 1 else cell["members"].chunk(0)
             sets = [np.frombuffer(column[int(k)].as_py(), np.uint64) for k in order]
-            links = join_sets(ids[order], sets, percent) if len(ids) > 1 else []
+            settled = cell["settled"].to_numpy()[order]
+            links = join_sets(ids[order], sets, percent, settled) if len(order) > 1 else []
             flat = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({"a": flat[:, 0], "b": flat[:, 1]})
 
@@ -264,30 +318,26 @@ def _join_cells(percent: int, key: str = "cell"):
 
 
 def _cut(percent: int):
-    """Members with the pivots of their cell: (cell, part, id) by Voronoi regions and windows, and links to near pivots."""
+    """Members with the pivots of their cell: (cell, part, id, size, settled, linked) by Voronoi regions and windows, and links to near pivots."""
     slack = 2 * (1 - percent / 100) + 1e-9
+    names = ["cell", "part", "id", "size", "settled", "linked", "a", "b"]
 
     def run(batches):
-        for batch in batches:
-            cells, parts, ids, links = [], [], [], []
-            for cell, own, raw, pivots in zip(batch["cell"].to_pylist(), batch["id"].to_pylist(), batch["members"], batch["pivots"].to_pylist(), strict=True):
+        for batch in parts(batches, "members"):
+            rows = []
+            for cell, own, raw, settled, pivots in zip(batch["cell"].to_pylist(), batch["id"].to_pylist(), batch["members"], batch["settled"].to_pylist(), batch["pivots"].to_pylist(), strict=True):
                 mine = np.frombuffer(raw.as_py(), np.uint64)
-                far = []
+                found = []
                 for p in pivots:
                     other = np.frombuffer(p["members"], np.uint64)
                     inter = len(np.intersect1d(mine, other, assume_unique=True))
-                    far.append(1 - inter / (len(mine) + len(other) - inter))
-                    if p["id"] != own and _near(len(mine), len(other), inter, percent):
-                        links.append((own, p["id"]))
-                for p, d in zip(pivots, far, strict=True):
-                    if d <= min(far) + slack:
-                        cells.append(cell)
-                        parts.append(p["id"])
-                        ids.append(own)
-            none = [None] * len(cells)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells + [None] * len(links), pa.int64()), pa.array(parts + [None] * len(links), pa.int64()), pa.array(ids + [None] * len(links), pa.int64()),
-                 pa.array(none + [x[0] for x in links], pa.int64()), pa.array(none + [x[1] for x in links], pa.int64())], ["cell", "part", "id", "a", "b"])
+                    found.append((1 - inter / (len(mine) + len(other) - inter), _near(len(mine), len(other), inter, percent), p["id"]))
+                    if found[-1][1] and p["id"] != own:
+                        rows.append((None,) * 6 + (own, p["id"]))
+                least = min(found)[0]
+                rows += [(cell, p, own, len(mine), settled, bool(near), None, None) for d, near, p in found if d <= least + slack]
+            kinds = [pa.int64()] * 4 + [pa.bool_()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names)
 
     return run
 
@@ -296,34 +346,46 @@ def _sorted_cells(members: DataFrame, *key: str) -> DataFrame:
     return members.repartition(*key).sortWithinPartitions(*key)
 
 
-def _exact(members: DataFrame, counts: DataFrame, whole, percent: int, folder: str, limit: int, level: int = 0) -> DataFrame:
-    """Links (a, b) within the cells of the stored ``members`` (cell, id).
+def _exact(members: DataFrame, counts: DataFrame, whole, percent: int, folder: str, limit: tuple[int, int], level: int = 0) -> DataFrame:
+    """Links (a, b) within the cells of the stored ``members`` (cell, id, settled).
 
-    ``counts`` has (id, n); ``whole`` adds the column members, the bytes of the set, to rows with an id.
+    ``counts`` has (id, n); ``whole`` adds the column members, the bytes of the
+    set, to such rows. The settled ones of a cell are connected already.
     """
     sized = members.join(counts, "id").groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("count"))
-    large = stored(sized.where(F.col("total") > limit), folder, f"oversize-{level}")
+    large = stored(sized.where((F.col("count") > limit[0]) | (F.col("total") > limit[1])), folder, f"oversize-{level}")
     if large.isEmpty():
         return _sorted_cells(whole(members), "cell").mapInArrow(_join_cells(percent), "a long, b long")
     fitting = stored(members.join(large, "cell", "left_anti"), folder, f"fitting-{level}")
     links = _sorted_cells(whole(fitting), "cell").mapInArrow(_join_cells(percent), "a long, b long")
     big = stored(whole(stored(members.join(large, "cell", "left_semi"), folder, f"big-ids-{level}")), folder, f"big-{level}")
-    # pivots by the least hash of the id; the level changes the choice
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(level)), "id")
-    chosen = big.select("cell", "id").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
-    pivots = big.join(chosen, ["cell", "id"]).dropDuplicates(["cell", "id"]).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("id", "members"))).alias("pivots"))
+    # pivots by the least hash of the id, from what isn't settled; the level changes the choice
+    chances = [F.min_by("id", F.xxhash64("id", F.lit(PIVOTS * level + k))) for k in range(PIVOTS)]
+    chosen = big.where("NOT settled").groupBy("cell").agg(F.array_distinct(F.array(*chances)).alias("ids")).select("cell", F.explode("ids").alias("id"))
+    pivots = big.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, ["cell", "id"]).dropDuplicates(["cell", "id"])
+    pivots = stored(pivots.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("id", "members"))).alias("pivots")), folder, f"pivots-{level}")
     # a large cell is one key: its rows are salted, and its few pivots repeated
     salt = 64
     salted = big.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)))
     repeated = pivots.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salt - 1}L)")))
-    cut = salted.join(repeated, ["cell", "salt"]).select("cell", "id", "members", "pivots").mapInArrow(_cut(percent), "cell long, part long, id long, a long, b long")
-    cut = stored(cut, folder, f"cut-{level}")
+    cut = salted.join(repeated, ["cell", "salt"]).select("cell", "id", "members", "settled", "pivots")
+    cut = stored(cut.mapInArrow(_cut(percent), "cell long, part long, id long, size long, settled boolean, linked boolean, a long, b long"), folder, f"cut-{level}")
     links = links.union(cut.where("a IS NOT NULL").select("a", "b"))
-    regions = cut.where("cell IS NOT NULL").select("cell", F.xxhash64("cell", "part", F.lit(level)).alias("region"), "id")
-    shrunk = regions.groupBy("cell", "region").agg(F.count("*").alias("now")).join(large.select("cell", "count"), "cell")
-    good = shrunk.where(F.col("now") <= 0.7 * F.col("count")).select("region")
-    again = stored(regions.join(good, "region", "left_semi").select(F.col("region").alias("cell"), "id"), folder, f"again-{level}")
-    stuck = stored(regions.join(good, "region", "left_anti").select(F.col("region").alias("cell"), "id"), folder, f"stuck-{level}")
+    rows = cut.where("cell IS NOT NULL").withColumn("region", F.xxhash64("cell", "part", F.lit(level)))
+    old, new = F.col("settled"), F.col("linked")
+    regions = rows.groupBy("cell", "region").agg(
+        F.count("*").alias("now"), F.count_if(old).alias("old"), F.count_if(new & ~old).alias("new"), F.count_if(new & old).alias("both"), F.count_if(~new & ~old).alias("open")
+    )
+    # who is near the pivot and who was settled are one group if they share a member; else the larger group stays settled
+    joined = (F.col("both") > 0) | (F.col("old") == 0)
+    kept = F.when(joined, "all").when(F.col("old") >= F.col("new"), "old").otherwise("new")
+    left = F.when(joined, F.col("open")).otherwise(F.col("open") + F.least("old", "new"))
+    regions = regions.join(large.select("cell", "count"), "cell").select("region", "now", "count", kept.alias("kept"), left.alias("left")).where("left > 0")
+    regions = stored(regions, folder, f"regions-{level}")
+    go_on = rows.join(F.broadcast(regions) if regions.count() <= BROADCAST_IDS else regions, "region")
+    settled = F.when(F.col("kept") == "all", old | new).when(F.col("kept") == "old", old).otherwise(new)
+    go_on = stored(go_on.select(F.col("region").alias("cell"), "id", settled.alias("settled"), (F.col("now") <= 0.7 * F.col("count")).alias("shrunk")), folder, f"regions-of-{level}")
+    again, stuck = (go_on.where(c).select("cell", "id", "settled") for c in ("shrunk", "NOT shrunk"))
     if not again.isEmpty():
         links = links.union(_exact(again, counts, whole, percent, folder, limit, level + 1))
     if not stuck.isEmpty():
@@ -331,13 +393,17 @@ def _exact(members: DataFrame, counts: DataFrame, whole, percent: int, folder: s
     return links
 
 
-def _blocks(members: DataFrame, counts: DataFrame, whole, percent: int, limit: int, folder: str, level: int) -> DataFrame:
-    """Join cells as pairs of blocks, each pair within the limit."""
+def _blocks(members: DataFrame, counts: DataFrame, whole, percent: int, limit: tuple[int, int], folder: str, level: int) -> DataFrame:
+    """Join cells as pairs of blocks within the limit: each block of what isn't settled, with every block."""
     sized = members.join(counts, "id")
-    count = sized.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / limit)).alias("blocks"))
-    placed = sized.join(count, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.xxhash64("cell", F.least(F.col("block"), other), F.greatest(F.col("block"), other)))
-    rows = stored(placed.select(F.explode(F.array_distinct(pairs)).alias("cell"), "id"), folder, f"blocks-{level}")
+    need = lambda test: F.greatest(F.lit(1), F.ceil(2 * F.sum(F.when(test, F.col("n"))) / limit[1]), F.ceil(2 * F.count_if(test) / limit[0]))
+    count = sized.groupBy("cell").agg(need(F.lit(True)).alias("blocks"), F.coalesce(need(~F.col("settled")), F.lit(1)).alias("open_blocks"))
+    placed = sized.join(count, "cell")
+    of = lambda blocks, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(blocks))
+    upto = lambda blocks: F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+    with_open = F.transform(upto("open_blocks"), lambda o: F.xxhash64("cell", o, of("blocks", 1)))
+    as_open = F.when(~F.col("settled"), F.transform(upto("blocks"), lambda b: F.xxhash64("cell", of("open_blocks", 2), b))).otherwise(F.array().cast("array<bigint>"))
+    rows = stored(placed.select(F.explode(F.array_distinct(F.concat(with_open, as_open))).alias("cell"), "id", "settled"), folder, f"blocks-{level}")
     return _sorted_cells(whole(rows), "cell").mapInArrow(_join_cells(percent), "a long, b long")
 
 
@@ -365,7 +431,7 @@ def _classes(sets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]
             return classes, several
 
 
-def _linked(docs: DataFrame, size: int, percent: int, limit: int, folder: str, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _linked(docs: DataFrame, size: int, percent: int, limit: tuple[int, int], folder: str, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The stored sets of all rows; per key the smallest doc_id of its component and whether the key is the first of that; doc_ids with several sets.
 
     With ``by_id``, sets of one doc_id are linked too.
@@ -384,40 +450,47 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: int, folder: str, b
     else:
         holders = holders.withColumn("id", F.col("doc_id"))
     counts = holders.groupBy("id").agg(F.max("n").alias("n"))
-    region = Window.partitionBy("s")
-    windows = holders.select("id", "prefix").mapInArrow(_windows, "s long, id long")
-    met = windows.withColumn("cell", F.min("id").over(region)).where("id <> cell").select("cell", "id").distinct()
+    # the smallest member names a region; a shingle of one set makes none
+    windows = holders.select("id", "prefix")
+    regions = windows.mapInArrow(_windows(), "s long, id long").groupBy("s").agg(F.min("id").alias("cell"), F.max("id").alias("last"))
+    regions = stored(regions.where("cell < last").select("s", "cell"), folder, "regions")
+    known = docs.sparkSession.sparkContext.broadcast(bit_map(regions, "s"))
+    met = windows.mapInArrow(_windows(known), "s long, id long").join(regions, "s").where("id <> cell").select("cell", "id").distinct()
     met = stored(met, folder, "met")
-    members = met.union(met.select("cell", F.col("cell").alias("id")).distinct()).join(counts, "id")
     # sizes of near sets differ by the threshold at most: who has no such neighbour in its cell is done
-    by_size = Window.partitionBy("cell").orderBy("n", "id")
-    beside = members.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
-    beside = beside.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more")))
-    beside = stored(beside.select("cell", "id", "n"), folder, "beside")
-    halves = holders.select("id", "prefix").join(_few(stored(beside.select("id").distinct(), folder, "beside-ids")), "id", "left_semi").mapInArrow(_halves, "id long, prefix binary")
-    hopeful = stored(_sorted_cells(beside.join(halves, "id"), "cell").mapInArrow(_hopeful(percent), "a long, b long").distinct(), folder, "hopeful")
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    members = met.union(met.select("cell", F.col("cell").alias("id")).distinct()).join(counts, "id").withColumn("band", F.floor(F.log("n") / width))
+    bands = members.groupBy("cell", "band").count()
+    around = bands.select("cell", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), "count").groupBy("cell", "band").agg(F.sum("count").alias("fitting"))
+    beside = stored(members.join(around.where("fitting > 1"), ["cell", "band"]).select("cell", "id", "n"), folder, "beside")
+    crowded = stored(beside.groupBy("cell").count().where(F.col("count") > limit[0]).select("cell"), folder, "crowded")
+    sparse = beside.join(crowded, "cell", "left_anti")
+    halves = holders.select("id", "prefix").join(_few(stored(sparse.select("id").distinct(), folder, "beside-ids")), "id", "left_semi").mapInArrow(_halves, "id long, prefix binary")
+    hopeful = _sorted_cells(sparse.join(halves, "id"), "cell").mapInArrow(_hopeful(percent), "a long, b long")
+    whole_cells = beside.join(crowded, "cell", "left_semi").select(F.col("cell").alias("a"), F.col("id").alias("b"))
+    hopeful = stored(hopeful.union(whole_cells).distinct(), folder, "hopeful")
     # what might be near, over all cells, is joined as one cell, so that each whole set moves once
     merged = components(hopeful, f"{folder}/cells")
-    merged = stored(merged.select(F.col("component").alias("cell"), "id").distinct(), folder, "merged")
+    merged = stored(merged.select(F.col("component").alias("cell"), "id", F.lit(False).alias("settled")).distinct(), folder, "merged")
 
     def add_sets(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             own = [s.tobytes() for s in shingle_sets(batch["text"], size)]
-            rows = pa.RecordBatch.from_arrays([batch["cell"], batch["id"], pa.array(own, pa.binary())], ["cell", "id", "members"])
+            rows = pa.RecordBatch.from_arrays([batch["cell"], batch["id"], batch["settled"], pa.array(own, pa.binary())], ["cell", "id", "settled", "members"])
             yield rows.filter(pa.array([len(s) > 0 for s in own], pa.bool_()))
 
     def keyed_sets(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             own = list(shingle_sets(batch["text"], size))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(_key, own), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "key", "members"])
 
     def whole(rows: DataFrame) -> DataFrame:
         if several:
-            keyed = rows.join(classes, "id").select("cell", "id", "key", "doc_id")
+            keyed = rows.join(classes, "id").select("cell", "id", "settled", "key", "doc_id")
             texts = docs.select("doc_id", "text").join(_few(keyed.select("doc_id").distinct()), "doc_id", "left_semi")
-            return texts.mapInArrow(keyed_sets, "doc_id long, key binary, members binary").join(_few(keyed), ["doc_id", "key"]).select("cell", "id", "members")
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(_few(rows), "id").select("cell", "id", "text")
-        return texts.mapInArrow(add_sets, "cell long, id long, members binary")
+            return texts.mapInArrow(keyed_sets, "doc_id long, key binary, members binary").join(_few(keyed), ["doc_id", "key"]).select("cell", "id", "settled", "members")
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(_few(rows), "id").select("cell", "id", "settled", "text")
+        return texts.mapInArrow(add_sets, "cell long, id long, settled boolean, members binary")
 
     links = _exact(merged, counts, whole, percent, folder, limit)
     if several and by_id:
@@ -435,7 +508,7 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: int, folder: str, b
     return sets, known, several
 
 
-def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, limit: int = CELL) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, limit: tuple[int, int] = (MEMBERS, CELL)) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -452,7 +525,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, lim
 
 def _with_keys(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             keys = pa.array(map(_key, shingle_sets(batch["text"], size)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_key"])
 
@@ -468,7 +541,7 @@ def one_of_each(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFra
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    sets, known, _ = _linked(docs.select("doc_id", "text"), size, percent, CELL, folder, by_id=False)
+    sets, known, _ = _linked(docs.select("doc_id", "text"), size, percent, (MEMBERS, CELL), folder, by_id=False)
     found = sets.where("doc_id IS NOT NULL").select("doc_id", "key").join(known, "key", "left")
     stays = F.col("key").isNull() | ((F.col("doc_id") == F.col("component_id")) & F.col("first"))
     found = stored(found.select("doc_id", "key", stays.alias("stays")), folder, "components")

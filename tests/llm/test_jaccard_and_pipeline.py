@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lumenpage.llm import jaccard, secrets
@@ -56,7 +57,7 @@ def fixture(seed):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "limit", "size", "percent"), [(1, 4_000_000, 4, 85), (2, 1500, 4, 85), (3, 200, 5, 80)])
+@pytest.mark.parametrize(("seed", "limit", "size", "percent"), [(1, (1000, 4_000_000), 4, 85), (2, (10, 1500), 4, 85), (3, (4, 200), 5, 80)])
 def test_components_equal_brute_force(spark, seed, limit, size, percent):
     rows = fixture(seed)
     df = spark.createDataFrame([(*r, "k", 5) for r in rows], "doc_id long, text string, cell string, n int")
@@ -64,6 +65,60 @@ def test_components_equal_brute_force(spark, seed, limit, size, percent):
     assert got == brute(rows, size, percent)
 
 
+@pytest.mark.parametrize(("seed", "percent"), [(1, 85), (2, 80), (3, 60), (4, 50)])
+def test_regions_of_one_task_connect_what_is_near(seed, percent):
+    """The in-task join against all pairs, with and without members that are connected already."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(25):
+        base = rng.integers(0, 500, rng.integers(4, 60))
+        for _ in range(rng.integers(1, 9)):
+            own = base.copy()
+            own[rng.integers(0, len(own), rng.integers(0, 6))] = rng.integers(0, 500)
+            sets.append(np.unique(own).astype(np.uint64))
+    ids = np.arange(len(sets)) * 3
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+
+    def parted(links, joined=()):
+        label = list(range(len(sets)))
+        for a, b in [*links, *((joined[0], x) for x in joined)]:
+            label = [label[b] if x == label[a] else x for x in label]
+        return [label.index(x) for x in label]
+
+    assert parted([(a // 3, b // 3) for a, b in jaccard.join_sets(ids, sets, percent)]) == parted(near)
+    settled = rng.random(len(sets)) < 0.3
+    group = np.flatnonzero(settled).tolist()
+    assert parted([(a // 3, b // 3) for a, b in jaccard.join_sets(ids, sets, percent, settled)], group) == parted(near, group)
+
+
+def test_large_cells_are_cut_into_regions(spark, monkeypatch):
+    """One hot group of near copies and one of texts that only share words: both are cut by pivots, and the result is exact."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        own = base.copy()
+        for _ in range(rng.randrange(0, 7)):
+            own[rng.randrange(60)] = f"z{rng.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    passes = []
+    cut = jaccard._cut
+    monkeypatch.setattr(jaccard, "_cut", lambda percent: passes.append(percent) or cut(percent))
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), limit=(8, 900)).collect())
+    assert got == brute(rows, 4, 85) and passes
+
+
+def test_a_text_of_several_megabytes_is_one_set(spark):
+    rng = random.Random(22)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    other = words.copy()
+    other[150_000] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:200_000]))]
+    assert len(rows[0][1]) > 2 << 20
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (len(shingles(t, 4)), 1 if i < 3 else 3) for i, t in rows}
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (3, "A b c d e"), (None, "a b c d e"), (None, None), (9, None)], "doc_id long, text string")
     got = sorted(map(str, (tuple(r) for r in jaccard.jaccard_components(df).collect())))
@@ -72,7 +127,7 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted(str(r["doc_id"]) for r in jaccard.one_of_each(df).collect()) == ["3", "9", "None", "None"]
 
 
-@pytest.mark.parametrize(("seed", "limit"), [(4, 4_000_000), (5, 1500)])
+@pytest.mark.parametrize(("seed", "limit"), [(4, (1000, 4_000_000)), (5, (5, 1500))])
 def test_rows_of_one_doc_id_with_different_texts_keep_all_their_links(spark, seed, limit):
     rng = random.Random(seed)
     texts = [t for _, t in fixture(seed)]
