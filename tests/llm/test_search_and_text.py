@@ -62,11 +62,16 @@ def brute_top(rows, queries, k):
     return sorted(out)
 
 
-def test_top_k_is_exact_with_ties_and_bad_vectors(spark):
+def test_top_k_is_exact_with_ties_and_bad_vectors(spark, monkeypatch):
     rng = random.Random(2)
     vectors = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(300)]
     vectors[50:90] = [vectors[7]] * 40
     rows = [(i, v, 0) for i, v in enumerate(vectors)] + [(1000, None, 0), (1001, [1.0, None], 0), (1002, [float("nan")] * 6, 0), (1003, [float("inf")] * 6, 0), (1004, [], 0), (1005, [2.0, 1.0], 0)]
+    monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "CHUNK", 4)
+    monkeypatch.setattr(topk, "SHARDS", 3)
+    monkeypatch.setattr(topk, "CHUNKS", 2)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, lead int")
     ints = df.select(df.vec_id.alias("id"), topk.quantised(df.embedding).alias("v")).where("v IS NOT NULL")
     got = sorted(tuple(r) for r in topk.top_k(ints, ints.where("id % 20 = 0"), 10).collect())
@@ -85,6 +90,8 @@ def test_blocks_that_cannot_win_are_left_out():
     for q in range(5):
         scores = matrix @ queries[q]
         assert [(i, s) for _, i, s in got[7 * q : 7 * q + 7]] == [(int(i), int(scores[i])) for i in np.lexsort((ids, -scores))[:7]]
+    for floor in (got[6][2], got[6][2] - 5):
+        assert topk.best_of_shard(queries[:1], np.array([-1]), matrix, ids, 7, block=10, floor=np.array([float(floor)])) == got[:7]
     huge = np.array([[2**40, 2**40]])
     assert topk.best_of_shard(huge, np.array([-1]), np.array([[1, 1], [2, 1]]), np.array([5, 6]), 1) == [(-1, 6, 3 * 2**40)]
 
