@@ -36,6 +36,8 @@ from lumenpage.llm.common import shared_dir, stored
 
 #: Vectors in a block, and in a shard of blocks; queries in a chunk; shards whose bounds one task sees, and chunks that one task scores.
 BLOCK, SHARD, CHUNK, SHARDS, CHUNKS = 256, 8192, 512, 512, 16
+#: Pairs of a shard and a chunk that are scored without looking at their bounds first.
+FEW = 16
 _EXACT = float(1 << 53)
 
 
@@ -230,12 +232,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     shards = stored(shards.select(F.monotonically_increasing_id().alias("shard"), *_COLUMNS), folder, "shards")
     chunks = queries.select("id", "v").mapInArrow(_packed(CHUNK), packed).select(F.monotonically_increasing_id().alias("chunk"), *_COLUMNS)
     chunks = stored(chunks, folder, "chunks", small=True)
-    bounds = stored(shards.mapInArrow(_with_bounds, "shard long, blocks int, width int, least binary, most binary"), folder, "bounds", small=True)
-    counts = [max(1, -(-bounds.count() // SHARDS)), max(1, -(-chunks.count() // CHUNKS))]
+    n_shards, n_chunks = shards.count(), chunks.count()
+    counts = [max(1, -(-n_shards // SHARDS)), max(1, -(-n_chunks // CHUNKS))]
     part, group = (F.pmod(F.xxhash64(c), F.lit(n)) for c, n in zip(("shard", "chunk"), counts, strict=True))
     every = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
 
-    def looked_at(rows: DataFrame, found: str) -> DataFrame:
+    def looked_at(bounds: DataFrame, rows: DataFrame, found: str) -> DataFrame:
         """The bounds of SHARDS shards or so, with CHUNKS chunks or so, in each task."""
         left = bounds.select("*", part.alias("part")).select("*", every(counts[1]).alias("group"))
         right = rows.select("*", group.alias("to_group")).select("*", every(counts[0]).alias("to_part"))
@@ -249,11 +251,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return left.groupBy("shard", "group").cogroup(right.groupBy("to_shard", "to_group")).applyInArrow(_scored(k), "chunk long, query_id long, vec_id long, score long")
 
     blank = chunks.withColumn("floor", F.lit(None).cast("binary"))
-    seeds = looked_at(blank, "promises").groupBy("chunk").agg(F.max_by("shard", F.struct("promise", "shard")).alias("shard"))
-    first = stored(met(stored(seeds, folder, "seeds", small=True), blank), folder, "first", small=True)
-    floored = chunks.groupBy("chunk").cogroup(first.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(_floors(k), f"chunk long, {packed}, floor binary")
-    floored = stored(floored, folder, "floored", small=True)
-    found = met(stored(looked_at(floored, "pairs"), folder, "pairs", small=True), floored)
+    if n_shards * n_chunks <= FEW:
+        # so few pairs are scored sooner than floors are found
+        found = met(shards.select("shard").join(F.broadcast(chunks.select("chunk"))), blank)
+    else:
+        bounds = stored(shards.mapInArrow(_with_bounds, "shard long, blocks int, width int, least binary, most binary"), folder, "bounds", small=True)
+        seeds = looked_at(bounds, blank, "promises").groupBy("chunk").agg(F.max_by("shard", F.struct("promise", "shard")).alias("shard"))
+        first = stored(met(stored(seeds, folder, "seeds", small=True), blank), folder, "first", small=True)
+        floored = chunks.groupBy("chunk").cogroup(first.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(_floors(k), f"chunk long, {packed}, floor binary")
+        floored = stored(floored, folder, "floored", small=True)
+        found = met(stored(looked_at(bounds, floored, "pairs"), folder, "pairs", small=True), floored)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
