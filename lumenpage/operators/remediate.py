@@ -998,8 +998,8 @@ WRITABLE = ("wiki_page", "assignment", "discussion", "announcement", "syllabus")
 CHANGED = "html string, changed boolean, fixes array<string>, elements_dropped int, attributes_dropped int, declarations_dropped int"
 
 
-def repaired(pages: DataFrame, issues: DataFrame, alts: dict[str, str] | None = None, with_title: bool = False) -> DataFrame:
-    """Pages with their repaired html, and what was done. Only writable pages with issues are rewritten.
+def repaired(pages: DataFrame, issues: DataFrame, alts: dict[str, str] | None = None, with_title: bool = False, sanitized: bool = True) -> DataFrame:
+    """Pages with their repaired (and sanitized) html, and what was done. Only writable pages with issues are rewritten.
 
     Rules found are gathered per page (a few dozen at most) and joined to the pages by their key.
     """
@@ -1015,7 +1015,8 @@ def repaired(pages: DataFrame, issues: DataFrame, alts: dict[str, str] | None =
                 html, fixes, gone = r["html"], [], {"elements": 0, "attributes": 0, "declarations": 0}
                 if r["_rules"] is not None and r["content_type"] in WRITABLE:
                     html, fixes = repair(r["html"], set(r["_rules"]), r["title"] if with_title else "", alts)
-                    html, gone = sanitize(html)
+                    if sanitized:
+                        html, gone = sanitize(html)
                 out.append({n: r[n] for n in names} | {"html": html, "changed": html != r["html"], "fixes": fixes} | {f"{k}_dropped": v for k, v in gone.items()})
             yield pa.RecordBatch.from_pylist(out, schema)
 

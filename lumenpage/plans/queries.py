@@ -10,10 +10,10 @@ from lumenpage.functions import text as T
 from lumenpage.operators import documents as D
 from lumenpage.operators.remediate import repaired, violations
 from lumenpage.operators.rules import RULES, findings
-from lumenpage.plans import dims, report
+from lumenpage.plans import cases, dims, report
 from lumenpage.sources.elements import elements, page_table, spread
 
-QUERIES, ORACLE_SQL = {}, {}
+QUERIES, ORACLE_SQL = dict(cases.QUERIES), dict(cases.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
