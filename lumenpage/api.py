@@ -46,7 +46,7 @@ def remediate_pages(pages: DataFrame, issues: DataFrame, alts: dict[str, str] |
 
 
 def inventory_documents(pages: DataFrame) -> DataFrame:
-    return documents.link_inventory(elements(pages))
+    return documents.link_inventory(elements(pages, facts=False))
 
 
 def export_acr(pages: DataFrame, issues: DataFrame, kind: str = "markdown", before: DataFrame | None = None) -> DataFrame:

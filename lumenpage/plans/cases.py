@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenpage.operators import documents
 from lumenpage.operators.remediate import HIDDEN, repaired
 from lumenpage.operators.rules import findings
 from lumenpage.plans import report
@@ -269,5 +270,65 @@ def _repairs_sql(group: str) -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS case_name, {K} AS k, {expression(html)} AS html FROM supplier" for name, _, html in REPAIRS[group])
 
 
+# (case, page, what the editor keeps of it after repair, elements dropped).
+SANITIZED = [
+    ("scripts", f"<h1>T</h1><script>x</script><style>y</style><p>a{KEY}</p>", f"<h2>T</h2><p>a{KEY}</p>", "2"),
+    ("figures", f'<h1>T</h1><figure><img src="a.png" alt="A mill"><figcaption>c{KEY}</figcaption></figure>', f'<h2>T</h2><img src="a.png" alt="A mill"/>c{KEY}', "2"),
+    ("attributes", f'<h1>T</h1><div role="wizard" onclick="x()" data-x="1" style="display: grid; filter: x; color: black">a{KEY}</div>', f'<h2>T</h2><div data-x="1" style="display: grid; color: black">a{KEY}</div>', "0"),
+    ("forms", f'<h1>T</h1><form><input name="q"></form><p role="Alert" lang="en" align="left">b{KEY}</p>', f'<h2>T</h2><p role="Alert" lang="en">b{KEY}</p>', "2"),
+]
+
+
+def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired pages after the editor's allow-list."""
+    own = _pages(spark, sf_dir, [(name, html) for name, html, _, _ in SANITIZED])
+    new = repaired(own, report.issues(own))
+    return new.select(F.col("course_id").alias("case_name"), F.col("page_id").cast("long").alias("k"), "html", "elements_dropped")
+
+
+SANITIZED_SQL = " UNION ALL ".join(f"SELECT '{name}' AS case_name, {K} AS k, {expression(html)} AS html, CAST({n} AS INTEGER) AS elements_dropped FROM supplier" for name, _, html, n in SANITIZED)
+
+
+def titled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without headings get their title as one, if they hold more than 50 characters."""
+    own = _pages(spark, sf_dir, [("titled", f"<p>{times('word ', f'{K} % 20')}end</p>")])
+    new = repaired(own, report.issues(own), with_title=True, sanitized=False)
+    return new.select(F.col("page_id").cast("long").alias("k"), "html")
+
+
+TITLED_SQL = f"SELECT {K} AS k, CASE WHEN 5 * ({K} % 20) + 3 > 50 THEN '<h2>A page</h2>' ELSE '' END || '<p>' || repeat('word ', CAST({K} % 20 AS INT)) || 'end</p>' AS html FROM supplier"
+
+
+def help_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without the help link that other pages of their course share."""
+    own = _pages(spark, sf_dir, [("help", "<h2>A</h2>" + pick('<footer><a href="/help">Help</a></footer>', '<div role="contentinfo"><a href="/desk/@{s_suppkey % 2}@">Support</a></div>', "<footer>none</footer>"))])
+    own = own.withColumn("course_id", (F.col("page_id").cast("long") % 10).cast("string"))
+    found = report.issues(own, course_rules=True).where("rule_id = 'HELP001'")
+    return found.select(F.col("course_id").cast("long").alias("course_id"), F.col("page_id").cast("long").alias("k"))
+
+
+HELP_SQL = f"""
+    WITH p AS (SELECT {K} AS k, {K} % 10 AS course_id, CASE {K} % 3 WHEN 0 THEN '/help' WHEN 1 THEN '/desk/' || ({K} % 2) END AS href FROM supplier),
+    c AS (SELECT course_id, href, count(*) AS n FROM p WHERE href IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT course_id, k FROM p WHERE course_id IN (SELECT course_id FROM c) AND NOT EXISTS (SELECT 1 FROM c WHERE c.course_id = p.course_id AND c.href = p.href)
+"""
+
+
+def document_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that pages link to, in the package or outside."""
+    html = f'<a href="$IMS-CC-FILEBASE$/docs/f%20@{{s_suppkey % 3}}@.pdf">Text</a><a href="https://h.example/d/@{{s_suppkey % 2}}@.DOCX?v={KEY}">Other</a><a href="/x.html">no</a>'
+    own = _pages(spark, sf_dir, [("links", html)]).withColumn("course_id", (F.col("page_id").cast("long") % 4).cast("string"))
+    found = documents.link_inventory(elements(own, facts=False))
+    return found.select(F.col("course_id").cast("long").alias("course_id"), "key", "is_external", "extension", F.size("original_hrefs").cast("long").alias("hrefs"), F.size("source_page_ids").cast("long").alias("pages"))
+
+
+DOCUMENT_SQL = f"""
+    SELECT {K} % 4 AS course_id, 'web_resources/docs/f ' || ({K} % 3) || '.pdf' AS key, false AS is_external, 'pdf' AS extension, CAST(1 AS BIGINT) AS hrefs, count(*) AS pages FROM supplier GROUP BY {K} % 4, {K} % 3
+    UNION ALL SELECT {K} % 4, 'https://h.example/d/' || ({K} % 2) || '.DOCX', true, 'docx', count(DISTINCT {K}), count(*) FROM supplier GROUP BY {K} % 4, {K} % 2
+"""
+
+
 QUERIES = {f"rules_{g}": _rules_query(g) for g in RULE_CASES} | {f"repairs_{g}": _repairs_query(g) for g in REPAIRS}
 ORACLE_SQL = {f"rules_{g}": _rules_sql(g) for g in RULE_CASES} | {f"repairs_{g}": _repairs_sql(g) for g in REPAIRS}
+for _query, _sql in ((sanitized_pages, SANITIZED_SQL), (titled_pages, TITLED_SQL), (help_links, HELP_SQL), (document_inventory, DOCUMENT_SQL)):
+    QUERIES[_query.__name__], ORACLE_SQL[_query.__name__] = _query, _sql

