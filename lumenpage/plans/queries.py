@@ -166,7 +166,7 @@ def repair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues before and after repairs, per course."""
     own = pages(spark, sf_dir)
     before = scanned(own)
-    new = repaired(own, before, with_title=True).persist(StorageLevel.MEMORY_AND_DISK)
+    new = repaired(own, before).persist(StorageLevel.MEMORY_AND_DISK)
     after = report.issues(new.select(own.columns))
     count = lambda df, name: df.groupBy("course_id", "page_id").agg(F.count("*").alias(name))
     rows = new.select("course_id", "page_id", "changed").join(count(before, "b"), ["course_id", "page_id"], "left").join(count(after, "a"), ["course_id", "page_id"], "left")
