@@ -28,11 +28,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of all archives under a path: the archive is the course."""
+    """Pages of all archives under a path: the archive is the course. Archives that can't be read have no pages; ``unreadable_archives`` names them."""
     rows = archive.pages(archive.archives(spark, path)).where("error IS NULL")
     return rows.select(F.col("archive").alias("course_id"), F.concat_ws("#", "archive", "file_path").alias("page_id"), "identifier", "title", "content_type", "file_path", F.lit(None).cast("string").alias("canvas_url"), "html")
 
 
+def unreadable_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, error) of the archives under a path that can't be read."""
+    return archive.pages(archive.archives(spark, path)).where("error IS NOT NULL").select("archive", "error").distinct()
+
+
 def analyze(pages: DataFrame, course_rules: bool = True, config: DataFrame | None = None, rendered: DataFrame | None = None) -> DataFrame:
     """Issues of pages; with a configuration of rules, and with rendered results (course_id, page_id, page_url, violation) beside."""
     found = report.issues(pages, course_rules)
@@ -41,7 +46,7 @@ def analyze(pages: DataFrame, course_rules: bool = True, config: DataFrame | Non
     return report.configured(found, config) if config is not None else found
 
 
-def remediate_pages(pages: DataFrame, issues: DataFrame, alts: dict[str, str] | None = None) -> DataFrame:
+def remediate_pages(pages: DataFrame, issues: DataFrame, alts: DataFrame | dict[str, str] | None = None) -> DataFrame:
     return remediate.repaired(pages, issues, alts)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,7 +180,14 @@ def marker(text: Column) -> Column:
 
 
 def wcag_url(criterion: Column) -> Column:
-    return F.when(criterion != "", F.concat(F.lit("https://www.w3.org/WAI/WCAG22/quickref/#"), F.replace(criterion, F.lit("."), F.lit(""))))
+    """Where an issue's criterion is explained; empty without one."""
+    own = F.coalesce(criterion, F.lit(""))
+    return F.when(own == "", "").otherwise(F.concat(F.lit("https://www.w3.org/WAI/WCAG22/Understanding/#:~:text="), own))
+
+
+def criterion_url(criterion: Column) -> Column:
+    """The page of a criterion, as reports link to it."""
+    return F.concat(F.lit("https://www.w3.org/WAI/WCAG22/Understanding/"), F.replace(criterion, F.lit("."), F.lit("")))
 
 
 def scrubbed(text: Column) -> Column:
@@ -206,3 +217,37 @@ def alt_confidence(alt: Column) -> Column:
     base = F.when(n < 8, 0.25).when(n > 250, 0.45).when(n.between(15, 120), 0.80).otherwise(0.75)
     hedged = contains_any(F.lower(own), ("unclear", "cannot determine", "i cannot", "unable to", "no image", "no visible", "decorative"))
     return F.when(hedged, F.least(base, F.lit(0.35))).otherwise(base)
+
+
+#: The patterns of ``scrubbed`` and what takes their place, in order, for values inside documents.
+_SCRUBS = (
+    (re.compile(r"(\S*/)?([^/\s\"']+\.imscc)", re.IGNORECASE), r"<imscc-dir>/\2"),
+    (re.compile(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), "<email>"),
+    (re.compile(r"/Users/[^/\s]+|/home/[^/\s]+", re.IGNORECASE), "<home>"),
+)
+
+
+def _scrub_inside(value):
+    if isinstance(value, str):
+        for pattern, marker_ in _SCRUBS:
+            value = pattern.sub(marker_, value)
+        return value
+    if isinstance(value, dict):
+        return {k: _scrub_inside(v) for k, v in value.items()}
+    return [_scrub_inside(v) for v in value] if isinstance(value, list) else value
+
+
+def scrubbed_json(document: Column) -> Column:
+    """A JSON document with every string value in it scrubbed, at any depth; names stay. What isn't JSON is scrubbed as a text."""
+
+    @F.arrow_udf("string")
+    def scrub(documents: pa.Array) -> pa.Array:
+        out = []
+        for d in documents.to_pylist():
+            try:
+                out.append(d if d is None else json.dumps(_scrub_inside(json.loads(d)), ensure_ascii=False))
+            except ValueError:
+                out.append(_scrub_inside(d))
+        return pa.array(out, pa.string())
+
+    return scrub(document)

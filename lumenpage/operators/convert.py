@@ -17,6 +17,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lumenpage.functions.text import file_name, slug
 from lumenpage.operators.remediate import WRITABLE
@@ -70,11 +71,31 @@ def alt_texts(images: DataFrame, model: Callable[[str, bytes], str | None]) -> D
 # converted documents
 
 
-def unique_slugs(titles: DataFrame, key: str = "archive") -> DataFrame:
-    """A slug for each title, with -2, -3 ... for later ones of one archive."""
+def unique_slugs(titles: DataFrame, key: str = "archive", taken: DataFrame | None = None) -> DataFrame:
+    """A slug for each title, in order of resolved_path: with -2, -3 ... up to the first that no earlier title, and no file in ``taken`` (key, file name), has.
+
+    An archive holds a bounded number of files, so its titles are one group.
+    """
     base = F.coalesce(F.nullif(slug(F.col("title")), F.lit("")), F.lit("converted-document"))
-    place = F.row_number().over(Window.partitionBy(key, "_base").orderBy("resolved_path"))
-    return titles.withColumn("_base", base).withColumn("slug", F.when(place == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), place.cast("string")))).drop("_base")
+    rows = titles.withColumn("_base", base)
+    kind = StructType([*titles.schema.fields, StructField("slug", StringType())])
+
+    def run(group: pa.Table, files: pa.Table) -> pa.Table:
+        used = set(files["_file"].to_pylist())
+        rank = sorted(range(group.num_rows), key=lambda k: (group["resolved_path"][k].as_py() is not None, group["resolved_path"][k].as_py()))
+        slugs = [""] * group.num_rows
+        for k in rank:
+            own = group["_base"][k].as_py()
+            n = 2
+            found = own
+            while f"wiki_content/{found}.html" in used:
+                found, n = f"{own}-{n}", n + 1
+            slugs[k] = found
+            used.add(f"wiki_content/{found}.html")
+        return group.drop_columns(["_base"]).append_column("slug", pa.array(slugs, pa.string()))
+
+    files = titles.select(F.col(key).alias("_key"), F.lit(None).cast("string").alias("_file")).limit(0) if taken is None else taken.select(F.col(taken.columns[0]).alias("_key"), F.col(taken.columns[1]).alias("_file"))
+    return rows.groupBy(key).cogroup(files.groupBy("_key")).applyInArrow(run, kind)
 
 
 def stable_id(path: Column) -> Column:

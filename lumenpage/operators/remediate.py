@@ -20,7 +20,7 @@ from lumenpage.functions import colors, latex
 from lumenpage.functions.text import GENERIC_ALT_PREFIXES, MAX_ALT, NAVIGATION_NOISE, NOISE_WORDS, SOFT_ALT
 from lumenpage.operators.rules import LARGE_CONTRAST, NORMAL_CONTRAST, VAGUE, VAGUE_PREFIXES, VIDEO_HOSTS
 from lumenpage.sources.dom import Element, Text, blank, body_of, parse, same, set_style
-from lumenpage.sources.elements import FILE_CLASSES, is_blank_cell, is_empty, list_runs, marker
+from lumenpage.sources.elements import FILE_CLASSES, elements, is_blank_cell, is_empty, list_runs, marker
 
 HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # The platform's text colour, symbols without meaning, parts of host names, and words in capitals.
@@ -995,16 +995,45 @@ def violations(elements: DataFrame) -> DataFrame:
 
 #: Kinds of pages that may be written back.
 WRITABLE = ("wiki_page", "assignment", "discussion", "announcement", "syllabus")
+RENDERED = "array<struct<fg_color:string,bg_color:string,font_size:string,font_weight:string,element_html:string>>"
 CHANGED = "html string, changed boolean, fixes array<string>, elements_dropped int, attributes_dropped int, declarations_dropped int"
 
 
-def repaired(pages: DataFrame, issues: DataFrame, alts: dict[str, str] | None = None, with_title: bool = False, sanitized: bool = True) -> DataFrame:
+def alts_of_pages(pages: DataFrame, alts: DataFrame) -> DataFrame:
+    """Per page: the generated texts (course_id, src, alt[, place]) of its images, as an array of (src, alt).
+
+    A text is for the image of its address; else the first text, by place, whose
+    address is part of the image's or the reverse. Only texts and images of one
+    course meet.
+    """
+    names = ["course_id", "page_id"]
+    images = elements(pages, facts=False).where("tag = 'img'").select(*names, F.try_element_at("attrs", F.lit("src")).alias("own")).where("own <> ''").distinct()
+    place = F.col("place") if "place" in alts.columns else F.lit(0)
+    known = alts.select("course_id", F.col("src").alias("key"), "alt", place.alias("place")).where("key <> ''")
+    met = images.join(known, "course_id").where((F.col("own") == F.col("key")) | F.col("own").contains(F.col("key")) | F.col("key").contains(F.col("own")))
+    best = met.groupBy(*names, "own").agg(F.min_by("alt", F.struct((F.col("own") != F.col("key")).alias("other"), "place", "key")).alias("alt"))
+    return best.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct(F.col("own").alias("src"), "alt"))).alias("_alts"))
+
+
+def repaired(pages: DataFrame, issues: DataFrame, alts: DataFrame | dict[str, str] | None = None, with_title: bool = False, sanitized: bool = True) -> DataFrame:
     """Pages with their repaired (and sanitized) html, and what was done. Only writable pages with issues are rewritten.
 
-    Rules found are gathered per page (a few dozen at most) and joined to the pages by their key.
+    Rules found are gathered per page (a few dozen at most) and joined to the
+    pages by their key; so are the colours that a browser saw, from contrast
+    issues with axe_meta, and generated texts of images, from a table
+    (course_id, src, alt[, place]) or, if few, a dict.
     """
-    found = issues.groupBy("course_id", "page_id").agg(F.collect_set(F.when(F.col("can_auto_fix"), F.col("rule_id"))).alias("_rules"))
+    rendered = F.array().cast(RENDERED)
+    if "axe_meta" in issues.columns and issues.schema["axe_meta"].dataType.typeName() == "struct":
+        seen = F.col("axe_meta").isNotNull() & (F.col("rule_id") == "CLR001")
+        rendered = F.collect_list(F.when(seen, F.struct(*(F.col(f"axe_meta.{c}").cast("string").alias(c) for c in ("fg_color", "bg_color", "font_size", "font_weight")), F.col("element_html")))).cast(RENDERED)
+    else:
+        rendered = F.first(rendered)
+    found = issues.groupBy("course_id", "page_id").agg(F.collect_set(F.when(F.col("can_auto_fix"), F.col("rule_id"))).alias("_rules"), rendered.alias("_rendered"))
     joined = pages.join(found, ["course_id", "page_id"], "left")
+    if isinstance(alts, DataFrame):
+        joined = joined.join(alts_of_pages(pages, alts), ["course_id", "page_id"], "left")
+    few = alts if isinstance(alts, dict) else {}
     names = pages.columns
 
     def run(batches):
@@ -1014,7 +1043,8 @@ def repaired(pages: DataFrame, issues: DataFrame, alts: dict[str, str] | None =
             for r in rows:
                 html, fixes, gone = r["html"], [], {"elements": 0, "attributes": 0, "declarations": 0}
                 if r["_rules"] is not None and r["content_type"] in WRITABLE:
-                    html, fixes = repair(r["html"], set(r["_rules"]), r["title"] if with_title else "", alts)
+                    own = {a["src"]: a["alt"] for a in r.get("_alts") or ()} or few
+                    html, fixes = repair(r["html"], set(r["_rules"]), r["title"] if with_title else "", own, r["_rendered"])
                     if sanitized:
                         html, gone = sanitize(html)
                 out.append({n: r[n] for n in names} | {"html": html, "changed": html != r["html"], "fixes": fixes} | {f"{k}_dropped": v for k, v in gone.items()})

@@ -124,9 +124,26 @@ def apply(source: str, suggestion: dict) -> tuple[str, bool]:
 
 
 def apply_all(pages: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Pages with their suggestions applied in order of id, and how many found their place."""
-    gathered = suggestions.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("id", "rule_id", "proposed_text", "original_html", F.map_entries("metadata").alias("metadata")))).alias("_s"))
+    """Pages with their suggestions applied in order of id, and how many found their place.
+
+    A suggestion is for the page whose file path (else identifier) equals its
+    page_file_path, else its page_id; then for the page of that identifier, or
+    page_id. Suggestions with neither are for none.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
     names = pages.columns
+    path = [blank("page_file_path")] if "page_file_path" in suggestions.columns else []
+    key = F.coalesce(*path, blank("page_id"))
+    own = F.sort_array(F.collect_list(F.struct("id", "rule_id", "proposed_text", "original_html", F.map_entries("metadata").alias("metadata"))))
+    gathered = suggestions.where(key.isNotNull()).groupBy(key.alias("_key")).agg(own.alias("_s"))
+    # the keys of a page in the order in which they are tried
+    tried = [F.coalesce(*(blank(c) for c in ("file_path", "identifier") if c in names), F.col("page_id"))] + [F.col(c) for c in ("identifier", "page_id") if c in names]
+    joined, found = pages, []
+    for k, test in enumerate(tried):
+        of = gathered.select(F.col("_key").alias(f"_key{k}"), F.col("_s").alias(f"_s{k}"))
+        joined = joined.join(of, test == F.col(f"_key{k}"), "left")
+        found.append(F.col(f"_s{k}"))
+    joined = joined.select(*names, F.coalesce(*found).alias("_s"))
 
     def run(batches):
         for batch in batches:
@@ -144,7 +161,7 @@ def apply_all(pages: DataFrame, suggestions: DataFrame) -> DataFrame:
 
     kind = StructType([*pages.schema.fields, StructField("applied", IntegerType()), StructField("not_applied", IntegerType())])
     arrow = to_arrow_schema(kind)
-    return pages.join(gathered, "page_id", "left").mapInArrow(run, kind)
+    return joined.mapInArrow(run, kind)
 
 
 def answer_json(text: str, confidence: float) -> str:

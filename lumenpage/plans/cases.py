@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lumenpage.operators import documents
 from lumenpage.operators.remediate import HIDDEN, repaired
 from lumenpage.operators.rules import findings
-from lumenpage.plans import report
+from lumenpage.plans import dims, report, views
 from lumenpage.sources.elements import elements, spread
 
 K = "s_suppkey"
@@ -328,7 +328,60 @@ DOCUMENT_SQL = f"""
 """
 
 
+def improved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of customers as courses and their orders as pages, the five pages that lost most issues."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select((F.col("o_custkey") % 50).alias("course_id"), F.col("o_orderkey").alias("page_id"), (F.col("o_orderkey") % 23).alias("issues_before"), (F.col("o_orderkey") % 7).alias("issues_after"))
+    return views.most_improved(rows).select("course_id", "page_id", "improvement", "rank")
+
+
+IMPROVED_SQL = """
+    SELECT o_custkey % 50 AS course_id, o_orderkey AS page_id, o_orderkey % 23 - o_orderkey % 7 AS improvement, CAST(row_number() OVER w AS INTEGER) AS rank FROM orders WHERE o_orderkey % 23 > o_orderkey % 7
+    WINDOW w AS (PARTITION BY o_custkey % 50 ORDER BY o_orderkey % 23 - o_orderkey % 7 DESC, o_orderkey) QUALIFY rank <= 5
+"""
+
+
+def criteria_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of constructed pages by category of criteria."""
+    own = _pages(spark, sf_dir, [("criteria", "<h1>T</h1><p>x</p>" + pick('<a href="/r">click here</a>', '<img src="a.png">', "<p>y</p>"))])
+    rolled = report.criteria_rollup(own, report.issues(own).where("rule_id IN ('HDG001', 'LNK001', 'IMG001')"))
+    return views.criteria_by_category(rolled).select("category_id", F.size("criteria").cast("long").alias("criteria"), F.col("issue_count").cast("long").alias("issue_count"), F.col("pages_affected").cast("long").alias("pages_affected"))
+
+
+CATEGORIES_SQL = f"""
+    WITH d AS (SELECT unnest(['{"', '".join(r[0] for r in dims.criteria_rows() if r[2] in ("A", "AA"))}']) AS id),
+    n AS (SELECT count(*) AS h, count(*) FILTER ({K} % 3 = 0) AS l, count(*) FILTER ({K} % 3 = 1) AS i FROM supplier)
+    SELECT regexp_replace(id, '\.[^.]*$', '') AS category_id, count(*) AS criteria, CAST(sum(CASE id WHEN '1.3.1' THEN h WHEN '2.4.4' THEN l WHEN '1.1.1' THEN i ELSE 0 END) AS BIGINT) AS issue_count,
+      CAST(sum(CASE id WHEN '1.3.1' THEN h WHEN '2.4.4' THEN l WHEN '1.1.1' THEN i ELSE 0 END) AS BIGINT) AS pages_affected FROM d, n GROUP BY 1
+"""
+
+
+def alt_texts_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated texts, joined to the images of their course: exact addresses, else parts of them."""
+    own = _pages(spark, sf_dir, [("alts", f'<img src="/f/a{KEY}.png"><img src="/f/shared.png?v={KEY}"><img src="/f/none-{KEY}.png" alt="A mill">')])
+    alts = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("alts").alias("course_id"), F.concat(F.lit("/f/a"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("src"), F.concat(F.lit("Text of "), "s_name").alias("alt"))
+    alts = alts.union(spark.range(1).select(F.lit("alts"), F.lit("/f/shared.png"), F.lit("A shared pond")))
+    new = repaired(own, report.issues(own), alts=alts, sanitized=False)
+    return new.select(F.col("page_id").cast("long").alias("k"), "html")
+
+
+ALTS_SQL = f"""SELECT {K} AS k, '<img src="/f/a' || {K} || '.png" alt="Text of ' || s_name || '"/><img src="/f/shared.png?v=' || {K} || '" alt="A shared pond"/><img src="/f/none-' || {K} || '.png" alt="A mill"/>' AS html FROM supplier"""
+
+
+def rendered_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours as a browser saw them, repaired in the page that names its element."""
+    own = _pages(spark, sf_dir, [("rendered", f'<p class="c">pale {KEY}</p><p>dark</p>')])
+    meta = F.struct(F.lit("#cccccc").alias("fg_color"), F.lit("#ffffff").alias("bg_color"), F.lit(1.6).alias("contrast_ratio"), F.lit("4.5:1").alias("expected_ratio"), F.lit("12.0pt (16px)").alias("font_size"), F.lit("normal").alias("font_weight"), F.lit("p").alias("target"))
+    issues = own.select("course_id", "page_id", F.lit("CLR001").alias("rule_id"), F.lit(True).alias("can_auto_fix"), meta.alias("axe_meta"), F.lit('<p class="c">').alias("element_html"))
+    new = repaired(own, issues, sanitized=False)
+    return new.select(F.col("page_id").cast("long").alias("k"), "html")
+
+
+RENDERED_SQL = f"""SELECT {K} AS k, '<p class="c" style="color: #737373">pale ' || {K} || '</p><p>dark</p>' AS html FROM supplier"""
+
+
 QUERIES = {f"rules_{g}": _rules_query(g) for g in RULE_CASES} | {f"repairs_{g}": _repairs_query(g) for g in REPAIRS}
 ORACLE_SQL = {f"rules_{g}": _rules_sql(g) for g in RULE_CASES} | {f"repairs_{g}": _repairs_sql(g) for g in REPAIRS}
-for _query, _sql in ((sanitized_pages, SANITIZED_SQL), (titled_pages, TITLED_SQL), (help_links, HELP_SQL), (document_inventory, DOCUMENT_SQL)):
+for _query, _sql in ((sanitized_pages, SANITIZED_SQL), (titled_pages, TITLED_SQL), (help_links, HELP_SQL), (document_inventory, DOCUMENT_SQL),
+    (improved_pages, IMPROVED_SQL), (criteria_categories, CATEGORIES_SQL), (alt_texts_applied, ALTS_SQL), (rendered_contrast, RENDERED_SQL)):
     QUERIES[_query.__name__], ORACLE_SQL[_query.__name__] = _query, _sql

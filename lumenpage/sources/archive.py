@@ -255,25 +255,26 @@ def register(manifest: str, documents: list[tuple[str, str]]) -> str:
 
 
 def rewritten(source: DataFrame, changed: DataFrame) -> DataFrame:
-    """Archives (archive, content) with the pages of ``changed`` (archive, file_path, content_type, html) written back.
+    """Archives (archive, content) with the pages of ``changed`` (archive, file_path, content_type, html) written back, and the file paths that were refused.
 
-    Pages join their archive by its key; quizzes are refused, discussions are spliced into their XML.
+    Pages join their archive by its key; quizzes can't be written back and are refused, discussions are spliced into their XML.
     """
-    rows = changed.where("content_type <> 'quiz'").groupBy("archive").agg(F.collect_list(F.struct("file_path", "content_type", "html")).alias("pages"))
+    rows = changed.groupBy("archive").agg(F.collect_list(F.struct("file_path", "content_type", "html")).alias("pages"))
     joined = source.join(rows, "archive", "left")
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, refused = [], []
             for r in batch.to_pylist():
                 overrides = {}
+                refused.append(sorted(p["file_path"] for p in r["pages"] or () if p["content_type"] == "quiz"))
                 for p in r["pages"] or ():
                     if p["content_type"] == "discussion":
                         with zipfile.ZipFile(io.BytesIO(r["content"])) as z:
                             overrides[p["file_path"]] = splice_discussion(z.read(p["file_path"]).decode("utf-8", "replace"), p["html"]).encode()
-                    else:
+                    elif p["content_type"] != "quiz":
                         overrides[p["file_path"]] = p["html"].encode()
                 out.append(rebuild(r["content"], overrides))
-            yield pa.RecordBatch.from_arrays([batch["archive"], pa.array(out, pa.binary())], ["archive", "content"])
+            yield pa.RecordBatch.from_arrays([batch["archive"], pa.array(out, pa.binary()), pa.array(refused, pa.list_(pa.string()))], ["archive", "content", "refused"])
 
-    return joined.mapInArrow(run, "archive string, content binary")
+    return joined.mapInArrow(run, "archive string, content binary, refused array<string>")
