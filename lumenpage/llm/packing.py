@@ -239,7 +239,7 @@ def _placed(left: np.ndarray, cells: np.ndarray, fitted: np.ndarray, size: int)
     return out
 
 
-def pack(split: DataFrame, size: int = 1024, bucket_rows: int = 50_000) -> DataFrame:
+def pack(split: DataFrame, size: int = 1024, bucket_rows: int = 500) -> DataFrame:
     """Add sequence_id and offset to stored pieces.
 
     Ranks within a length come from counts per (length, bucket of the row). A
