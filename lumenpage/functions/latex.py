@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import re
-import unicodedata
-
-_NAMES = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega".split()
-
-
-def _greek() -> dict[str, str]:
-    table = {}
-    for name in _NAMES:
-        known = name.upper().replace("LAMBDA", "LAMDA")
-        table[f"\\{name}"] = unicodedata.lookup(f"GREEK SMALL LETTER {known}")
-        table[f"\\{name.title()}"] = unicodedata.lookup(f"GREEK CAPITAL LETTER {known}")
-    return table
-
 
+# Greek letters.
+GREEK = {
+    "\\alpha": "α", "\\beta": "β", "\\gamma": "γ", "\\delta": "δ", "\\epsilon": "ε", "\\zeta": "ζ", "\\eta": "η", "\\theta": "θ", "\\iota": "ι", "\\kappa": "κ",
+    "\\lambda": "λ", "\\mu": "μ", "\\nu": "ν", "\\xi": "ξ", "\\pi": "π", "\\rho": "ρ", "\\sigma": "σ", "\\tau": "τ", "\\upsilon": "υ", "\\phi": "φ", "\\chi": "χ",
+    "\\psi": "ψ", "\\omega": "ω",
+    "\\Alpha": "Α", "\\Beta": "Β", "\\Gamma": "Γ", "\\Delta": "Δ", "\\Epsilon": "Ε", "\\Zeta": "Ζ", "\\Eta": "Η", "\\Theta": "Θ", "\\Iota": "Ι", "\\Kappa": "Κ",
+    "\\Lambda": "Λ", "\\Mu": "Μ", "\\Nu": "Ν", "\\Xi": "Ξ", "\\Pi": "Π", "\\Rho": "Ρ", "\\Sigma": "Σ", "\\Tau": "Τ", "\\Upsilon": "Υ", "\\Phi": "Φ", "\\Chi": "Χ",
+    "\\Psi": "Ψ", "\\Omega": "Ω",
+}
 # Variants of letters, operators and delimiters.
-SYMBOLS = _greek() | {
+SYMBOLS = GREEK | {
     "\\varepsilon": "ε", "\\vartheta": "ϑ", "\\varpi": "ϖ", "\\varrho": "ϱ", "\\varsigma": "ς", "\\varphi": "ϕ",
     "\\pm": "±", "\\mp": "∓", "\\times": "×", "\\div": "÷", "\\cdot": "·", "\\ne": "≠", "\\neq": "≠", "\\le": "≤", "\\leq": "≤", "\\ge": "≥", "\\geq": "≥",
     "\\approx": "≈", "\\equiv": "≡", "\\sim": "∼", "\\propto": "∝", "\\infty": "∞", "\\partial": "∂", "\\nabla": "∇", "\\forall": "∀", "\\exists": "∃", "\\in": "∈",

@@ -26,8 +26,8 @@ HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # The platform's text colour, symbols without meaning, parts of host names, and words in capitals.
 DEFAULT_TEXT = (45, 59, 69)
 SYMBOLS = set("▼►▶◀▲●○■□★☆→←↑↓•")
-SUFFIXES = set("ac ai app ca co com edu gov info io ly mil net org tv uk us".split())
-CAPITALS = set("api faq hr id it la lms lti tv ui url ux".split())
+SUFFIXES = {"ac", "ai", "app", "ca", "co", "com", "edu", "gov", "info", "io", "ly", "mil", "net", "org", "tv", "uk", "us"}
+CAPITALS = {"api", "faq", "hr", "id", "it", "la", "lms", "lti", "tv", "ui", "url", "ux"}
 PLATFORMS = (("instructuremedia", "Studio"), ("arc.instructure", "Studio"), ("media.instructure", "Studio"), ("canvastudio", "Studio"), ("youtube", "YouTube"), ("youtu.be", "YouTube"),
              ("vimeo", "Vimeo"), ("kaltura", "Kaltura"), ("panopto", "Panopto"), ("wistia", "Wistia"), ("echo360", "Echo360"), ("mediasite", "Mediasite"))
 HIDDEN = "position: absolute; width: 1px; height: 1px; padding: 0; margin: -1px; overflow: hidden; clip: rect(0, 0, 0, 0); white-space: nowrap; border: 0;"
@@ -923,28 +923,49 @@ def apply_color_scheme(source: str, primary: str, secondary: str) -> str:
 
 
 # What an editor's allow-list keeps.
-DROPPED = set("script style form input select textarea button object embed applet link meta".split())
-UNWRAPPED = set("figure figcaption font center blink marquee big".split())
-ROLES_KEPT = set(
-    "banner complementary contentinfo main navigation region search alert dialog group img list listitem presentation none tab tablist tabpanel cell columnheader "
-    "row rowgroup rowheader table heading separator toolbar".split()
-)
-ATTRIBUTES_KEPT = set("id class style title lang dir tabindex aria-describedby aria-hidden aria-label aria-labelledby aria-live aria-relevant aria-atomic role".split())
+DROPPED = {"script", "style", "form", "input", "select", "textarea", "button", "object", "embed", "applet", "link", "meta"}
+UNWRAPPED = {"figure", "figcaption", "font", "center", "blink", "marquee", "big"}
+ROLES_KEPT = {
+    "banner", "complementary", "contentinfo", "main", "navigation", "region", "search", "alert", "dialog", "group", "img", "list", "listitem", "presentation", "none",
+    "tab", "tablist", "tabpanel", "cell", "columnheader", "row", "rowgroup", "rowheader", "table", "heading", "separator", "toolbar",
+}
+ATTRIBUTES_KEPT = {
+    "id", "class", "style", "title", "lang", "dir", "tabindex", "aria-describedby", "aria-hidden", "aria-label", "aria-labelledby", "aria-live", "aria-relevant",
+    "aria-atomic", "role",
+}
 OWN_ATTRIBUTES = {
-    "a": "href target name rel", "img": "src alt width height", "iframe": "src width height title allow allowfullscreen frameborder sandbox", "video": "src controls width height poster preload",
-    "audio": "src controls preload", "source": "src type", "td": "colspan rowspan headers", "th": "scope colspan rowspan headers", "col": "span", "colgroup": "span",
-    "ol": "type start reversed", "li": "value", "table": "border cellpadding cellspacing summary", "blockquote": "cite", "q": "cite", "del": "cite datetime", "ins": "cite datetime", "time": "datetime",
-    "details": "open", "track": "src kind srclang label",
+    "a": ("href", "target", "name", "rel",),
+    "img": ("src", "alt", "width", "height",),
+    "iframe": ("src", "width", "height", "title", "allow", "allowfullscreen", "frameborder", "sandbox",),
+    "video": ("src", "controls", "width", "height", "poster", "preload",),
+    "audio": ("src", "controls", "preload",),
+    "source": ("src", "type",),
+    "td": ("colspan", "rowspan", "headers",),
+    "th": ("scope", "colspan", "rowspan", "headers",),
+    "col": ("span",),
+    "colgroup": ("span",),
+    "ol": ("type", "start", "reversed",),
+    "li": ("value",),
+    "table": ("border", "cellpadding", "cellspacing", "summary",),
+    "blockquote": ("cite",),
+    "q": ("cite",),
+    "del": ("cite", "datetime",),
+    "ins": ("cite", "datetime",),
+    "time": ("datetime",),
+    "details": ("open",),
+    "track": ("src", "kind", "srclang", "label",),
+}
+CSS_KEPT = {
+    "background", "background-color", "background-image", "background-position", "background-repeat", "background-size", "border", "border-bottom", "border-collapse",
+    "border-color", "border-left", "border-radius", "border-right", "border-spacing", "border-style", "border-top", "border-width", "box-shadow", "clear", "clip",
+    "color", "cursor", "direction", "display", "flex", "flex-basis", "flex-direction", "flex-flow", "flex-grow", "flex-shrink", "flex-wrap", "float", "font",
+    "font-family", "font-size", "font-style", "font-variant", "font-weight", "gap", "grid", "grid-area", "grid-column", "grid-gap", "grid-row", "grid-template",
+    "grid-template-areas", "grid-template-columns", "grid-template-rows", "height", "justify-content", "left", "letter-spacing", "line-height", "list-style",
+    "list-style-type", "margin", "margin-bottom", "margin-left", "margin-right", "margin-top", "max-height", "max-width", "min-height", "min-width", "opacity", "outline",
+    "overflow", "padding", "padding-bottom", "padding-left", "padding-right", "padding-top", "position", "right", "table-layout", "text-align", "text-decoration",
+    "text-indent", "text-overflow", "text-shadow", "text-transform", "top", "vertical-align", "visibility", "white-space", "width", "word-break", "word-spacing",
+    "word-wrap", "z-index",
 }
-CSS_KEPT = set(
-    "background background-color background-image background-position background-repeat background-size border border-bottom border-collapse border-color border-left "
-    "border-radius border-right border-spacing border-style border-top border-width box-shadow clear clip color cursor direction display flex flex-basis flex-direction "
-    "flex-flow flex-grow flex-shrink flex-wrap float font font-family font-size font-style font-variant font-weight gap grid grid-area grid-column grid-gap grid-row "
-    "grid-template grid-template-areas grid-template-columns grid-template-rows height justify-content left letter-spacing line-height list-style list-style-type margin "
-    "margin-bottom margin-left margin-right margin-top max-height max-width min-height min-width opacity outline overflow padding padding-bottom padding-left padding-right "
-    "padding-top position right table-layout text-align text-decoration text-indent text-overflow text-shadow text-transform top vertical-align visibility white-space width "
-    "word-break word-spacing word-wrap z-index".split()
-)
 
 
 def allowed_style(style: str) -> tuple[str, int]:
@@ -978,7 +999,7 @@ def sanitize(source: str | None) -> tuple[str, dict[str, int]]:
             counts["declarations"] += gone
             if not e.attrs["style"]:
                 del e.attrs["style"]
-        own = ATTRIBUTES_KEPT | set(OWN_ATTRIBUTES.get(e.tag, "").split())
+        own = ATTRIBUTES_KEPT | set(OWN_ATTRIBUTES.get(e.tag, ()))
         for name in [a for a in e.attrs if a not in own and not a.startswith("data-")]:
             del e.attrs[name]
             counts["attributes"] += 1

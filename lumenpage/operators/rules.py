@@ -106,13 +106,14 @@ BY_ID = {r.rule_id: r for r in RULES}
 DEPRECATED = ("font", "center", "blink", "marquee", "big", "strike", "tt")
 REQUIRED_PROPS = {"combobox": ("aria-expanded",), "meter": ("aria-valuenow",), "scrollbar": ("aria-controls", "aria-valuenow"), "slider": ("aria-valuenow",), "spinbutton": ("aria-valuenow",)}
 ROLES = (
-    "alert alertdialog application article banner blockquote button caption cell checkbox code columnheader combobox command comment complementary "
-    "composite contentinfo definition deletion dialog directory document emphasis feed figure form generic grid gridcell group heading img input "
-    "insertion link list listbox listitem log main marquee math menu menubar menuitem menuitemcheckbox menuitemradio meter navigation none note option "
-    "paragraph presentation progressbar radio radiogroup range region roletype row rowgroup rowheader scrollbar search searchbox section sectionhead select "
-    "separator slider spinbutton status strong structure subscript superscript switch tab table tablist tabpanel term textbox time timer toolbar tooltip "
-    "tree treegrid treeitem widget window"
-).split()
+    "alert", "alertdialog", "application", "article", "banner", "blockquote", "button", "caption", "cell", "checkbox", "code", "columnheader", "combobox", "command",
+    "comment", "complementary", "composite", "contentinfo", "definition", "deletion", "dialog", "directory", "document", "emphasis", "feed", "figure", "form", "generic",
+    "grid", "gridcell", "group", "heading", "img", "input", "insertion", "link", "list", "listbox", "listitem", "log", "main", "marquee", "math", "menu", "menubar",
+    "menuitem", "menuitemcheckbox", "menuitemradio", "meter", "navigation", "none", "note", "option", "paragraph", "presentation", "progressbar", "radio", "radiogroup",
+    "range", "region", "roletype", "row", "rowgroup", "rowheader", "scrollbar", "search", "searchbox", "section", "sectionhead", "select", "separator", "slider",
+    "spinbutton", "status", "strong", "structure", "subscript", "superscript", "switch", "tab", "table", "tablist", "tabpanel", "term", "textbox", "time", "timer",
+    "toolbar", "tooltip", "tree", "treegrid", "treeitem", "widget", "window",
+)
 INLINE_PARENTS = ("p", "span", "em", "strong", "b", "i", "li", "td", "th", "label")
 MOUSE_EVENTS = ("ondblclick", "onmousedown", "onmouseout", "onmouseover", "onmouseup")
 JUMP = r"(?iU)(location\b|navigate\b|\.href\b|window\.open\b)"

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 HIDDEN_TEXT = frozenset(("script", "style", "template"))
 
 
