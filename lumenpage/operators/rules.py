@@ -224,15 +224,12 @@ def _with_alt() -> Column:
 
 def prepared(elements: DataFrame) -> DataFrame:
     """Elements with what several rules share, in steps, so that each is worked out once and expressions stay short."""
-    text, links = C("text"), C("page.links")
+    text = C("text")
     inherited = lambda name: F.try_element_at(F.filter(F.transform("styles", lambda s: T.color_of(s, name)), lambda c: c.isNotNull()), F.lit(1))
-    to = lambda a: T.strip(a["href"])
     label = lambda i: F.coalesce(*(F.when(T.strip(F.coalesce(c, F.lit(""))) != "", T.strip(c)) for c in (i["label"], i["aria"], i["placeholder"], i["name"])), F.lit(""))
     key = lambda c: T.strip(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""))
     bold = F.arrays_overlap("above", F.array(F.lit("strong"), F.lit("b"))) | (below("strong", "b") > 0)
     white = F.struct(F.lit(255).alias("r"), F.lit(255).alias("g"), F.lit(255).alias("b"))
-    named = F.filter(links, lambda a: (a["text"] != "") & (a["href"] != ""))
-    outward = F.filter(links, lambda a: (to(a) != "") & ~to(a).startswith("#"))
     columns = {f"@{name}": _attribute(name) for name in OWN}
     first = elements.withColumns(columns)
     style = attr("style")
@@ -242,21 +239,17 @@ def prepared(elements: DataFrame) -> DataFrame:
         "_role": F.lower(bare(attr("role"))), "_alt": bare(attr("alt")), "_href": bare(attr("href")),
         "_reason": F.when(tag("img"), T.inadequate_alt(attr("alt"))), "_noise": F.when(tag("img"), T.alt_noise(attr("alt"))),
         "_title": F.when(tag("a"), _normal(attr("title"))), "_named": F.when(tag("a"), _normal(text)),
-        "_pairs": F.array_distinct(F.transform(named, lambda a: F.struct(F.lower(a["text"]).alias("t"), a["href"].alias("h")))),
-        "_outward": outward, "_ids": F.filter(F.transform("page.ids", lambda i: T.strip(i)), lambda i: i != ""),
         "_keyed": F.filter(F.transform(F.filter("inputs", lambda i: ~i["kind"].isin(*SKIP_LABELLED)), lambda i: F.struct(key(label(i)).alias("key"), i["html"].alias("html"))), lambda i: i["key"] != ""),
         "_large": F.when(style != "", T.large_text(style, bold)),
     })
     third = second.withColumns({
         "_rgb": T.rgb_of(C("_fg")), "_rgb_bg": T.rgb_of(C("_bg")), "_rgb_over_fg": T.rgb_of(C("_over_fg")), "_rgb_over_bg": T.rgb_of(C("_over_bg")),
-        "_needed": F.when(C("_large"), LARGE_CONTRAST).otherwise(NORMAL_CONTRAST), "_texts": F.transform("_pairs", lambda d: d["t"]),
-        "_seen": F.transform(F.filter("_outward", lambda a: a["visible"]), to), "_empty": F.filter("_outward", lambda a: ~a["visible"]),
+        "_needed": F.when(C("_large"), LARGE_CONTRAST).otherwise(NORMAL_CONTRAST), 
         "_keys": F.array_distinct(F.transform("_keyed", lambda i: i["key"])),
     })
     light = lambda c: F.when(c.isNotNull(), T.luminance(c))
     fourth = third.withColumns({
         "_l_fg": light(C("_rgb")), "_l_bg": light(C("_rgb_bg")), "_l_over": light(F.coalesce("_rgb_over_bg", white)), "_l_over_fg": light(C("_rgb_over_fg")), "_l_over_bg": light(C("_rgb_over_bg")),
-        "_ambiguous": F.array_distinct(F.filter("_texts", lambda t: F.size(F.filter("_texts", lambda u: u == t)) > 1)),
     })
     ratio = lambda a, b: (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05)
     # greatest and least pass over nulls, so both colours are asked for
@@ -477,7 +470,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 def _page_rules() -> list[Column]:
     """Rules over the facts of a whole page."""
-    page, ids = C("page"), C("page.ids")
+    page = C("page")
     long, media, files = page["body_chars"] > MIN_STRUCTURED, page["embeds"] > 0, page["files"] > 0
     detail = (
         F.when(files & ~long & ~media, msg("Page has ", page["files"], " embedded file link(s) but no headings"))
@@ -490,46 +483,37 @@ def _page_rules() -> list[Column]:
         lambda r: hit("LIST001", F.when(r["single"], msg(r["size"], ' <br>-separated lines inside a single <p> look like a list: "', r["preview"], '..."')).otherwise(msg(r["size"], ' consecutive paragraphs look like a list: "', r["preview"], '..."')), r["html"], r["nid"]),
     )
     empties = F.transform("page.empty_runs", lambda r: hit("STR001", msg(r["size"], " consecutive empty <", r["tag"], "> elements"), r["html"], r["nid"]))
-    missing = lambda v: F.filter(F.split(T.squeeze(v), " "), lambda i: (i != "") & ~F.array_contains(ids, i))
-    broken = F.transform(F.filter("page.refs", lambda r: F.size(missing(r["value"])) > 0), lambda r, k: hit("ARIA001", msg(r["attr"], " references missing ID(s): ", F.array_join(F.slice(missing(r["value"]), 1, 3), ", ")), r["html"], r["nid"], k))
-    stripped = C("_ids")
-    times = lambda i: F.size(F.filter(stripped, lambda j: j == i))
-    twice = F.transform(
-        F.filter(F.array_distinct(stripped), lambda i: times(i) > 1), lambda i, k: hit("DID001", msg('Duplicate id="', i, '" found ', times(i), " times — IDs must be unique"), msg('id="', i, '"'), seq=k)
+    broken = F.transform(
+        F.filter("page.refs", lambda r: F.size(r["missing"]) > 0),
+        lambda r, k: hit("ARIA001", msg(r["attr"], " references missing ID(s): ", F.array_join(F.slice(r["missing"], 1, 3), ", ")), r["html"], r["nid"], k),
     )
+    twice = F.transform("page.repeated_ids", lambda i, k: hit("DID001", msg('Duplicate id="', i["id"], '" found ', i["times"], " times — IDs must be unique"), msg('id="', i["id"], '"'), seq=k))
     fragment = lambda a: F.substring(a["href"], F.lit(2), F.char_length(a["href"]))
     anchors = F.transform(
-        F.filter("page.links", lambda a: a["href"].startswith("#") & ((a["href"] == "#") | ~F.array_contains(ids, fragment(a)))),
+        F.filter("page.links", lambda a: a["broken"]),
         lambda a: hit("LNK009", F.when(a["href"] == "#", msg('Link "', left(a["text"], 40), '" has empty fragment href="#"')).otherwise(msg('Link "', left(a["text"], 40), '" references nonexistent id="#', fragment(a), '"')), a["html"], a["nid"]),
     )
-    ambiguous = C("_ambiguous")
-    same_text = F.when(F.size(ambiguous) > 0, F.transform(
-        F.filter("page.links", lambda a: F.array_contains(ambiguous, F.lower(a["text"]))),
+    same_text = F.transform(
+        F.filter("page.links", lambda a: a["destinations"] > 1),
         lambda a: hit("LNK010", msg('Multiple links with text "', left(a["text"], 40), '" point to different destinations (', left(a["href"], 60), ")"), a["html"], a["nid"]),
-    ))
-    to = lambda a: T.strip(a["href"])
-    seen, empty_links = C("_seen"), C("_empty")
-    earlier = F.transform(empty_links, lambda a, k: F.struct(a.alias("a"), F.exists(F.slice(empty_links, F.lit(1), k), lambda b: to(b) == to(a)).alias("again")))
+    )
     redundant = F.transform(
-        F.filter(earlier, lambda e: F.array_contains(seen, to(e["a"])) | e["again"]),
-        lambda e: hit("LNK011", F.when(F.array_contains(seen, to(e["a"])), msg("Empty link redundant with visible link to ", left(to(e["a"]), 60))).otherwise(msg("Duplicate empty link to ", left(to(e["a"]), 60), "; keeping first occurrence")), e["a"]["html"], e["a"]["nid"]),
+        F.filter("page.links", lambda a: ~a["visible"] & (a["to"] != "") & ~a["to"].startswith("#") & (a["covered"] | a["again"])),
+        lambda a: hit("LNK011", F.when(a["covered"], msg("Empty link redundant with visible link to ", left(a["to"], 60))).otherwise(msg("Duplicate empty link to ", left(a["to"], 60), "; keeping first occurrence")), a["html"], a["nid"]),
     )
 
     def videos(rule: str, pattern: str, frame: str, link: str) -> Column:
         own = F.filter("page.videos", lambda v: v["url"].rlike(pattern))
-        first = F.filter(own, lambda v, k: ~F.exists(F.slice(own, F.lit(1), k), lambda u: u["url"] == v["url"]))
-        return F.transform(first, lambda v: hit(rule, F.concat(F.when(v["frame"], frame).otherwise(link), left(v["url"], 80)), v["html"], v["nid"]))
+        return F.transform(own, lambda v: hit(rule, F.concat(F.when(v["frame"], frame).otherwise(link), left(v["url"], 80)), v["html"], v["nid"]))
 
     raw = page["raw"]
     formulas = _count(raw, LATEX) + F.size(F.filter("page.code", lambda c: c.rlike(LATEX))) + F.size(F.filter("page.scripts", lambda s: s["src"].rlike(MATH_SCRIPTS) | s["text"].rlike(MATH_SCRIPTS)))
     for p in MATH_PATTERNS:
         formulas = formulas + _count(raw, p)
     math = F.when(formulas > 0, F.array(hit("MATH001", msg("Found ", formulas, " LaTeX math expression(s) that need conversion to accessible HTML"), F.lit(None).cast("string"))))
-    choice = C("page.choices")
-    lone = F.filter(choice, lambda c, k: (c["name"] == "") | ~F.exists(F.slice(choice, F.lit(1), k), lambda d: (d["kind"] == c["kind"]) & (d["name"] == c["name"])))
-    fieldset = F.transform(lone, lambda c: hit("FORM005", msg(F.initcap(c["kind"]), " input", F.when(c["name"] == "", "").otherwise(msg(' (name="', c["name"], '")')), " is not enclosed in a <fieldset> — related controls should be grouped"), c["html"], c["nid"]))
+    fieldset = F.transform("page.choices", lambda c: hit("FORM005", msg(F.initcap(c["kind"]), " input", F.when(c["name"] == "", "").otherwise(msg(' (name="', c["name"], '")')), " is not enclosed in a <fieldset> — related controls should be grouped"), c["html"], c["nid"]))
     orphans = F.transform(
-        F.filter("page.labels", lambda x: (x["target"] != "") & ~F.array_contains(ids, x["target"])),
+        F.filter("page.labels", lambda x: (x["target"] != "") & ~x["known"]),
         lambda x: hit("FORM007", msg('Label references for="', x["target"], '" but no element with id="', x["target"], '" exists — label is not associated with a control'), x["html"], x["nid"]),
     )
     return [

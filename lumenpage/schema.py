@@ -4,15 +4,15 @@ from __future__ import annotations
 
 PAGES = "course_id string, page_id string, identifier string, title string, content_type string, file_path string, canvas_url string, html string"
 
-SPAN = "struct<nid:int,text:string,href:string,html:string,visible:boolean>"
+SPAN = "struct<nid:int,text:string,href:string,html:string,visible:boolean,to:string,destinations:int,covered:boolean,again:boolean,broken:boolean>"
 #: Facts of a whole page; they stand on the row of its root alone.
 PAGE_FACTS = (
-    "struct<ids:array<string>,raw:string,has_body:boolean,body_chars:int,body_html:string,sub_headings:int,embeds:int,files:int,"
+    "struct<repeated_ids:array<struct<id:string,times:int>>,raw:string,has_body:boolean,body_chars:int,body_html:string,sub_headings:int,embeds:int,files:int,"
     f"links:array<{SPAN}>,"
     "list_runs:array<struct<nid:int,size:int,preview:string,html:string,single:boolean>>,"
     "empty_runs:array<struct<nid:int,size:int,tag:string,html:string>>,"
-    "refs:array<struct<nid:int,attr:string,value:string,html:string>>,"
-    "labels:array<struct<nid:int,target:string,html:string>>,"
+    "refs:array<struct<nid:int,attr:string,missing:array<string>,html:string>>,"
+    "labels:array<struct<nid:int,target:string,known:boolean,html:string>>,"
     "videos:array<struct<nid:int,frame:boolean,url:string,html:string>>,"
     "choices:array<struct<nid:int,kind:string,name:string,html:string>>,"
     "code:array<string>,scripts:array<struct<src:string,text:string>>,help_href:string>"

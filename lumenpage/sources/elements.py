@@ -8,6 +8,7 @@ shuffled.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -312,9 +313,42 @@ class Tree:
         return next((own[k] for k in range(self.place[id(node)] - 1, -1, -1) if isinstance(own[k], Element)), None)
 
 
+def _first(rows, key) -> list[dict]:
+    """The first row of each key."""
+    out: dict = {}
+    for r in rows:
+        out.setdefault(key(r), r)
+    return list(out.values())
+
+
+def _links(tree: Tree, links: list[Element], ids: set[str]) -> list[dict]:
+    """The links of a page; what they have in common with others is counted once for all.
+
+    ``destinations``: different addresses of named links with this text, in any
+    case. ``covered``: a visible link has the same address. ``again``: an earlier
+    link without content has it. ``broken``: a fragment that names nothing.
+    """
+    rows = [{"nid": tree.number[id(a)], "text": tree.text_of(a), "href": a.get("href"), "html": cut(a), "visible": bool(tree.chars_of(a)) or tree.has_alt(a)} for a in links]
+    addresses: dict[str, set[str]] = {}
+    shown, empty = set(), set()
+    for r in rows:
+        if r["text"] and r["href"]:
+            addresses.setdefault(r["text"].lower(), set()).add(r["href"])
+        if r["visible"]:
+            shown.add(r["href"].strip())
+    for r in rows:
+        to = r["href"].strip()
+        r |= {"to": to, "destinations": len(addresses.get(r["text"].lower(), ())), "covered": to in shown, "again": not r["visible"] and to in empty, "broken": r["href"].startswith("#") and (r["href"] == "#" or r["href"][1:] not in ids)}
+        if not r["visible"]:
+            empty.add(to)
+    return rows
+
+
 def _page(tree: Tree, links: list[Element]) -> dict:
     root, body, every, number = tree.root, tree.body, tree.every, tree.number
     refs = ("aria-labelledby", "aria-describedby", "aria-controls", "aria-owns")
+    ids = {e.get("id") for e in every if "id" in e.attrs}
+    times = Counter(own for e in every if (own := e.get("id").strip()))
     tagged: dict[str, list[Element]] = {}
     for e in every:
         tagged.setdefault(e.tag, []).append(e)
@@ -326,7 +360,7 @@ def _page(tree: Tree, links: list[Element]) -> dict:
         size = sum(marker(x) is not None for x in lines) if lines else len(run)
         runs.append({"nid": number[id(run[0])], "size": size, "preview": "; ".join(items), "html": cut(run[0]), "single": lines is not None})
     return {
-        "ids": [e.get("id") for e in every if "id" in e.attrs],
+        "repeated_ids": [{"id": own, "times": n} for own, n in times.items() if n > 1],
         "raw": root.raw(),
         "has_body": body is not root,
         "body_chars": tree.chars_of(body),
@@ -334,16 +368,21 @@ def _page(tree: Tree, links: list[Element]) -> dict:
         "sub_headings": len(of_body(*_HEADINGS[1:])),
         "embeds": len(of_body("iframe", "embed", "object", "video")),
         "files": sum(1 for a in of_body("a") if FILE_CLASSES & set(a.get("class").split())),
-        "links": [{"nid": number[id(a)], "text": tree.text_of(a), "href": a.get("href"), "html": cut(a), "visible": bool(tree.chars_of(a)) or tree.has_alt(a)} for a in links],
+        "links": _links(tree, links, ids),
         "list_runs": runs,
         "empty_runs": [{"nid": number[id(e)], "size": n, "tag": e.tag, "html": cut(e)} for e, n in empty_runs(body)],
-        "refs": [{"nid": number[id(e)], "attr": r, "value": e.get(r), "html": cut(e)} for r in refs for e in every if r in e.attrs],
-        "labels": [{"nid": number[id(e)], "target": e.get("for").strip(), "html": cut(e)} for e in tagged.get("label", ())],
-        "videos": [{"nid": number[id(e)], "frame": e.tag == "iframe", "url": e.get("src" if e.tag == "iframe" else "href"), "html": cut(e)} for tag in ("iframe", "a") for e in tagged.get(tag, ())],
-        "choices": [
-            {"nid": number[id(e)], "kind": e.get("type").lower(), "name": e.get("name"), "html": cut(e)}
-            for e in tagged.get("input", ()) if e.get("type").lower() in ("radio", "checkbox") and "fieldset" not in tree.above[number[id(e)]]
-        ],
+        "refs": [{"nid": number[id(e)], "attr": r, "missing": [x for x in e.get(r).split() if x not in ids], "html": cut(e)} for r in refs for e in every if r in e.attrs],
+        "labels": [{"nid": number[id(e)], "target": own, "known": own in ids, "html": cut(e)} for e in tagged.get("label", ()) for own in [e.get("for").strip()]],
+        "videos": _first(
+            ({"nid": number[id(e)], "frame": e.tag == "iframe", "url": e.get("src" if e.tag == "iframe" else "href"), "html": cut(e)} for tag in ("iframe", "a") for e in tagged.get(tag, ())), lambda v: v["url"]
+        ),
+        "choices": _first(
+            (
+                {"nid": number[id(e)], "kind": e.get("type").lower(), "name": e.get("name"), "html": cut(e)}
+                for e in tagged.get("input", ()) if e.get("type").lower() in ("radio", "checkbox") and "fieldset" not in tree.above[number[id(e)]]
+            ),
+            lambda c: (c["kind"], c["name"]) if c["name"] else c["nid"],
+        ),
         "code": [tree.text_of(c) for c in tagged.get("code", ())],
         "scripts": [{"src": s.get("src"), "text": s.raw()} for s in tagged.get("script", ())],
         "help_href": help_href(root),
