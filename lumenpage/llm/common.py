@@ -94,15 +94,19 @@ def groups(batches, key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def stored(df: DataFrame, folder: str, name: str, small: bool = False) -> DataFrame:
+def stored(df: DataFrame, folder: str, name: str, small: bool = False, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and a lost executor costs nothing before it.
 
     ``small`` is for little that is made of much: its rows are first dealt to
-    as few files as their size asks for, however many tasks made them.
+    as few files as their size asks for, however many tasks made them. Such
+    tables, and with ``few`` what comes out of a shuffle, have at most a file for
+    every four shuffle partitions of the session (32 at least).
     """
-    path = f"{folder}/{name}"
-    (df.hint("rebalance") if small else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, spark = f"{folder}/{name}", df.sparkSession
+    if small or few:
+        df = (df.hint("rebalance") if small else df).coalesce(max(32, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bit_map(hashes: DataFrame, name: str) -> np.ndarray:

@@ -353,17 +353,17 @@ def _exact(members: DataFrame, counts: DataFrame, whole, percent: int, folder: s
     set, to such rows. The settled ones of a cell are connected already.
     """
     sized = members.join(counts, "id").groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("count"))
-    large = stored(sized.where((F.col("count") > limit[0]) | (F.col("total") > limit[1])), folder, f"oversize-{level}")
+    large = stored(sized.where((F.col("count") > limit[0]) | (F.col("total") > limit[1])), folder, f"oversize-{level}", few=True)
     if large.isEmpty():
         return _sorted_cells(whole(members), "cell").mapInArrow(_join_cells(percent), "a long, b long")
-    fitting = stored(members.join(large, "cell", "left_anti"), folder, f"fitting-{level}")
+    fitting = stored(members.join(large, "cell", "left_anti"), folder, f"fitting-{level}", few=True)
     links = _sorted_cells(whole(fitting), "cell").mapInArrow(_join_cells(percent), "a long, b long")
-    big = stored(whole(stored(members.join(large, "cell", "left_semi"), folder, f"big-ids-{level}")), folder, f"big-{level}")
+    big = stored(whole(stored(members.join(large, "cell", "left_semi"), folder, f"big-ids-{level}", few=True)), folder, f"big-{level}")
     # pivots by the least hash of the id, from what isn't settled; the level changes the choice
     chances = [F.min_by("id", F.xxhash64("id", F.lit(PIVOTS * level + k))) for k in range(PIVOTS)]
     chosen = big.where("NOT settled").groupBy("cell").agg(F.array_distinct(F.array(*chances)).alias("ids")).select("cell", F.explode("ids").alias("id"))
     pivots = big.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, ["cell", "id"]).dropDuplicates(["cell", "id"])
-    pivots = stored(pivots.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("id", "members"))).alias("pivots")), folder, f"pivots-{level}")
+    pivots = stored(pivots.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("id", "members"))).alias("pivots")), folder, f"pivots-{level}", few=True)
     # a large cell is one key: its rows are salted, and its few pivots repeated
     salt = 64
     salted = big.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)))
@@ -381,10 +381,10 @@ def _exact(members: DataFrame, counts: DataFrame, whole, percent: int, folder: s
     kept = F.when(joined, "all").when(F.col("old") >= F.col("new"), "old").otherwise("new")
     left = F.when(joined, F.col("open")).otherwise(F.col("open") + F.least("old", "new"))
     regions = regions.join(large.select("cell", "count"), "cell").select("region", "now", "count", kept.alias("kept"), left.alias("left")).where("left > 0")
-    regions = stored(regions, folder, f"regions-{level}")
+    regions = stored(regions, folder, f"regions-{level}", few=True)
     go_on = rows.join(F.broadcast(regions) if regions.count() <= BROADCAST_IDS else regions, "region")
     settled = F.when(F.col("kept") == "all", old | new).when(F.col("kept") == "old", old).otherwise(new)
-    go_on = stored(go_on.select(F.col("region").alias("cell"), "id", settled.alias("settled"), (F.col("now") <= 0.7 * F.col("count")).alias("shrunk")), folder, f"regions-of-{level}")
+    go_on = stored(go_on.select(F.col("region").alias("cell"), "id", settled.alias("settled"), (F.col("now") <= 0.7 * F.col("count")).alias("shrunk")), folder, f"regions-of-{level}", few=True)
     again, stuck = (go_on.where(c).select("cell", "id", "settled") for c in ("shrunk", "NOT shrunk"))
     if not again.isEmpty():
         links = links.union(_exact(again, counts, whole, percent, folder, limit, level + 1))
@@ -419,7 +419,7 @@ def _classes(sets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]
     under the first seed by which all ids differ.
     """
     rows = sets.where("doc_id IS NOT NULL")
-    several = stored(rows.select("doc_id", "key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "several")
+    several = stored(rows.select("doc_id", "key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "several", few=True)
     least = stored(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")), folder, "classes")
     if several.isEmpty():
         return least.withColumn("id", F.col("doc_id")), None
@@ -443,7 +443,7 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: tuple[int, int], fo
     # of rows with equal sets, one stands for all; what is left over is few, or else shuffled
     copies = named.select("key", "doc_id").join(classes.select("key", F.col("doc_id").alias("least")), "key").where("doc_id <> least")
     on = ["key", "doc_id"] if several else ["doc_id"]
-    copies = stored(copies.select(on).distinct(), folder, "copies")
+    copies = stored(copies.select(on).distinct(), folder, "copies", few=True)
     holders = named.select("key", "doc_id", "n", "prefix").join(_few(copies), on, "left_anti")
     if several:
         holders = holders.join(_few(classes.where("id <> doc_id").select("key", "id")), "key", "left").withColumn("id", F.coalesce("id", "doc_id"))
@@ -456,22 +456,22 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: tuple[int, int], fo
     regions = stored(regions.where("cell < last").select("s", "cell"), folder, "regions")
     known = docs.sparkSession.sparkContext.broadcast(bit_map(regions, "s"))
     met = windows.mapInArrow(_windows(known), "s long, id long").join(regions, "s").where("id <> cell").select("cell", "id").distinct()
-    met = stored(met, folder, "met")
+    met = stored(met, folder, "met", few=True)
     # sizes of near sets differ by the threshold at most: who has no such neighbour in its cell is done
     width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     members = met.union(met.select("cell", F.col("cell").alias("id")).distinct()).join(counts, "id").withColumn("band", F.floor(F.log("n") / width))
     bands = members.groupBy("cell", "band").count()
     around = bands.select("cell", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), "count").groupBy("cell", "band").agg(F.sum("count").alias("fitting"))
-    beside = stored(members.join(around.where("fitting > 1"), ["cell", "band"]).select("cell", "id", "n"), folder, "beside")
-    crowded = stored(beside.groupBy("cell").count().where(F.col("count") > limit[0]).select("cell"), folder, "crowded")
+    beside = stored(members.join(around.where("fitting > 1"), ["cell", "band"]).select("cell", "id", "n"), folder, "beside", few=True)
+    crowded = stored(beside.groupBy("cell").count().where(F.col("count") > limit[0]).select("cell"), folder, "crowded", few=True)
     sparse = beside.join(crowded, "cell", "left_anti")
-    halves = holders.select("id", "prefix").join(_few(stored(sparse.select("id").distinct(), folder, "beside-ids")), "id", "left_semi").mapInArrow(_halves, "id long, prefix binary")
+    halves = holders.select("id", "prefix").join(_few(stored(sparse.select("id").distinct(), folder, "beside-ids", few=True)), "id", "left_semi").mapInArrow(_halves, "id long, prefix binary")
     hopeful = _sorted_cells(sparse.join(halves, "id"), "cell").mapInArrow(_hopeful(percent), "a long, b long")
     whole_cells = beside.join(crowded, "cell", "left_semi").select(F.col("cell").alias("a"), F.col("id").alias("b"))
-    hopeful = stored(hopeful.union(whole_cells).distinct(), folder, "hopeful")
+    hopeful = stored(hopeful.union(whole_cells).distinct(), folder, "hopeful", few=True)
     # what might be near, over all cells, is joined as one cell, so that each whole set moves once
     merged = components(hopeful, f"{folder}/cells")
-    merged = stored(merged.select(F.col("component").alias("cell"), "id", F.lit(False).alias("settled")).distinct(), folder, "merged")
+    merged = stored(merged.select(F.col("component").alias("cell"), "id", F.lit(False).alias("settled")).distinct(), folder, "merged", few=True)
 
     def add_sets(batches):
         for batch in parts(batches, "text"):
@@ -495,7 +495,7 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: tuple[int, int], fo
     links = _exact(merged, counts, whole, percent, folder, limit)
     if several and by_id:
         own = named.join(_few(several), "doc_id", "left_semi").join(classes.select("key", "id"), "key").select("doc_id", "id").distinct()
-        own = stored(own, folder, "own")
+        own = stored(own, folder, "own", few=True)
         links = links.union(own.join(_few(own.groupBy("doc_id").agg(F.min("id").alias("b"))), "doc_id").select("id", "b"))
     linked = components(links, folder)
     known = classes.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -518,7 +518,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, lim
     if several:
         # rows without words go where the others of their doc_id are
         own = out.join(_few(several), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("own"))
-        out = out.join(_few(stored(own, folder, "own-components")), "doc_id", "left")
+        out = out.join(_few(stored(own, folder, "own-components", few=True)), "doc_id", "left")
         component = F.coalesce("component_id", "own", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
@@ -545,8 +545,8 @@ def one_of_each(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFra
     found = sets.where("doc_id IS NOT NULL").select("doc_id", "key").join(known, "key", "left")
     stays = F.col("key").isNull() | ((F.col("doc_id") == F.col("component_id")) & F.col("first"))
     found = stored(found.select("doc_id", "key", stays.alias("stays")), folder, "components")
-    dropped = stored(found.where("NOT stays").select(F.col("doc_id").alias("id")).distinct(), folder, "dropped")
-    again = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")), folder, "repeated")
+    dropped = stored(found.where("NOT stays").select(F.col("doc_id").alias("id")).distinct(), folder, "dropped", few=True)
+    again = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")), folder, "repeated", few=True)
     if again.isEmpty():
         return docs.join(_few(dropped), docs["doc_id"] == dropped["id"], "left_anti")
     # of doc_ids with several rows, one row of each set that stays; the others don't move

@@ -44,8 +44,10 @@ from lumenpage.llm.common import BYTE, STEP_BYTES, U64, groups, mix, parts, powe
 SPAN, GRAM = 200, 32
 #: Different runs under one hash that a task compares, and bytes of runs that one suffix array takes.
 HOT_RUNS, ARRAY_BYTES = 1500, 1 << 20
+#: Repeated prefixes of hot hashes (of 16 bytes) up to which they are broadcast to the runs; beyond that the suffixes are joined to them.
+PREFIXES = 500_000
 #: Spans (of some 32 bytes) up to which a table of them may be broadcast to the texts.
-BROADCAST_SPANS = 500_000
+BROADCAST_SPANS = 20_000
 #: Places within a stretch of text share a word with the upper bits of a hash.
 _PLACE = U64((1 << 28) - 1)
 _SYMBOLS = 7
@@ -283,17 +285,54 @@ def _cut_runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "run" else pa.int64()) for c, v in out.items()], list(out))
 
 
-def _prefixes(span: int):
-    """Rows (digest of the first bytes, run, offset) of all suffixes of ``span`` bytes and more of the runs of a hot hash."""
+def _windows(batch: pa.RecordBatch, span: int):
+    """(row, digests of all windows, their offsets) of the runs of a batch."""
+    for k, raw in enumerate(batch["run"]):
+        own = raw.as_buffer().to_pybytes()
+        at = np.arange(len(own) - span + 1)
+        yield k, digests(own, at, at + span), at
+
+
+def _prefix_counts(span: int):
+    """(h, w1, w2, n): how often each prefix begins a suffix of the runs of a hot hash, combined over a few MB."""
 
     def run(batches):
         for batch in parts(batches, "run"):
-            for k, raw in enumerate(batch["run"]):
-                own = raw.as_buffer().to_pybytes()
-                at = np.arange(len(own) - span + 1)
-                digest = digests(own, at, at + span)
-                same = batch.slice(k, 1).select([*RUN, "n", "doc", "cid", "start"]).to_pydict()
-                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), *(pa.array(np.full(len(at), v[0])) for v in same.values()), pa.array(at)], ["w1", "w2", *same, "offset"])
+            h = batch["h"].to_numpy()
+            flat = np.concatenate([np.zeros((0, 3), np.int64), *(np.concatenate([np.full((len(at), 1), h[k]), found], 1) for k, found, at in _windows(batch, span))])
+            own, n = np.unique(flat, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": own[:, 0], "w1": own[:, 1], "w2": own[:, 2], "n": n})
+
+    return run
+
+
+def _prefixed(span: int, merged: bool, often=None):
+    """Of runs of hot hashes: a row for each suffix that begins with a prefix in ``often`` (broadcast, sorted; None: for every suffix, with w1 and w2); ``merged``: for each stretch that these cover."""
+    key = [*RUN, "n", "doc", "cid", "start"]
+
+    def run(batches):
+        for batch in parts(batches, "run"):
+            rows, names, length, offset = [], [], [], []
+            for k, found, at in _windows(batch, span):
+                hit = at
+                if often is not None:
+                    first = np.searchsorted(often.value[:, 0], found[:, 0])
+                    # digests whose first halves are equal stand together
+                    known = [any((often.value[f + d] == w).all() for d in range(8) if f + d < len(often.value) and often.value[f + d, 0] == w[0]) for f, w in zip(first.tolist(), found, strict=True)]
+                    hit = at[np.array(known, bool)]
+                starts = hit
+                if merged and len(hit):
+                    new = np.concatenate([[True], np.diff(hit) > span])
+                    last = np.append(np.flatnonzero(new)[1:], len(hit)) - 1
+                    starts = hit[new]
+                    length += (hit[last] + span - starts).tolist()
+                else:
+                    length += [span] * len(starts)
+                rows += [k] * len(starts)
+                offset += starts.tolist()
+                names.append(found[starts])
+            place, names = pa.array(rows, pa.int64()), np.concatenate([np.zeros((0, 2), np.int64), *names])
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(place) for c in key), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(length, pa.int64()), pa.array(offset, pa.int64())], [*key, "w1", "w2", "length", "offset"])
 
     return run
 
@@ -304,16 +343,20 @@ def _with_texts(keyed: DataFrame, table: DataFrame, spans: str, how: str = "inne
     return keyed.join(F.broadcast(table) if few else table, ["doc", "cid"], how)
 
 
-def _repeats(docs: DataFrame, span: int, hot_runs: int, folder: str) -> tuple[DataFrame, DataFrame]:
+def _repeats(docs: DataFrame, span: int, hot_runs: int, folder: str, merged: bool = False) -> tuple[DataFrame, DataFrame]:
     """The repeats that different runs have in common, and the members of the runs that occur again.
 
     Repeats are rows (repeat, length, h, d1, d2, n, doc, cid, start, offset): of
     each run one member, where it starts, and the place of the repeat in it.
     Members are rows (h, d1, d2, doc, cid, start, size, n); n counts equal runs.
+    With ``merged``, the repeats of hot hashes are given as the stretches that
+    they cover.
     """
     texts = docs.select("doc", "cid", "text").where(F.octet_length("text") >= span)
     found = stored(texts.mapInArrow(_anchor_rows(span), "h long, d1 long, d2 long, doc long, cid long, start long, size int"), folder, "anchors")
     shared = found.groupBy("h").agg(F.count("*").alias("total"), (F.min("d1") < F.max("d1")).alias("mixed")).where("total > 1").select("h", "total", "mixed")
+    # stored first, so that the join can split a hash that very many runs have
+    shared = stored(shared, folder, "shared")
     marked = stored(found.join(shared, "h"), folder, "marked")
     # where all runs of a hash are equal, there is nothing to compare
     equal = marked.where("NOT mixed").select(*RUN, "doc", "cid", "start", "size", F.col("total").alias("n"))
@@ -331,10 +374,18 @@ def _repeats(docs: DataFrame, span: int, hot_runs: int, folder: str) -> tuple[Da
     cold = cut if hot.isEmpty() else cut.join(hot, "h", "left_anti")
     repeats = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(span), f"{key}, repeat binary, length long, offset long").select(names)
     if not hot.isEmpty():
-        prefixes = stored(cut.join(hot, "h", "left_semi").dropDuplicates(RUN).mapInArrow(_prefixes(span), f"w1 long, w2 long, {key}, offset long"), folder, "prefixes")
-        often = prefixes.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-        name = F.concat(F.to_binary(F.lpad(F.hex("w1"), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex("w2"), 16, "0"), F.lit("hex")))
-        repeats = repeats.union(prefixes.join(often, ["w1", "w2"], "left_semi").select(name.alias("repeat"), F.lit(span).cast("long").alias("length"), *names[2:]))
+        runs_of_hot = stored(cut.join(hot, "h", "left_semi").dropDuplicates(RUN), folder, "hot-runs")
+        often = runs_of_hot.select("h", "run").mapInArrow(_prefix_counts(span), "h long, w1 long, w2 long, n long").groupBy("h", "w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+        often = stored(often, folder, "often")
+        shape = f"{key}, w1 long, w2 long, length long, offset long"
+        if often.count() <= PREFIXES:
+            rows = often.select("w1", "w2").distinct().orderBy("w1", "w2").toArrow()
+            known = docs.sparkSession.sparkContext.broadcast(np.stack([rows["w1"].to_numpy(), rows["w2"].to_numpy()], 1).reshape(-1, 2))
+            found = runs_of_hot.mapInArrow(_prefixed(span, merged, known), shape)
+        else:
+            found = runs_of_hot.mapInArrow(_prefixed(span, False), shape).join(often, ["h", "w1", "w2"], "left_semi")
+        name = F.concat(*(F.to_binary(F.lpad(F.hex(c), 16, "0"), F.lit("hex")) for c in ("w1", "w2")))
+        repeats = repeats.union(found.withColumn("repeat", name).select(names))
     members = equal.unionByName(mixed.join(runs.select(*RUN, "n"), RUN))
     return stored(repeats, folder, "repeats"), members
 
@@ -357,7 +408,7 @@ def repeated_spans(docs: DataFrame, *, span: int = SPAN, hot_runs: int = HOT_RUN
     Runs that occur again are covered whole, so of the repeats among different
     runs only those in runs of one member add anything.
     """
-    repeats, members = _repeats(docs, span, hot_runs, folder or shared_dir(docs.sparkSession))
+    repeats, members = _repeats(docs, span, hot_runs, folder or shared_dir(docs.sparkSession), merged=True)
     equal = members.where("n > 1").select("doc", "cid", "start", F.col("size").cast("long").alias("size"))
     return equal.union(repeats.where("n = 1").select("doc", "cid", (F.col("start") + F.col("offset")).alias("start"), F.col("length").alias("size")))
 
