@@ -43,7 +43,7 @@ from lumenpage.llm.common import BYTE, STEP_BYTES, U64, groups, mix, parts, powe
 
 SPAN, GRAM = 200, 32
 #: Different runs under one hash that a task compares, and bytes of runs that one suffix array takes.
-HOT_RUNS, ARRAY_BYTES = 1500, 1 << 20
+HOT_RUNS, ARRAY_BYTES = 8192, 1 << 20
 #: Repeated prefixes of hot hashes (of 16 bytes) up to which they are broadcast to the runs; beyond that the suffixes are joined to them.
 PREFIXES = 500_000
 #: Spans (of some 32 bytes) up to which a table of them may be broadcast to the texts.

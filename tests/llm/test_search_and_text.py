@@ -171,8 +171,9 @@ def brute_repeats(texts, span):
     return out
 
 
-@pytest.mark.parametrize("hot", [1500, 2])
-def test_repeats_match_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "prefixes"), [(8192, 500_000), (2, 500_000), (2, 10)])
+def test_repeats_match_brute_force(spark, monkeypatch, hot, prefixes):
+    monkeypatch.setattr(repeats, "PREFIXES", prefixes)
     rng = random.Random(4)
     passage = prose(rng, 60)
     texts = [prose(rng, rng.randrange(20, 120)) for _ in range(20)]
@@ -185,7 +186,7 @@ def test_repeats_match_brute_force(spark, hot):
     assert repeats.without_repeats(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1500, 2])
+@pytest.mark.parametrize("hot", [8192, 2])
 def test_repeat_groups_give_all_occurrences_of_equal_bytes(spark, hot):
     rng = random.Random(14)
     passage, other = prose(rng, 70), prose(rng, 45)
