@@ -188,6 +188,20 @@ class SuffixArray:
             names.append(hashlib.blake2b(self.symbols[places[0] : places[0] + length].astype(np.uint8).tobytes(), digest_size=16).digest())
         return np.concatenate(rows), names
 
+    def covered(self, span: int = SPAN) -> np.ndarray:
+        """Rows (0, size, string, start) of the stretches that the maximal repeats cover; those that touch are one."""
+        reach = np.zeros(int(self.at[-1]) + 1, np.int64)
+        for length, places in self.intervals(span):
+            reach[places] = np.maximum(reach[places], length)
+        own = np.flatnonzero(reach)
+        depth = np.zeros(len(reach) + 1, np.int64)
+        np.add.at(depth, own, 1)
+        np.add.at(depth, own + reach[own], -1)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(depth) > 0, [False]]).astype(np.int8)))
+        first, end = edge[::2], edge[1::2]
+        string = self.string[np.minimum(first, len(self.string) - 1)]
+        return np.stack([np.zeros(len(first), np.int64), end - first, string, first - self.at[string]], 1)
+
     def intervals(self, span: int):
         """(length, places in the whole text) of the maximal repeats."""
         long = self.common >= span
@@ -236,8 +250,8 @@ def hulls(strings: list[bytes], span: int) -> list[tuple[int, int, int]]:
     return [(int(k), max(0, int(a - at[k]) - 1), int(z - at[k]) + span) for k, a, z in zip(own[first], place[first], place[last], strict=True)]
 
 
-def _compare(span: int):
-    """Runs, sorted by hash, to the maximal repeats among them: a row for each repeat and run; several hashes share one suffix array."""
+def _compare(span: int, merged: bool):
+    """Runs, sorted by hash, to the maximal repeats among them: a row for each repeat and run, or with ``merged`` for each stretch of a run that they cover; several hashes share one suffix array."""
 
     def repeats(tables: list[pa.Table]):
         table = pa.concat_tables(tables)
@@ -246,7 +260,8 @@ def _compare(span: int):
         table = table.take(pa.array(np.sort(np.unique(keys, axis=0, return_index=True)[1])))
         strings = [x.as_py() for x in table["run"]]
         kept = hulls(strings, span)
-        flat, names = SuffixArray([strings[k][a:z] for k, a, z in kept], span).groups(span)
+        array = SuffixArray([strings[k][a:z] for k, a, z in kept], span)
+        flat, names = (array.covered(span), [b""]) if merged else array.groups(span)
         index = np.array(kept, np.int64).reshape(-1, 3)
         own, offset = index[flat[:, 2], 0], flat[:, 3] + index[flat[:, 2], 1]
         rows = table.select([*RUN, "n", "doc", "cid", "start"]).take(pa.array(own)).combine_chunks()
@@ -349,8 +364,8 @@ def _repeats(docs: DataFrame, span: int, hot_runs: int, folder: str, merged: boo
     Repeats are rows (repeat, length, h, d1, d2, n, doc, cid, start, offset): of
     each run one member, where it starts, and the place of the repeat in it.
     Members are rows (h, d1, d2, doc, cid, start, size, n); n counts equal runs.
-    With ``merged``, the repeats of hot hashes are given as the stretches that
-    they cover.
+    With ``merged``, the stretches of runs that repeats cover are given in their
+    place.
     """
     texts = docs.select("doc", "cid", "text").where(F.octet_length("text") >= span)
     found = stored(texts.mapInArrow(_anchor_rows(span), "h long, d1 long, d2 long, doc long, cid long, start long, size int"), folder, "anchors")
@@ -372,7 +387,7 @@ def _repeats(docs: DataFrame, span: int, hot_runs: int, folder: str, merged: boo
     key = "h long, d1 long, d2 long, n long, doc long, cid long, start long"
     names = ["repeat", "length", *RUN, "n", "doc", "cid", "start", "offset"]
     cold = cut if hot.isEmpty() else cut.join(hot, "h", "left_anti")
-    repeats = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(span), f"{key}, repeat binary, length long, offset long").select(names)
+    repeats = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(span, merged), f"{key}, repeat binary, length long, offset long").select(names)
     if not hot.isEmpty():
         runs_of_hot = stored(cut.join(hot, "h", "left_semi").dropDuplicates(RUN), folder, "hot-runs")
         often = runs_of_hot.select("h", "run").mapInArrow(_prefix_counts(span), "h long, w1 long, w2 long, n long").groupBy("h", "w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
