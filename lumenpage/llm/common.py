@@ -109,6 +109,15 @@ def stored(df: DataFrame, folder: str, name: str, small: bool = False, few: bool
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done.
+
+    It does so when the driver's JVM finds that nothing refers to them, which
+    may be long after large steps that leave its heap nearly empty.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def bit_map(hashes: DataFrame, name: str) -> np.ndarray:
     """A bit map of the 64-bit hashes in a stored column, as 64-bit words.
 

@@ -12,13 +12,19 @@ regions are joined recursively:
    near sets is bounded, the triangle inequality bounds how far down its order
    the first common shingle can stand: n - ceil(t * n) places. A set is
    replicated to all regions up to there; near sets meet in one at least.
+   Near sets are of one band of sizes or of neighbouring ones, so a region is a
+   shingle with a band and the next larger one; texts that share a shingle by
+   chance, whose number grows with the square of the input, seldom have such
+   sizes. As the smaller of two near sets has at least 2 t / (1 + t) of its
+   shingles in common with the other, the first common one stands higher up in
+   it, and a region without a set of the lower band that has it there is none.
    Regions are named by their smallest member and those of one name are a cell.
    They are found by an aggregate and a join, so that a shingle that very many
-   sets share is combined before it moves, and its rows can be split.
-3. Members without a neighbour of a fitting size are dropped. In a cell of up to
-   ``MEMBERS`` sets, the windows bound the similarity of any two, and who has no
-   partner left is dropped before whole sets are read; of a larger cell all
-   members stay. What is left is joined by the components of who might be near
+   sets share is combined before it moves, and its rows can be split. The
+   aggregate takes ``SLICES`` turns, each for a part of the shingles.
+3. In a cell of up to ``MEMBERS`` sets, the windows bound the similarity of any
+   two, and who has no partner left is dropped before whole sets are read; of a
+   larger cell all members stay. What is left is joined by the components of who might be near
    whom, so that each whole set moves once.
 4. Within a cell, document pivots (each the farthest from those before it) cut
    Voronoi regions: a member goes to its nearest pivot, and to every pivot whose
@@ -44,6 +50,7 @@ word. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -53,7 +60,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm.common import U64, bit_map, groups, in_bit_map, mix, parts, shared_dir, shingle_hashes, steps, stored, text_bytes, word_hashes
+from lumenpage.llm.common import U64, bit_map, free_shuffles, groups, in_bit_map, mix, parts, shared_dir, shingle_hashes, steps, stored, text_bytes, word_hashes
 from lumenpage.llm.components import components
 
 #: Shingles that may be known as common (8 bytes each, broadcast); this orders work only.
@@ -64,6 +71,10 @@ COMMON_LEAST = 4
 BROADCAST_IDS = 500_000
 #: Sets and shingles that a cell may hold in one task, pivots that cut one, and members up to which all pairs are compared.
 MEMBERS, CELL, PIVOTS, LEAF = 1000, 4_000_000, 8, 6
+#: Turns (a power of two) in which regions are found; the files of one are freed before the next.
+SLICES = 2
+#: Windows for each set that move at once to the cells.
+TURN = 2
 _TOP = U64(1 << 63)
 
 
@@ -139,18 +150,37 @@ def _sets(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix binary")
 
 
-def _windows(known=None):
-    """(s, id) for each place of a window; with a bit map, of those that it knows."""
+def size_bands(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of set sizes; those of near sets differ by one at most."""
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    return np.floor(np.log(n) / width).astype(np.int64)
+
+
+def _windows(percent: int, part: int | None = None, known=None):
+    """(s, id, low) for each place of a window and each of its two bands.
+
+    ``s`` names the shingle with the lower band; ``low`` are those that the
+    smaller of two near sets can first share there. With ``part``, the shingles
+    of one slice; with a bit map, the names that it knows.
+    """
 
     def run(batches):
         for batch in parts(batches, "prefix"):
             raw = [x.as_py() for x in batch["prefix"]]
-            ids = np.repeat(batch["id"].to_numpy(), [len(x) // 8 for x in raw])
-            places = np.frombuffer(b"".join(raw), np.int64)
-            if known is not None:
-                held = in_bit_map(known.value, places)
-                places, ids = places[held], ids[held]
-            yield pa.RecordBatch.from_pydict({"s": places, "id": ids})
+            n, sizes = batch["n"].to_numpy(), np.array([len(x) // 8 for x in raw])
+            places = np.frombuffer(b"".join(raw), np.uint64)
+            at = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            low = at <= np.repeat(n - -(-2 * percent * n // (100 + percent)), sizes)
+            ids, band = np.repeat(batch["id"].to_numpy(), sizes), np.repeat(size_bands(n, percent), sizes)
+            if part is not None:
+                own = places & U64(SLICES - 1) == U64(part)
+                places, low, ids, band = places[own], low[own], ids[own], band[own]
+            for down in (0, 1):
+                s, id_, first = mix(places ^ mix((band - down).view(np.uint64))).view(np.int64), ids, low & (down == 0)
+                if known is not None:
+                    held = in_bit_map(known.value, s)
+                    s, id_, first = s[held], ids[held], first[held]
+                yield pa.RecordBatch.from_pydict({"s": s, "id": id_, "low": first})
 
     return run
 
@@ -163,7 +193,7 @@ def _halves(batches):
     """The upper halves of a window's order values: they keep the order, but for ties."""
     for batch in parts(batches, "prefix"):
         short = [(np.frombuffer(x.as_py(), np.uint64) >> U64(32)).astype(np.uint32).tobytes() for x in batch["prefix"]]
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(short, pa.binary())], ["id", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], pa.array(short, pa.binary())], ["id", "n", "prefix"])
 
 
 class Postings:
@@ -450,27 +480,33 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: tuple[int, int], fo
     else:
         holders = holders.withColumn("id", F.col("doc_id"))
     counts = holders.groupBy("id").agg(F.max("n").alias("n"))
-    # the smallest member names a region; a shingle of one set makes none
-    windows = holders.select("id", "prefix")
-    regions = windows.mapInArrow(_windows(), "s long, id long").groupBy("s").agg(F.min("id").alias("cell"), F.max("id").alias("last"))
-    regions = stored(regions.where("cell < last").select("s", "cell"), folder, "regions")
+    # the smallest member names a region; a shingle of one set, or of sets of other sizes, makes none
+    windows = holders.select("id", "n", "prefix")
+    found = []
+    for part in range(SLICES):
+        rows = windows.mapInArrow(_windows(percent, part), "s long, id long, low boolean").groupBy("s").agg(F.min("id").alias("cell"), F.max("id").alias("last"), F.max("low").alias("low"))
+        found.append(stored(rows.where("low AND cell < last").select("s", "cell"), folder, f"shared-{part}"))
+        free_shuffles(docs.sparkSession)
+    regions = functools.reduce(DataFrame.union, found)
     known = docs.sparkSession.sparkContext.broadcast(bit_map(regions, "s"))
-    met = windows.mapInArrow(_windows(known), "s long, id long").join(regions, "s").where("id <> cell").select("cell", "id").distinct()
+    met = windows.mapInArrow(_windows(percent, known=known), "s long, id long, low boolean").join(regions, "s").where("id <> cell").select("cell", "id").distinct()
     met = stored(met, folder, "met", few=True)
-    # sizes of near sets differ by the threshold at most: who has no such neighbour in its cell is done
-    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
-    members = met.union(met.select("cell", F.col("cell").alias("id")).distinct()).join(counts, "id").withColumn("band", F.floor(F.log("n") / width))
-    bands = members.groupBy("cell", "band").count()
-    around = bands.select("cell", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), "count").groupBy("cell", "band").agg(F.sum("count").alias("fitting"))
-    beside = stored(members.join(around.where("fitting > 1"), ["cell", "band"]).select("cell", "id", "n"), folder, "beside", few=True)
-    crowded = stored(beside.groupBy("cell").count().where(F.col("count") > limit[0]).select("cell"), folder, "crowded", few=True)
+    free_shuffles(docs.sparkSession)
+    beside = met.union(met.select("cell", F.col("cell").alias("id")).distinct())
+    crowded = stored(met.groupBy("cell").count().where(F.col("count") >= limit[0]).select("cell"), folder, "crowded", few=True)
     sparse = beside.join(crowded, "cell", "left_anti")
-    halves = holders.select("id", "prefix").join(_few(stored(sparse.select("id").distinct(), folder, "beside-ids", few=True)), "id", "left_semi").mapInArrow(_halves, "id long, prefix binary")
-    hopeful = _sorted_cells(sparse.join(halves, "id"), "cell").mapInArrow(_hopeful(percent), "a long, b long")
+    # windows move once for each cell they are in: cells take turns, so that what moves at once stays in proportion to the input
+    turns = sparse.count() // max(1, TURN * classes.count()) + 1
+    hopes = []
+    for turn in range(turns):
+        now = sparse.where(F.pmod(F.xxhash64("cell"), F.lit(turns)) == turn)
+        ids = stored(now.select("id").distinct(), folder, f"beside-ids-{turn}", few=True)
+        halves = windows.join(_few(ids), "id", "left_semi").mapInArrow(_halves, "id long, n long, prefix binary")
+        hopes.append(stored(_sorted_cells(now.join(halves, "id"), "cell").mapInArrow(_hopeful(percent), "a long, b long"), folder, f"hopeful-{turn}", few=True))
+        free_shuffles(docs.sparkSession)
     whole_cells = beside.join(crowded, "cell", "left_semi").select(F.col("cell").alias("a"), F.col("id").alias("b"))
-    hopeful = stored(hopeful.union(whole_cells).distinct(), folder, "hopeful", few=True)
     # what might be near, over all cells, is joined as one cell, so that each whole set moves once
-    merged = components(hopeful, f"{folder}/cells")
+    merged = components(functools.reduce(DataFrame.union, hopes, whole_cells), f"{folder}/cells")
     merged = stored(merged.select(F.col("component").alias("cell"), "id", F.lit(False).alias("settled")).distinct(), folder, "merged", few=True)
 
     def add_sets(batches):
