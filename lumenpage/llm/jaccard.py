@@ -24,7 +24,9 @@ regions are joined recursively:
    aggregate takes ``SLICES`` turns, each for a part of the shingles.
 3. In a cell of up to ``MEMBERS`` sets, the windows bound the similarity of any
    two, and who has no partner left is dropped before whole sets are read; of a
-   larger cell all members stay. What is left is joined by the components of who might be near
+   larger one, too, by pairs of blocks; of one beyond ``BLOCKED`` times that all
+   members stay. Windows go to the cells in turns, each of ``TURN`` windows for
+   every set, so the disk that they take is in proportion to the input. What is left is joined by the components of who might be near
    whom, so that each whole set moves once.
 4. Within a cell, document pivots (each the farthest from those before it) cut
    Voronoi regions: a member goes to its nearest pivot, and to every pivot whose
@@ -75,6 +77,8 @@ MEMBERS, CELL, PIVOTS, LEAF = 1000, 4_000_000, 8, 6
 SLICES = 2
 #: Windows for each set that move at once to the cells.
 TURN = 2
+#: Times MEMBERS up to which the windows of a cell are compared, as pairs of blocks.
+BLOCKED = 20
 _TOP = U64(1 << 63)
 
 
@@ -493,10 +497,15 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: tuple[int, int], fo
     met = stored(met, folder, "met", few=True)
     free_shuffles(docs.sparkSession)
     beside = met.union(met.select("cell", F.col("cell").alias("id")).distinct())
-    crowded = stored(met.groupBy("cell").count().where(F.col("count") >= limit[0]).select("cell"), folder, "crowded", few=True)
-    sparse = beside.join(crowded, "cell", "left_anti")
+    crowded = stored(beside.groupBy("cell").count().where(F.col("count") > limit[0]), folder, "crowded", few=True)
+    # a crowded cell, as of what long texts share by chance, is joined as pairs of blocks; one of a very large group goes on whole
+    blocks, own = F.ceil(2 * F.col("count") / limit[0]), F.pmod(F.xxhash64("id"), F.col("blocks"))
+    paired = beside.join(_few(crowded.where(F.col("count") <= BLOCKED * limit[0]).select("cell", blocks.alias("blocks"))), "cell")
+    paired = paired.select("cell", "id", own.alias("own"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    paired = paired.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id")
+    sparse = beside.join(_few(crowded), "cell", "left_anti").union(paired)
     # windows move once for each cell they are in: cells take turns, so that what moves at once stays in proportion to the input
-    turns = sparse.count() // max(1, TURN * classes.count()) + 1
+    turns = int(sparse.count() // max(1, TURN * classes.count())) + 1
     hopes = []
     for turn in range(turns):
         now = sparse.where(F.pmod(F.xxhash64("cell"), F.lit(turns)) == turn)
@@ -504,7 +513,7 @@ def _linked(docs: DataFrame, size: int, percent: int, limit: tuple[int, int], fo
         halves = windows.join(_few(ids), "id", "left_semi").mapInArrow(_halves, "id long, n long, prefix binary")
         hopes.append(stored(_sorted_cells(now.join(halves, "id"), "cell").mapInArrow(_hopeful(percent), "a long, b long"), folder, f"hopeful-{turn}", few=True))
         free_shuffles(docs.sparkSession)
-    whole_cells = beside.join(crowded, "cell", "left_semi").select(F.col("cell").alias("a"), F.col("id").alias("b"))
+    whole_cells = beside.join(_few(crowded.where(F.col("count") > BLOCKED * limit[0])), "cell", "left_semi").select(F.col("cell").alias("a"), F.col("id").alias("b"))
     # what might be near, over all cells, is joined as one cell, so that each whole set moves once
     merged = components(functools.reduce(DataFrame.union, hopes, whole_cells), f"{folder}/cells")
     merged = stored(merged.select(F.col("component").alias("cell"), "id", F.lit(False).alias("settled")).distinct(), folder, "merged", few=True)
