@@ -154,6 +154,12 @@ def test_colour_columns_equal_single_values(spark):
         assert tuple(front) == colors.adjusted(row[:3], row[3:], 4.5) and tuple(back) == colors.adjusted(row[3:], row[:3], 4.5, foreground=False)
 
 
+def test_the_search_for_a_colour_looks_light_up(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "r int, g int, b int").select(F.struct("r", "g", "b").alias("fg"), F.struct("b", "g", "r").alias("bg"))
+    plan = df.select(T.adjusted(F.col("fg"), F.col("bg"), 4.5).alias("new"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "POWER" in plan and "POWER" not in plan[plan.index("aggregate(") :]
+
+
 def test_streams_scan_pages_and_trends(spark, tmp_path):
     from lumenpage.streaming.monitor import issue_stream, page_stream, score_trend, write_issues
 
