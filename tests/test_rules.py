@@ -140,3 +140,14 @@ def test_own_rules_run_beside_the_others(spark):
     pages = spark.createDataFrame([("c", "p", "p", "T", "wiki_page", None, "<h2>a</h2><hr><hr>")], PAGES)
     own = report.issues(pages, more_rules=(Rule("OWN001", "info", "structure", "1.3.1", False),), more=(lambda: [when("OWN001", tag("hr"), msg("A line"))],))
     assert [(r["rule_id"], r["severity"], r["message"]) for r in own.collect()] == [("OWN001", "info", "A line")] * 2
+
+
+def test_wanted_rules_alone_are_worked_out_with_the_same_findings(spark):
+    from lumenpage.sources.elements import TASK_ROWS, spread
+
+    html = '<h1>T</h1><img src="a.png"><a href="#">here</a><p style="color: #ccc">pale</p><table><tr><td>1</td></tr></table>'
+    pages = spark.createDataFrame([("c", "1", "1", "T", "wiki_page", "f", None, html)], PAGES)
+    every = findings(elements(pages)).collect()
+    for only in ({"HDG001"}, {"IMG001", "LNK009"}):
+        assert sorted(findings(elements(pages), only=only).collect()) == sorted(r for r in every if r["rule"] in only)
+    assert spread(spark.range(10 * TASK_ROWS).coalesce(1)).rdd.getNumPartitions() == 10
