@@ -146,7 +146,7 @@ def test_wanted_rules_alone_are_worked_out_with_the_same_findings(spark):
     from lumenpage.sources.elements import TASK_ROWS, spread
 
     html = '<h1>T</h1><img src="a.png"><a href="#">here</a><p style="color: #ccc">pale</p><table><tr><td>1</td></tr></table>'
-    pages = spark.createDataFrame([("c", "1", "1", "T", "wiki_page", "f", None, html)], PAGES)
+    pages = spark.createDataFrame([("c", "1", "1", "T", "wiki_page", None, html)], PAGES)
     every = findings(elements(pages)).collect()
     for only in ({"HDG001"}, {"IMG001", "LNK009"}):
         assert sorted(findings(elements(pages), only=only).collect()) == sorted(r for r in every if r["rule"] in only)
