@@ -199,3 +199,23 @@ def test_image_members(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in rows.select(archive.image_member(F.col("src"))).collect()] == ["web_resources/a b.png", None, None, "img/c+d.png", None]
+
+
+def test_texts_of_images_meet_by_equal_stretches_as_by_comparing_all(spark):
+    import random
+
+    from lumenpage.operators.remediate import alts_of_pages
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab/") for _ in range(rng.randrange(1, 9)))
+    long = "data:" + "ab" * 200
+    srcs = [word() for _ in range(60)] + [long + "/x", "z" + long, "é😀/b"]
+    alts = [("c", k, f"alt {i}", i % 7) for i, k in enumerate(sorted({word() for _ in range(40)} | {long, "😀", long + "/x/y"}))]
+    pages = spark.createDataFrame([("c", str(i), "1", "T", "wiki_page", "f", None, f'<img src="{x}">') for i, x in enumerate(srcs)], "course_id string, page_id string, identifier string, title string, content_type string, file_path string, canvas_url string, html string")
+    made = alts_of_pages(pages, spark.createDataFrame(alts, "course_id string, src string, alt string, place int"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert all(" _id#" in line or "(_id#" in line for line in plan.splitlines() if "Join" in line and "Contains(" in line)
+    got = {r["page_id"]: r["_alts"][0]["alt"] for r in made.collect()}
+    for i, x in enumerate(srcs):
+        near = [((x != k), place, k, alt) for _, k, alt, place in alts if k in x or x in k]
+        assert got.get(str(i)) == (min(near)[3] if near else None)
